@@ -12,6 +12,7 @@ from chatstrata.functions.text import is_blank
 # Each level handles an array or an object; a usual message body needs three.
 TEXT_DEPTH = 8
 ATTACHMENT_DEPTH = 6
+ATTACHMENT_LISTS = ["images", "local_images", "text_elements"]
 
 
 def parse_line(line: Column) -> Column:
@@ -47,9 +48,12 @@ def as_string(value: Column) -> Column:
     )
 
 
-def _keyed_children(value: Column) -> Column:
+def _text_children(value: Column) -> Column:
+    """Parts of an array, or what an object has under its text keys; empty for scalars."""
     members = _members(value, C.TEXT_KEYS)
-    return F.array(*[members[key] for key in C.TEXT_KEYS])
+    keyed = F.array(*[members[key] for key in C.TEXT_KEYS])
+    # Without the nulls, or each of them would be searched level by level.
+    return F.array_compact(F.coalesce(_items(value), keyed))
 
 
 def extract_text(value: Column, depth: int = TEXT_DEPTH) -> Column:
@@ -62,15 +66,12 @@ def extract_text(value: Column, depth: int = TEXT_DEPTH) -> Column:
     string = as_string(value)
     if depth == 0:
         return F.coalesce(string, F.lit(""))
-    items = _items(value)
     texts = F.filter(
-        F.transform(
-            F.coalesce(items, _keyed_children(value)), lambda child: extract_text(child, depth - 1)
-        ),
+        F.transform(_text_children(value), lambda child: extract_text(child, depth - 1)),
         lambda text: ~is_blank(text),
     )
     # An array takes all its parts, an object only the first one found.
-    taken = F.slice(texts, F.lit(1), F.when(items.isNotNull(), F.lit(2**31 - 1)).otherwise(1))
+    taken = F.slice(texts, F.lit(1), F.when(_items(value).isNotNull(), F.lit(2**31 - 1)).otherwise(1))
     return F.coalesce(string, F.array_join(taken, "\n"))
 
 
@@ -78,53 +79,50 @@ def exceeds_depth(value: Column, depth: int = TEXT_DEPTH) -> Column:
     """True when arrays or objects are still left below ``depth`` levels of a body."""
     if depth == 0:
         return _items(value).isNotNull() | _members(value, ["type"]).isNotNull()
-    children = F.coalesce(_items(value), _keyed_children(value))
-    return F.coalesce(F.exists(children, lambda child: exceeds_depth(child, depth - 1)), F.lit(False))
+    return F.coalesce(
+        F.exists(_text_children(value), lambda child: exceeds_depth(child, depth - 1)), F.lit(False)
+    )
 
 
 def content_attachment_paths(payload: Column, depth: int = ATTACHMENT_DEPTH) -> Column:
     """Distinct local attachment paths named by the payload of one log line."""
-    listed = [_local_paths(part(payload, key), depth) for key in ("images", "local_images", "text_elements")]
-    listed = [
-        F.when(_items(part(payload, key)).isNotNull(), paths)
-        for key, paths in zip(("images", "local_images", "text_elements"), listed)
-    ]
-    content = part(payload, "content")
-    typed = F.when(_items(content).isNotNull(), _typed_paths(content, depth))
-    empty = F.array().cast("array<string>")
-    return F.array_distinct(F.flatten(F.array(*[F.coalesce(paths, empty) for paths in (*listed, typed)])))
-
-
-def _typed_paths(value: Column, depth: int) -> Column:
-    """Paths of the attachment-like objects in (nested) arrays."""
-    own = F.when(_is_attachment(value), _local_paths(value, depth))
-    empty = F.array().cast("array<string>")
+    listed = [_items(part(payload, key)) for key in ATTACHMENT_LISTS]
+    typed = _attachment_objects(_items(part(payload, "content")), depth)
+    none = F.array().cast("array<variant>")
+    values = F.flatten(F.array(*[F.coalesce(found, none) for found in (*listed, typed)]))
+    return F.array_distinct(F.flatten(F.transform(values, lambda value: _local_paths(value, depth))))
+
+
+def _attachment_objects(items: Column, depth: int) -> Column:
+    """Attachment-like objects among the items and in arrays nested in them."""
     if depth == 0:
-        return F.coalesce(own, empty)
-    nested = F.flatten(F.transform(_items(value), lambda child: _typed_paths(child, depth - 1)))
-    return F.coalesce(own, nested, empty)
+        return F.filter(items, _is_attachment)
+
+    def own_or_nested(item: Column) -> Column:
+        inner = _items(item)
+        return F.when(inner.isNotNull(), _attachment_objects(inner, depth - 1)).otherwise(
+            F.filter(F.array(item), _is_attachment)
+        )
+
+    return F.flatten(F.transform(items, own_or_nested))
 
 
 def _local_paths(value: Column, depth: int) -> Column:
     """Paths in a string, an array, or an object with its path and url keys."""
-    empty = F.array().cast("array<string>")
-    string = as_string(value)
-    found = F.filter(
-        F.array(
-            F.when(is_local_attachment(string), string),
-            *[F.when(is_local_attachment(s), s) for s in (as_string(part(value, key)) for key in C.ATTACHMENT_PATH_KEYS)],
-            *[_file_url_path(as_string(part(value, key))) for key in C.ATTACHMENT_URL_KEYS],
-        ),
-        lambda path: path.isNotNull(),
-    )
-    own = F.transform(found, normalize_path)
+    keyed = _members(value, [*C.ATTACHMENT_PATH_KEYS, *C.ATTACHMENT_URL_KEYS])
+
+    def strings(keys: list[str]) -> Column:
+        return F.transform(F.array_compact(F.array(*[keyed[key] for key in keys])), as_string)
+
+    plain = F.concat(F.array(as_string(value)), strings(C.ATTACHMENT_PATH_KEYS))
+    urls = F.array_compact(F.transform(strings(C.ATTACHMENT_URL_KEYS), _file_url_path))
+    own = F.transform(F.concat(F.filter(plain, is_local_attachment), urls), normalize_path)
     if depth == 0:
         return own
     members = F.when(_is_attachment(value), F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))
     children = F.coalesce(_items(value), members, F.array().cast("array<variant>"))
-    return F.coalesce(
-        F.concat(own, F.flatten(F.transform(children, lambda child: _local_paths(child, depth - 1)))), empty
-    )
+    nested = F.transform(children, lambda child: _local_paths(child, depth - 1))
+    return F.concat(own, F.flatten(nested))
 
 
 def _is_attachment(value: Column) -> Column:

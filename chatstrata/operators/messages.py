@@ -48,8 +48,13 @@ def _message(value: Column, is_event: Column, line_no: Column, epoch_default: bo
     )
 
 
-def parse_messages(lines: DataFrame, epoch_default: bool = False) -> DataFrame:
-    """Messages with a known role and some text, event and response ones alike."""
+def _kept_message(epoch_default: bool) -> Column:
+    """The message of a parsed line in an array, which is empty if it has no role or text."""
+    message = _message(F.col("value"), F.col("event_line"), F.col("line_no"), epoch_default)
+    return F.filter(F.array(message), lambda m: m["role"].isNotNull() & (m["text"] != ""))
+
+
+def _parse(lines: DataFrame, kept: Column) -> DataFrame:
     # Each step is the input of a generator, which keeps the optimizer from
     # repeating the parsing in filters below.
     values = message_line_prefilter(lines).select(
@@ -58,13 +63,16 @@ def parse_messages(lines: DataFrame, epoch_default: bool = False) -> DataFrame:
         is_event_line(F.col("line")).alias("event_line"),
         F.explode(F.array(jsonlines.parse_line(F.col("line")))).alias("value"),
     )
-    message = _message(F.col("value"), F.col("event_line"), F.col("line_no"), epoch_default)
-    kept = F.filter(F.array(message), lambda m: m["role"].isNotNull() & (m["text"] != ""))
     return values.select(*CONVERSATION, "line_no", F.explode(kept).alias("message")).select(
         *CONVERSATION, "line_no", "message.*"
     )
 
 
+def parse_messages(lines: DataFrame, epoch_default: bool = False) -> DataFrame:
+    """Messages with a known role and some text, event and response ones alike."""
+    return _parse(lines, _kept_message(epoch_default))
+
+
 def prefer_event_messages(messages: DataFrame, event_messages: DataFrame | None = None) -> DataFrame:
     """Event messages where a conversation has any, else its response messages.
 
@@ -80,8 +88,9 @@ def prefer_event_messages(messages: DataFrame, event_messages: DataFrame | None
 
 
 def conversation_messages(lines: DataFrame, epoch_default: bool = False) -> DataFrame:
-    event_messages = parse_messages(lines.filter(is_event_line(F.col("line"))))
-    return prefer_event_messages(parse_messages(lines, epoch_default), event_messages).drop("is_event")
+    message = _kept_message(epoch_default)
+    event_messages = _parse(lines.filter(is_event_line(F.col("line"))), message)
+    return prefer_event_messages(_parse(lines, message), event_messages).drop("is_event")
 
 
 def scan_conversations(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:

@@ -187,7 +187,6 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def view(spark: SparkSession, sql: str) -> DataFrame:
     """A view by name, or any query over the views."""
-    register_tables(spark, sf_dir)
     return spark.sql(with_views(sql if " " in sql else f"SELECT * FROM {sql}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chatstrata.session import configure
-from checks.fixtures import view, with_views
+from checks.fixtures import register_tables, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,9 +18,10 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        register_tables(spark, sf_dir)
 
     def __call__(self, sql: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, sql)
+        return view(self.spark, sql)
 
 
 def check(oracle: str | None = None):
