@@ -23,6 +23,7 @@ from chatstrata.plans.snapshot_jobs import (
     restorable_sessions,
     snapshot_catalog,
 )
+from chatstrata.session import staged
 
 
 def _snapshot_roots(chosen: DataFrame) -> DataFrame:
@@ -55,6 +56,17 @@ def _overlay_bodies(current: Content, files: DataFrame, bodies: DataFrame | None
     return kept.select(*current.bodies.columns).unionByName(added.select(*current.bodies.columns))
 
 
+def _merged_lines(
+    current: DataFrame, source: DataFrame, added: DataFrame, unique_key: lines.UniqueKey = None
+) -> DataFrame:
+    """Current line files with the added lines; files the source lacks stay untouched."""
+    file = ["root_id", "rel_path"]
+    touched = source.select(*file).distinct()
+    columns = current.columns
+    merged = lines.merge_lines(current.join(touched, file, "left_semi"), added, None, unique_key)
+    return merged.select(*columns).unionByName(current.join(touched, file, "left_anti").select(*columns))
+
+
 def _repaired(tables: state.Tables, files: DataFrame, roots: DataFrame, ids: DataFrame) -> state.Tables:
     if "threads" not in tables:
         return tables
@@ -88,6 +100,7 @@ def restore_conversations(
     )
     snapshot_roots = _snapshot_roots(chosen).drop("snapshot_id")
     ids = restorable_sessions(snapshot, snapshot_roots, ROOT).join(states, ["root_id"], "left_semi")
+    ids = staged(ids, "restorable")
 
     added = _within(snapshot.files.filter(paths.top_entry(F.col("rel_path")).isin(C.CONVERSATION_DIRS)), included)
     files = snapshots.overlay_files(current.files, added)
@@ -95,9 +108,8 @@ def restore_conversations(
     listed = _within(snapshot.lines.filter(F.col("rel_path").isin(C.LINE_FILES)), included)
     of_sessions = lines.keep_lines(listed.join(states, ["root_id"], "left_semi"), ids)
     unfiltered = listed.join(states, ["root_id"], "left_anti")
-    merged = lines.merge_lines(
-        current.lines, of_sessions.unionByName(unfiltered.select(*of_sessions.columns)), None, lines.LINE_FILE_KEYS
-    )
+    added_lines = of_sessions.unionByName(unfiltered.select(*of_sessions.columns))
+    merged = _merged_lines(current.lines, listed, added_lines, lines.LINE_FILE_KEYS)
 
     with_ids = ids.select("root_id").distinct()
     source = {name: rows.join(with_ids, ["root_id"], "left_semi") for name, rows in snapshot.tables.items()}
@@ -126,7 +138,7 @@ def restore_full(
         included.filter(F.col("top") == C.STATE_FILE).select("root_id"), ["root_id"], "left_semi"
     )
     ids = restorable_sessions(snapshot, _snapshot_roots(chosen).drop("snapshot_id"), ROOT)
-    ids = ids.join(states, ["root_id"], "left_semi")
+    ids = staged(ids.join(states, ["root_id"], "left_semi"), "restorable")
 
     def replaced(now: DataFrame, then: DataFrame) -> DataFrame:
         """Entries of the snapshot instead of the current ones of the same name."""
@@ -196,8 +208,9 @@ def restore_from_latest(
     """Bring each session back from the newest snapshot that holds its file, all
     source snapshots in one job."""
     latest = snapshots.latest_snapshot_with_session(manifest, store.files, ids)
+    picked = staged(latest.select(*SNAPSHOT, "id"), "picked")
     return _restore_picked(
-        store, _snapshot_roots(manifest), latest.select(*SNAPSHOT, "id"), current, roots, match, keys, in_place
+        store, _snapshot_roots(manifest), picked, current, roots, match, keys, in_place
     )
 
 
@@ -216,7 +229,7 @@ def _restore_picked(
     snapshot = store.map_tables(lambda table: table.join(involved, list(SNAPSHOT), "left_semi").select(*table.columns))
     sessions = snapshot_catalog(snapshot, snapshot_roots.join(involved, list(SNAPSHOT), "left_semi"), SNAPSHOT)
     found = sessions.filter("exists_on_disk").join(picked, [*SNAPSHOT, "id"], "left_semi")
-    found = found.select(*SNAPSHOT, "id", F.col("rollout_path").alias("rel_path"))
+    found = staged(found.select(*SNAPSHOT, "id", F.col("rollout_path").alias("rel_path")), "found")
     if found.isEmpty():
         raise ValueError("no snapshot holds a log file of the sessions to restore")
     scoped_ids, ids = found.select(*SNAPSHOT, "id"), found.select("root_id", "id").distinct()
@@ -232,7 +245,8 @@ def _restore_picked(
             if name not in ("root_id", "rel_path")
         ]
     )
-    files = snapshots.overlay_files(current.files, added.select(*current.files.columns))
+    added = staged(added.select(*current.files.columns), "added")
+    files = snapshots.overlay_files(current.files, added)
 
     bodies = current.bodies
     if bodies is not None and snapshot.bodies is not None:
@@ -240,8 +254,10 @@ def _restore_picked(
         of_found = snapshot.bodies.join(found.select(*key), key, "left_semi").select(*bodies.columns)
         bodies = _overlay_bodies(current, added, of_found)
 
-    listed = lines.keep_lines(snapshot.lines, scoped_ids, match, SNAPSHOT)
-    merged = lines.merge_lines(current.lines, listed.select(*current.lines.columns))
+    added_lines = lines.keep_lines(snapshot.lines, scoped_ids, match, SNAPSHOT)
+    # Only snapshots that give a session back touch the line files of their root.
+    sources = snapshot.lines.join(found.select(*SNAPSHOT).distinct(), list(SNAPSHOT), "left_semi")
+    merged = _merged_lines(current.lines, sources, added_lines)
 
     tables = current.tables
     chosen_rows = state.select_state(snapshot.tables, scoped_ids, SNAPSHOT)

@@ -12,6 +12,7 @@ from chatstrata import constants as C
 from chatstrata.functions import naming, paths
 from chatstrata.operators import catalog, lines, snapshots, state
 from chatstrata.operators.content import SNAPSHOT, Content
+from chatstrata.session import staged
 from chatstrata.sources.scans import parse_history, parse_session_index
 
 ProtectionMode = Literal["lightweight", "full"]
@@ -63,13 +64,18 @@ def content_file_catalog(content: Content, scope: Sequence[str]) -> DataFrame:
     )
 
 
-def sanitize_snapshot(content: Content, roots: DataFrame, scope: Sequence[str] = SNAPSHOT) -> Content:
+def sanitize_snapshot(
+    content: Content, roots: DataFrame, scope: Sequence[str] = SNAPSHOT, restorable: DataFrame | None = None
+) -> Content:
     """Drop what belongs to sessions without a log file.
 
     Only where there is a state database: its tables are pruned, the paths of its
-    threads repaired to ``root_path``, and the line files filtered.
+    threads repaired to ``root_path``, and the line files filtered. ``restorable``
+    names the sessions that have a file, if they are known.
     """
-    ids = restorable_sessions(content, roots, scope).join(content.states, list(scope), "left_semi")
+    if restorable is None:
+        restorable = staged(restorable_sessions(content, roots, scope), "restorable")
+    ids = restorable.join(content.states, list(scope), "left_semi")
     tables = state.prune_state(content.tables, ids, scope)
     if "threads" in tables:
         threads = tables["threads"].join(roots.select(*scope, "root_path"), list(scope), "left")
@@ -184,8 +190,9 @@ def create_snapshot(
     snapshot_id, nth, message)`` the report on skipped files.
     """
     roots = requests.select(*SNAPSHOT, "root_path")
-    content = sanitize_snapshot(_taken(current, requests, candidates), roots)
-    ids = restorable_sessions(content, roots, SNAPSHOT)
+    taken = _taken(current, requests, candidates)
+    ids = staged(restorable_sessions(taken, roots, SNAPSHOT), "restorable")
+    content = sanitize_snapshot(taken, roots, SNAPSHOT, ids)
     return content, _manifest(content, requests, profiles, ids, warnings)
 
 
@@ -227,13 +234,14 @@ def _lightweight_snapshot(
     listed = files.filter(F.col("rel_path").isin([*C.LINE_FILES, C.STATE_FILE]))
     extra = files.filter(paths.top_entry(F.col("rel_path")).isin(extras))
     filtered = lines.filter_lines(taken.lines, ids, "mention", lines.LINE_FILE_KEYS, SNAPSHOT)
+    chosen = staged(own.unionByName(shell).unionByName(listed).unionByName(extra), "files")
     content = taken.with_(
-        files=own.unionByName(shell).unionByName(listed).unionByName(extra),
+        files=chosen,
         lines=filtered.select(*taken.lines.columns),
-        bodies=_bodies_of(taken.bodies, own),
+        bodies=_bodies_of(taken.bodies, catalog.session_files(chosen)),
     )
-    content = sanitize_snapshot(content, roots)
-    counted = restorable_sessions(content, roots, SNAPSHOT)
+    counted = staged(restorable_sessions(content, roots, SNAPSHOT), "restorable")
+    content = sanitize_snapshot(content, roots, SNAPSHOT, counted)
     # Here the files tell the counts, with or without a state database.
     manifest = _manifest(content, requests, _file_profiles(profiles, content, counted), counted, None)
     return content, manifest

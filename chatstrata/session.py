@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators count on; the sizes are left to the cluster.
 SETTINGS = {
@@ -29,3 +29,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder the cluster shares; a local one only if none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{shared or tempfile.mkdtemp(prefix='chatstrata-')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(table: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    Jobs stage the small tables they join many times, such as the ids of the
+    sessions to keep: they are computed once, survive lost executors, and their
+    size is known when the next joins are planned.
+    """
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

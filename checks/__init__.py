@@ -2,6 +2,7 @@
 
 from checks import (  # noqa: F401
     catalog_checks,
+    job_checks,
     line_checks,
     message_checks,
     snapshot_checks,

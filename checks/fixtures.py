@@ -150,13 +150,36 @@ VIEWS = {
     "fx_fleet_jobs": """
         SELECT root_id, n AS item, CASE WHEN n % 8 = 0 THEN NULL ELSE id END AS assigned_thread_id
         FROM fx_threads WHERE n % 2 = 0""",
-    # Store of one snapshot per root, older than the current state: other titles, fewer sessions.
+    # The current files lack every 7th log.
+    "fx_now_files": """
+        SELECT * FROM fx_fleet_files
+        WHERE id = '' OR rel_path LIKE 'shell%' OR CAST(substr(id, 25) AS BIGINT) % 7 <> 3""",
+    # One snapshot per root, older than the current state: other titles, fewer sessions.
     "fx_store_files": """
         SELECT root_id, id, rel_path, size_bytes + 1 AS size_bytes, mtime FROM fx_fleet_files
         WHERE id <> '' AND CAST(substr(id, 25) AS BIGINT) % 3 <> 0
         UNION ALL SELECT root_id, id, rel_path, size_bytes, mtime FROM fx_fleet_files WHERE rel_path = 'history.jsonl'""",
+    "fx_store_logs": "SELECT * FROM fx_store_files WHERE rel_path LIKE '%sessions/%'",
+    "fx_store_history": """
+        SELECT root_id, n AS line_no, id, CASE WHEN n % 4 = 0 THEN title ELSE 'old ' || CAST(n AS STRING) END AS title, n
+        FROM fx_threads WHERE n % 2 = 0 OR n % 8 = 1""",
+    "fx_store_states": "SELECT root_id FROM fx_roots WHERE root_id % 5 <> 1",
+    "fx_store_threads": """
+        SELECT t.root_id, t.id, 'snap' AS title, t.rollout_path, t.cwd, t.model_provider, t.model, t.source,
+          t.created_at, t.updated_at, t.archived, t.n, f.id IS NOT NULL AS held
+        FROM fx_threads t LEFT JOIN fx_store_logs f ON f.root_id = t.root_id AND f.id = t.id
+        WHERE t.n % 2 = 0 AND t.root_id % 5 <> 1""",
+    "fx_store_jobs": """
+        SELECT root_id, n AS item, CASE WHEN n % 16 = 2 THEN NULL ELSE id END AS assigned_thread_id
+        FROM fx_threads WHERE n % 2 = 0 AND root_id % 5 <> 1""",
+    # Sessions the snapshots can restore: all held ones, unless every thread has its file.
+    "fx_store_sessions": """
+        SELECT root_id, id FROM fx_store_threads WHERE held
+        UNION SELECT root_id, id FROM fx_store_logs
+        WHERE root_id NOT IN (SELECT root_id FROM fx_store_threads GROUP BY root_id HAVING min(CASE WHEN held THEN 1 ELSE 0 END) = 1)""",
+    "fx_chosen": "SELECT root_id, root_path FROM fx_roots WHERE root_id % 7 <> 6",
     # Sessions named in the restore and delete jobs.
-    "fx_picked": "SELECT root_id, id, n FROM fx_threads WHERE n % 4 = 1",
+    "fx_picked": "SELECT root_id, id, n FROM fx_threads WHERE n % 4 = 1 OR n % 8 = 2",
 }
 
 
