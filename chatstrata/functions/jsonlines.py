@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatstrata import constants as C
 from chatstrata.functions.paths import is_local_attachment, normalize_path
-from chatstrata.functions.text import is_blank
+from chatstrata.functions.text import bound, is_blank
 
 # Each level handles an array or an object; a usual message body needs three.
 TEXT_DEPTH = 8
@@ -63,11 +63,15 @@ def extract_text(value: Column, depth: int = TEXT_DEPTH) -> Column:
     The recursion is unrolled. A level is named once in the next one, so the
     expression grows linearly with the depth.
     """
+    return bound(value, lambda body: _text(body, depth))
+
+
+def _text(value: Column, depth: int) -> Column:
     string = as_string(value)
     if depth == 0:
         return F.coalesce(string, F.lit(""))
     texts = F.filter(
-        F.transform(_text_children(value), lambda child: extract_text(child, depth - 1)),
+        F.transform(_text_children(value), lambda child: _text(child, depth - 1)),
         lambda text: ~is_blank(text),
     )
     # An array takes all its parts, an object only the first one found.

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatstrata import constants as C
+from chatstrata.functions.text import bound
 
 
 def base_name(path: Column) -> Column:
@@ -37,10 +38,14 @@ def resolve_archived(flag: Column, rel_path: Column) -> Column:
 
 def normalize_path(path: Column) -> Column:
     """Resolve '.', '..' and doubled slashes; leading '..' of a relative path stays."""
+    return bound(path, lambda p: F.when(p.rlike(r"(^|/)\.{1,2}(/|$)|//|./$"), _resolved(p)).otherwise(p))
+
+
+def _resolved(path: Column) -> Column:
     absolute = path.startswith("/")
 
     def add(done: Column, part: Column) -> Column:
-        above_start = (F.size(done) == 0) | (F.element_at(done, F.when(F.size(done) > 0, -1)) == "..")
+        above_start = (F.size(done) == 0) | (F.get(done, F.size(done) - 1) == "..")
         return (
             F.when((part == "") | (part == "."), done)
             .when((part == "..") & above_start, F.when(absolute, done).otherwise(F.concat(done, F.array(part))))
@@ -49,24 +54,26 @@ def normalize_path(path: Column) -> Column:
         )
 
     parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add)
-    joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)|//|.+/$"), joined).otherwise(path)
+    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
 
 
 def relative_path(path: Column, root: Column) -> Column:
     """Path below a root; null when it is the root itself or lies outside."""
-    base = F.regexp_replace(normalize_path(_slashes(root)), "/+$", "")
-    full = normalize_path(_slashes(path))
-    rest = F.substr(full, F.length(base) + 2)
-    inside = (root != "") & full.startswith(F.concat(base, F.lit("/")))
-    return F.when(inside & (rest != "") & ~rest.startswith(".."), rest)
+    base = F.rtrim(normalize_path(_slashes(root)), F.lit("/"))
+    names = F.struct(normalize_path(_slashes(path)).alias("full"), F.concat(base, F.lit("/")).alias("base"))
+    below = bound(
+        names, lambda n: F.when(n["full"].startswith(n["base"]), F.substr(n["full"], F.length(n["base"]) + 1))
+    )
+    return F.when(root != "", bound(below, lambda rel: F.when((rel != "") & ~rel.startswith(".."), rel)))
 
 
 def reroot_path(path: Column, snapshot_root: Column | None = None, current_root: Column | None = None) -> Column:
     """Path relative to either root, else what follows the root marker, else null."""
-    after_marker = normalize_path(F.regexp_extract(_slashes(path), f"(?is){_quoted(C.ROOT_MARKER)}(.*)$", 1))
-    below_marker = F.when((after_marker != "") & ~after_marker.rlike(r"^\.\.(/|$)"), after_marker)
+    after_marker = F.regexp_extract(_slashes(path), f"(?is){_quoted(C.ROOT_MARKER)}(.*)$", 1)
     below_roots = [relative_path(path, root) for root in (snapshot_root, current_root) if root is not None]
+    below_marker = bound(
+        normalize_path(after_marker), lambda rel: F.when((rel != "") & ~rel.rlike(r"^\.\.(/|$)"), rel)
+    )
     return F.coalesce(*below_roots, below_marker)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from chatstrata import constants as C
 _MAX_EPOCH_SECONDS = 8_640_000_000_000
 
 
-def as_col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(text: Column) -> Column:

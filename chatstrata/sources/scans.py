@@ -214,6 +214,7 @@ def scan_snapshot_manifests(
     base: str | list[str],
     sizes: DataFrame | None = None,
     root_pattern: str = ROOT_PATTERN,
+    file_glob: str = "snapshot.json",
 ) -> DataFrame:
     """One row per readable ``snapshots/<id>/snapshot.json``, missing fields filled in.
 
@@ -223,7 +224,7 @@ def scan_snapshot_manifests(
         spark.read.schema(schemas.MANIFEST)
         .option("multiLine", "true")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "snapshot.json")
+        .option("pathGlobFilter", file_glob)
         .json(base)
         .select("*", _decoded(F.col("_metadata.file_path")).alias("path"))
     )

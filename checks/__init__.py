@@ -6,6 +6,7 @@ from checks import (  # noqa: F401
     line_checks,
     message_checks,
     snapshot_checks,
+    source_checks,
     state_checks,
 )
 from checks.registry import ORACLES as ALL_ORACLES

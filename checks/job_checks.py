@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatstrata.operators import snapshots
 from chatstrata.operators.content import Content
 from chatstrata.plans import fleet, restore_jobs, snapshot_jobs
+from chatstrata.session import staged
 from checks.catalog_checks import full_catalog
 from checks.registry import Tables, check
 from checks.snapshot_checks import CANDIDATES, PROFILES, profile_rows, root_snapshots
@@ -24,6 +25,11 @@ def timed(files: DataFrame) -> DataFrame:
     return files.withColumn("mtime", F.timestamp_seconds("mtime"))
 
 
+def stored(content: Content) -> Content:
+    """Content as it is found in practice: tables on disk."""
+    return content.map_tables(lambda table: staged(table, "fixture"))
+
+
 def current(tables: Tables, files: str = "fx_now_files") -> Content:
     index = tables("fx_fleet_index").select(
         "root_id",
@@ -36,7 +42,7 @@ def current(tables: Tables, files: str = "fx_now_files") -> Content:
     def of_states(rows: DataFrame) -> DataFrame:
         return rows.join(states, ["root_id"], "left_semi")
 
-    return Content(
+    return stored(Content(
         files=timed(tables(files)),
         lines=history_lines(tables, "fx_fleet_history").unionByName(index),
         states=states,
@@ -46,7 +52,7 @@ def current(tables: Tables, files: str = "fx_now_files") -> Content:
             "agent_job_items": of_states(tables("fx_fleet_jobs")),
             "device_key_bindings": of_states(tables("SELECT root_id, 'key' AS binding FROM fx_roots")),
         },
-    )
+    ))
 
 
 def store(tables: Tables) -> Content:
@@ -61,7 +67,7 @@ def store(tables: Tables) -> Content:
             "device_key_bindings": tables("SELECT root_id, 'old' AS binding FROM fx_store_states"),
         },
     )
-    return content.map_tables(lambda table: table.withColumn("snapshot_id", F.lit("snap")))
+    return stored(content.map_tables(lambda table: table.withColumn("snapshot_id", F.lit("snap"))))
 
 
 def chosen(tables: Tables) -> DataFrame:
