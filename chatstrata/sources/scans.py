@@ -262,10 +262,9 @@ def scan_snapshot_manifests(
 def scan_profiles(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
     """Text of the config and account files of each root, read whole (they are small)."""
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"{{{C.CONFIG_FILE},{C.AUTH_FILE}}}")
-        .text(base)
+        .text(base, wholetext=True)
         .select("value", _decoded(F.col("_metadata.file_path")).alias("path"))
     )
     return raw.select(
