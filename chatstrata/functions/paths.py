@@ -38,7 +38,14 @@ def resolve_archived(flag: Column, rel_path: Column) -> Column:
 
 def normalize_path(path: Column) -> Column:
     """Resolve '.', '..' and doubled slashes; leading '..' of a relative path stays."""
-    return bound(path, lambda p: F.when(p.rlike(r"(^|/)\.{1,2}(/|$)|//|./$"), _resolved(p)).otherwise(p))
+
+    def clean(p: Column) -> Column:
+        # Few paths come near needing it; the others are not even matched.
+        suspect = p.contains("/.") | p.contains("//") | p.startswith(".") | p.endswith("/")
+        unclean = F.when(suspect, p.rlike(r"(^|/)\.{1,2}(/|$)|//|./$")).otherwise(False)
+        return F.when(unclean, _resolved(p)).otherwise(p)
+
+    return bound(path, clean)
 
 
 def _resolved(path: Column) -> Column:
@@ -69,7 +76,9 @@ def relative_path(path: Column, root: Column) -> Column:
 
 def reroot_path(path: Column, snapshot_root: Column | None = None, current_root: Column | None = None) -> Column:
     """Path relative to either root, else what follows the root marker, else null."""
-    after_marker = F.regexp_extract(_slashes(path), f"(?is){_quoted(C.ROOT_MARKER)}(.*)$", 1)
+    slashed = _slashes(path)
+    start = F.locate(C.ROOT_MARKER, F.lower(slashed))
+    after_marker = F.when(start > 0, F.substr(slashed, start + len(C.ROOT_MARKER)))
     below_roots = [relative_path(path, root) for root in (snapshot_root, current_root) if root is not None]
     below_marker = bound(
         normalize_path(after_marker), lambda rel: F.when((rel != "") & ~rel.rlike(r"^\.\.(/|$)"), rel)
@@ -88,8 +97,4 @@ def is_local_attachment(path: Column) -> Column:
 
 
 def _slashes(path: Column) -> Column:
-    return F.translate(path, "\\", "/")
-
-
-def _quoted(literal: str) -> str:
-    return literal.replace(".", r"\.")
+    return F.replace(path, F.lit("\\"), F.lit("/"))

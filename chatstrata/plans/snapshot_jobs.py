@@ -34,6 +34,7 @@ def restorable_sessions(content: Content, roots: DataFrame, scope: Sequence[str]
     resolved = _resolved_threads(content, roots, scope)
     if resolved is None:
         return catalog.session_files(content.files).select(*scope, "id").distinct()
+    resolved = staged(resolved.select(*scope, "id", "exists_on_disk"), "resolved")
     return catalog.restorable_ids(resolved, content.files, scope)
 
 
