@@ -231,11 +231,11 @@ def search_sessions(tables: Tables) -> DataFrame:
 
 @check(f"""
     SELECT root_id, id FROM ({CATALOG}) c
-    WHERE contains(lower(concat_ws(' ', id, title, cwd, model_provider, model, source, rollout_path)), '1 cli /home')
-      OR contains(lower(concat_ws(' ', id, title, cwd, model_provider, model, source, rollout_path)), '1 cli sessions')""")
+    WHERE contains(lower(concat_ws(' ', id, title, cwd, model_provider, model, source, rollout_path)), '2 cli /home')
+      OR contains(lower(concat_ws(' ', id, title, cwd, model_provider, model, source, rollout_path)), '2 cli sessions')""")
 def search_joined(tables: Tables) -> DataFrame:
     c = full_catalog(tables)
-    both = [catalog.search_sessions(c, query, "joined") for query in ("1 cli /home", "1 CLI sessions")]
+    both = [catalog.search_sessions(c, query, "joined") for query in ("2 cli /home", "2 CLI sessions")]
     return both[0].unionByName(both[1]).select("root_id", "id")
 
 

@@ -64,24 +64,24 @@ VIEWS = {
         FROM fx_files WHERE n % {k + 2} = 0"""
         for k in range(3)
     ),
-    # State tables of one root, a current and a snapshot version with other columns.
+    # State tables of one root (computed, so that it is no constant to the optimizer), a current and a snapshot version with other columns.
     "fx_state_dst": """
-        SELECT CAST(1 AS BIGINT) AS root_id, id, title, model, archived, 'dst' AS only_in_dst
+        SELECT CAST(n * 0 + 1 AS BIGINT) AS root_id, id, title, model, archived, 'dst' AS only_in_dst
         FROM fx_threads WHERE n % 3 <> 0""",
     "fx_state_src": """
-        SELECT CAST(1 AS BIGINT) AS root_id, id, 'snap ' || id AS title, model, archived, 'src' AS only_in_src
+        SELECT CAST(n * 0 + 1 AS BIGINT) AS root_id, id, 'snap ' || id AS title, model, archived, 'src' AS only_in_src
         FROM fx_threads WHERE n % 2 = 0""",
     "fx_edges": f"""
-        SELECT CAST(1 AS BIGINT) AS root_id,
+        SELECT CAST(l_orderkey * 0 + 1 AS BIGINT) AS root_id,
           CASE WHEN l_linenumber = 5 THEN NULL ELSE {uuid_of('l_orderkey')} END AS parent_thread_id,
           CASE WHEN l_linenumber = 6 THEN NULL ELSE {uuid_of('l_partkey')} END AS child_thread_id,
           l_linenumber AS edge_no
         FROM lineitem""",
     "fx_jobs": f"""
-        SELECT CAST(1 AS BIGINT) AS root_id, l_orderkey * 10 + l_linenumber AS item,
+        SELECT CAST(l_orderkey * 0 + 1 AS BIGINT) AS root_id, l_orderkey * 10 + l_linenumber AS item,
           CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE {uuid_of('l_orderkey')} END AS assigned_thread_id
         FROM lineitem""",
-    "fx_allowed": "SELECT CAST(1 AS BIGINT) AS root_id, id FROM fx_threads WHERE n % 4 = 0",
+    "fx_allowed": "SELECT CAST(n * 0 + 1 AS BIGINT) AS root_id, id FROM fx_threads WHERE n % 4 = 0",
     # Log lines by kind; sessions of even number are logged as events.
     "fx_messages": f"""
         SELECT conv_id, turn, conv_id % 8 AS root_id, {uuid_of('conv_id')} AS session_id, role, text,
@@ -101,19 +101,19 @@ VIEWS = {
         FROM fx_messages WHERE conv_id % 3 = 0 AND turn < 3""",
     # Lines of one file: JSON with an id and a mention, or plain notes that repeat.
     "fx_log_lines": f"""
-        SELECT CAST(1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, conv_id * 100 + turn * 2 AS line_no,
+        SELECT CAST(conv_id * 0 + 1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, conv_id * 100 + turn * 2 AS line_no,
           'json' AS kind, session_id, {uuid_of('(conv_id * 3 + turn) % 100')} AS ref_id, text
         FROM fx_messages
         UNION ALL
-        SELECT CAST(1 AS BIGINT), 'history.jsonl', conv_id * 100 + turn * 2 + 1, 'note', NULL,
+        SELECT CAST(conv_id * 0 + 1 AS BIGINT), 'history.jsonl', conv_id * 100 + turn * 2 + 1, 'note', NULL,
           {uuid_of('(conv_id * 3 + turn) % 100')}, NULL
         FROM fx_messages WHERE turn < 3""",
-    "fx_line_ids": f"SELECT DISTINCT CAST(1 AS BIGINT) AS root_id, session_id AS id FROM fx_messages WHERE conv_id % 4 = 0",
+    "fx_line_ids": f"SELECT DISTINCT CAST(conv_id * 0 + 1 AS BIGINT) AS root_id, session_id AS id FROM fx_messages WHERE conv_id % 4 = 0",
     "fx_line_current": """
-        SELECT CAST(1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, doc_id AS line_no, text AS line
+        SELECT CAST(doc_id * 0 + 1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, doc_id AS line_no, text AS line
         FROM documents WHERE doc_id % 3 <> 0""",
     "fx_line_snapshot": """
-        SELECT CAST(1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, doc_id AS line_no, text AS line
+        SELECT CAST(doc_id * 0 + 1 AS BIGINT) AS root_id, 'history.jsonl' AS rel_path, doc_id AS line_no, text AS line
         FROM documents WHERE doc_id % 2 = 0""",
     # Catalog log files and their copies in the other directory.
     "fx_log_files": """

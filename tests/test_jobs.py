@@ -28,7 +28,7 @@ def content(spark, numbers, with_state=True, title="t"):
         tables["threads"] = threads(spark, rows).withColumn("title", F.lit(title))
     states = spark.createDataFrame([(1,)] if with_state else [], "root_id bigint")
     return Content(
-        files=spark.createDataFrame(files, FILES),
+        files=spark.createDataFrame(files, FILES).withColumn("mtime", F.timestamp_seconds(F.lit(5))),
         lines=spark.createDataFrame(lines, LINES),
         states=states,
         tables=tables,
