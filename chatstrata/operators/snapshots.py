@@ -85,14 +85,13 @@ def assign_snapshot_ids(requests: DataFrame, existing: DataFrame, order: str = "
     based = requests.withColumn("base_id", naming.snapshot_base_id(F.col("created_at"), F.col("reason")))
     based = based.withColumn("nth", F.row_number().over(W.partitionBy(*base_key).orderBy(order)))
     asked = based.groupBy(*base_key).agg(F.max("nth").alias("asked"))
-    # Upper bound of the numbers needed: as many as are asked for or taken.
+    # Candidates: a number for each request and one more for each id that may be taken.
     taken = existing.select(
-        "root_id", F.explode(F.array("id", F.regexp_replace("id", r"-\d+$", ""))).alias("base_id")
-    )
-    taken = taken.groupBy(*base_key).agg(F.count("*").alias("taken"))
-    numbers = asked.join(taken, base_key, "left").select(
-        *base_key, F.explode(F.sequence(F.lit(1), F.col("asked") + F.coalesce("taken", F.lit(0)))).alias("number")
+        "root_id", F.explode(F.array("id", F.regexp_replace("id", r"-\d+$", ""))).alias("base_id"), "id"
     )
+    taken = taken.withColumn("more", F.row_number().over(W.partitionBy(*base_key).orderBy("id")))
+    more = taken.join(asked, base_key).select(*base_key, (F.col("asked") + F.col("more")).alias("number"))
+    numbers = based.select(*base_key, F.col("nth").alias("number")).unionByName(more)
     suffix = F.when(F.col("number") > 1, F.concat(F.lit("-"), F.col("number").cast("string"))).otherwise("")
     free = numbers.withColumn("id", F.concat("base_id", suffix)).join(
         existing.select("root_id", "id"), ["root_id", "id"], "left_anti"
