@@ -31,7 +31,6 @@ def number_lines(scanned: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES) -
     are added, so that no task gets more than a split.
     """
     file = ["root_id", "rel_path"]
-    split = [*file, F.coalesce("part", F.lit("")), "file_block_start"]
     is_whole = F.col("part").isNull() & (F.col("file_size") <= whole_file_bytes)
 
     in_file = W.partitionBy(*file).orderBy("file_block_start", "scan_order")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chatstrata import constants as C
 from chatstrata.functions import naming, paths
-from chatstrata.operators import catalog, lines, snapshots, state
+from chatstrata.operators import attachments, catalog, lines, snapshots, state
 from chatstrata.operators.content import SNAPSHOT, Content
 from chatstrata.session import staged
 from chatstrata.sources.scans import parse_history, parse_session_index
@@ -96,7 +96,31 @@ def _content_sizes(content: Content) -> DataFrame:
     rewritten = content.lines.groupBy(*SNAPSHOT, "rel_path").agg(
         F.sum(F.octet_length("line") + 1).alias("size_bytes")
     )
-    return snapshots.directory_sizes(unchanged.unionByName(rewritten), SNAPSHOT)
+    sized = unchanged.unionByName(rewritten)
+    if content.attachments is not None:
+        sized = sized.unionByName(
+            content.attachments.select(*SNAPSHOT, F.col("stored_path").alias("rel_path"), "size_bytes")
+        )
+    return snapshots.directory_sizes(sized, SNAPSHOT)
+
+
+def _with_attachments(content: Content, ids: DataFrame, inventory: DataFrame | None) -> Content:
+    """Content with the manifest of the attachments its sessions name.
+
+    ``inventory(root_id, path, size_bytes)`` lists the files outside the roots;
+    only roots with a state database take attachments along.
+    """
+    if inventory is None or content.bodies is None:
+        return content
+    logs = catalog.one_file_per_session(content.files, SNAPSHOT).select(
+        *SNAPSHOT, "rel_path", F.col("id").alias("session_id")
+    )
+    named = content.bodies.join(logs, [*SNAPSHOT, "rel_path"])
+    wanted = ids.join(content.states, list(SNAPSHOT), "left_semi").select("root_id", F.lower("id").alias("id"))
+    manifest = attachments.collect_attachments(named, wanted, inventory)
+    # A root has one new snapshot at a time.
+    of_root = ids.select(*SNAPSHOT).distinct()
+    return content.with_(attachments=staged(manifest.join(of_root, ["root_id"]), "attachments"))
 
 
 def _manifest(
@@ -111,6 +135,9 @@ def _manifest(
     key = list(SNAPSHOT)
     counts = snapshots.snapshot_session_counts(ids, content.files, SNAPSHOT)
     state_entry = content.states.select(*key, F.lit(C.STATE_FILE).alias("path"))
+    if content.attachments is not None:
+        entry = content.attachments.select(*key, F.lit(C.ATTACHMENT_DIR).alias("path"))
+        state_entry = state_entry.unionByName(entry)
     included = snapshots.included_paths(content.files, state_entry, SNAPSHOT)
     rows = (
         requests.join(profiles.select("root_id", *_PROFILE), ["root_id"], "left")
@@ -183,17 +210,19 @@ def create_snapshot(
     profiles: DataFrame,
     candidates: Sequence[str] = tuple(C.BACKUP_PATHS),
     warnings: DataFrame | None = None,
+    attachment_files: DataFrame | None = None,
 ) -> tuple[Content, DataFrame]:
     """Snapshot each requested root: content and manifest rows.
 
     ``requests(root_id, snapshot_id, root_path, reason, name, created_at)`` has one
     row per root, ``profiles`` is the profile state, ``warnings(root_id,
-    snapshot_id, nth, message)`` the report on skipped files.
+    snapshot_id, nth, message)`` the report on skipped files, ``attachment_files``
+    the inventory of files outside the roots.
     """
     roots = requests.select(*SNAPSHOT, "root_path")
     taken = _taken(current, requests, candidates)
     ids = staged(restorable_sessions(taken, roots, SNAPSHOT), "restorable")
-    content = sanitize_snapshot(taken, roots, SNAPSHOT, ids)
+    content = _with_attachments(sanitize_snapshot(taken, roots, SNAPSHOT, ids), ids, attachment_files)
     return content, _manifest(content, requests, profiles, ids, warnings)
 
 
@@ -205,6 +234,7 @@ def create_protection_snapshot(
     mode: ProtectionMode = "lightweight",
     full_candidates: Sequence[str] = tuple(C.BACKUP_PATHS),
     extra_paths: Sequence[str] = (),
+    attachment_files: DataFrame | None = None,
 ) -> tuple[Content, DataFrame]:
     """Snapshot to fall back on before sessions are changed.
 
@@ -212,17 +242,24 @@ def create_protection_snapshot(
     extra paths; 'full', and roots without any session, take everything.
     """
     if mode == "full":
-        return create_snapshot(current, requests, profiles, full_candidates)
+        return create_snapshot(current, requests, profiles, full_candidates, None, attachment_files)
     with_sessions = sessions.select("root_id").distinct()
     light = requests.join(with_sessions, ["root_id"], "left_semi")
     whole = requests.join(with_sessions, ["root_id"], "left_anti")
-    light_content, light_rows = _lightweight_snapshot(current, light, profiles, sessions, extra_paths)
-    whole_content, whole_rows = create_snapshot(current, whole, profiles, full_candidates)
+    light_content, light_rows = _lightweight_snapshot(
+        current, light, profiles, sessions, extra_paths, attachment_files
+    )
+    whole_content, whole_rows = create_snapshot(current, whole, profiles, full_candidates, None, attachment_files)
     return union_contents(light_content, whole_content), light_rows.unionByName(whole_rows)
 
 
 def _lightweight_snapshot(
-    current: Content, requests: DataFrame, profiles: DataFrame, sessions: DataFrame, extra_paths: Sequence[str]
+    current: Content,
+    requests: DataFrame,
+    profiles: DataFrame,
+    sessions: DataFrame,
+    extra_paths: Sequence[str],
+    attachment_files: DataFrame | None,
 ) -> tuple[Content, DataFrame]:
     key = list(SNAPSHOT)
     roots = requests.select(*key, "root_path")
@@ -242,7 +279,7 @@ def _lightweight_snapshot(
         bodies=_bodies_of(taken.bodies, catalog.session_files(chosen)),
     )
     counted = staged(restorable_sessions(content, roots, SNAPSHOT), "restorable")
-    content = sanitize_snapshot(content, roots, SNAPSHOT, counted)
+    content = _with_attachments(sanitize_snapshot(content, roots, SNAPSHOT, counted), counted, attachment_files)
     # Here the files tell the counts, with or without a state database.
     manifest = _manifest(content, requests, _file_profiles(profiles, content, counted), counted, None)
     return content, manifest

@@ -139,3 +139,20 @@ def test_extra_paths_of_a_light_snapshot(spark):
     )
     assert manifest.collect()[0].included_paths == ["config.toml", "history.jsonl", "sessions", "state_5.sqlite"]
     assert ids_in(saved.files.filter("id <> ''")) == [2]
+
+
+def test_attachments_travel_with_the_snapshot(spark, tmp_path):
+    now = content(spark, [1, 2])
+    named = json.dumps({"payload": {"images": ["/a/1.png", "/a/gone.png"]}})
+    now = now.with_(bodies=now.bodies.withColumn("line", F.when(F.col("rel_path").contains(sid(1)), named).otherwise("x")))
+    inventory = spark.createDataFrame([(1, "/a/1.png", 40), (1, "/a/2.png", 50)], "root_id bigint, path string, size_bytes bigint")
+    bare, bare_rows = snapshot_jobs.create_snapshot(now, requests(spark), profiles(spark))
+    saved, rows = snapshot_jobs.create_snapshot(now, requests(spark), profiles(spark), attachment_files=inventory)
+    assert [(r.session_id, r.original_path) for r in saved.attachments.collect()] == [(sid(1), "/a/1.png")]
+    row, bare_row = rows.collect()[0], bare_rows.collect()[0]
+    assert row.size_bytes == bare_row.size_bytes + 40
+    assert set(row.included_paths) - set(bare_row.included_paths) == {"external_attachments"}
+    for in_place, expected in (([], 1), ([(1, "/a/1.png")], 0)):
+        found = spark.createDataFrame(in_place, "root_id bigint, path string")
+        back = restore_jobs.restore_sessions(saved, rows, ids_frame(spark, [1]), now, roots(spark), in_place=found)
+        assert back.attachments.count() == expected
