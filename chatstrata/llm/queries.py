@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatstrata.llm import block_naming, kd_sharding, language_id
+from chatstrata.llm import block_naming, kd_sharding, language_id, quality
 from chatstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~held_out)
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    classifier = quality.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score(docs, classifier)
+    predicted = (F.col("score") >= quality.ACCEPTED).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
