@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatstrata.llm import block_naming, kd_sharding, language_id, quality
+from chatstrata.llm import block_naming, kd_sharding, language_id, packing, quality, token_files, warc_zip
 from chatstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, classifier)
     predicted = (F.col("score") >= quality.ACCEPTED).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packing_ = packing.pack_documents(table(spark, sf_dir, "documents"))
+    digests = packing_.pieces.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(packing_.placement, "key").drop("key")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.round_trip(spark, table(spark, sf_dir, "documents"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return read.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
