@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatstrata.llm import block_naming, kd_sharding, language_id, packing, quality, token_files, warc_zip
+from chatstrata.llm import block_naming, kd_sharding, language_id, packing, quality, simhash, token_files, warc_zip
 from chatstrata.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
