@@ -99,8 +99,7 @@ def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_components(table(spark, sf_dir, "documents"))
-    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+    return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -12,6 +12,10 @@ More groups give longer keys: their number follows the number of fingerprints, s
 together by chance at any size. A key that many share is dealt out in pairs of chunks.
 Only links that join two parts of a key's fingerprints are returned, which has the same components.
 
+`similar_components` links by an estimated similarity of shingle sets instead: 512 bits, of which the
+share that differs tells the angle between the sets, and keys of sampled one-bit references, so many
+that a pair at the wanted similarity meets with the probability RECALL. Here the radius is wide.
+
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 any other. Rows that repeat are linked with each other. A null doc_id is never the least of
 its component, unless all are null. An empty table gives an empty result.
@@ -25,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from chatstrata.llm.byte_text import mixed
 from chatstrata.llm.components import components
 from chatstrata.session import staged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64
+# The wide form: words of 64 bits, and the part of pairs at the wanted similarity that must meet.
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL = 8, 5, 0.8, 0.9
 # At most so many fingerprints share a key by chance, on average.
 EXPECTED = 4
 CHUNK = 4000
@@ -42,54 +49,79 @@ SMALL = 8
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a whole text, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word runs of a whole text, repeats included."""
     import xxhash
 
     # lower() of bytes changes A-Z only
     words = WORDS.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        digest = xxhash.xxh64_intdigest
-        pairs = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        hashes = [digest(joined[start:end], SEED) for start, end in pairs]
-    values = np.array(hashes, np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for first in range(0, len(values), 1 << 14):
-        part = values[first : first + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    digest = xxhash.xxh64_intdigest
+    pairs = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.fromiter((digest(joined[start:end], SEED) for start, end in pairs), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit word per column of `hashes`; a bit is set if it is in over half of the rows."""
+    words = hashes.shape[1]
+    ones = np.zeros(BITS * words, np.int64)
+    for first in range(0, len(hashes), 1 << 12):
+        part = np.ascontiguousarray(hashes[first : first + (1 << 12)]).view(np.uint8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(values), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def fingerprints(text: str = "text", shingle: int = SHINGLE) -> Column:
-    @pandas_udf("long")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a whole text."""
+    hashes = shingle_hashes(text, shingle)
+    return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
-    return hashed(text)
+
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """The fingerprint of the set of a text's shingles, in WIDE_WORDS words."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    if not len(hashes):
+        return bytes(8 * WIDE_WORDS)
+    salts = mixed(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) << np.uint64(32))
+    return majority(mixed(hashes[:, None] ^ salts)).tobytes()
 
 
 def hadamard() -> np.ndarray:
     """Half of the rows of the 64-bit Hadamard matrix as reference fingerprints."""
     rows = np.arange(1, BITS, 2)[:, None] & np.arange(BITS)[None, :]
     bits = np.array([[bin(v).count("1") & 1 for v in row] for row in rows], np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
 PIVOTS = hadamard()
 
 
 def distances(values: np.ndarray, references: np.ndarray) -> np.ndarray:
-    """The table of Hamming distances: a row for each fingerprint, a column for each reference."""
-    return np.bitwise_count(values[:, None] ^ references[None, :]).astype(np.int8)
+    """The table of Hamming distances: a row for each fingerprint, a column for each reference.
+
+    Both are rows of 64-bit words; a reference of one word is repeated to the fingerprints' length.
+    """
+    table = np.zeros((len(values), len(references)), np.int16)
+    for word in range(values.shape[1]):
+        other = references[:, word % references.shape[1]]
+        table += np.bitwise_count(values[:, word][:, None] ^ other[None, :])
+    return table
+
+
+def nearer_to_one_bit(values: np.ndarray) -> np.ndarray:
+    """Per fingerprint and one-bit reference: whether that reference is nearer than zero."""
+    words = values.shape[1]
+    ones = np.zeros((BITS * words, words), np.uint64)
+    ones[np.arange(BITS * words), np.arange(BITS * words) // BITS] = np.uint64(1) << (np.arange(BITS * words, dtype=np.uint64) % np.uint64(BITS))
+    zero = distances(values, np.zeros((1, words), np.uint64))
+    return distances(values, ones) < zero
 
 
 def group_plan(count: int, radius: int = RADIUS) -> tuple[int, int]:
@@ -101,14 +133,10 @@ def group_plan(count: int, radius: int = RADIUS) -> tuple[int, int]:
 
 
 def pivot_keys(values: np.ndarray, groups: int, agree: int) -> np.ndarray:
-    """A row for each fingerprint of one key for each choice of `agree` groups."""
-    ones = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
-    table = distances(values, np.concatenate([np.zeros(1, np.uint64), ones]))
-    # +1 where the one-bit reference is nearer than zero, else -1
-    nearer = (table[:, :1] - table[:, 1:]) > 0
-    members = np.array_split(np.arange(BITS), groups)
-    weights = [np.uint64(1) << np.arange(len(m), dtype=np.uint64) for m in members]
-    codes = [(nearer[:, m] * w).sum(axis=1, dtype=np.uint64) for m, w in zip(members, weights)]
+    """A row for each fingerprint of one key for each choice of `agree` groups of one-bit references."""
+    nearer = nearer_to_one_bit(values)
+    members = np.array_split(np.arange(nearer.shape[1]), groups)
+    codes = [_packed(nearer[:, m]) for m in members]
     keys = []
     for number, choice in enumerate(itertools.combinations(range(groups), agree)):
         key = np.full(len(values), number, np.uint64)
@@ -118,15 +146,41 @@ def pivot_keys(values: np.ndarray, groups: int, agree: int) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return (bits * (np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """The part of bits that differs on average between sets of equal size and that Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def sample_plan(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(keys, references in each): keys long enough for so many fingerprints, and enough of them."""
+    size = max(12, int(np.ceil(np.log2(max(2, count)))) + 3)
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing(similarity)) ** size)))), size
+
+
+def sampled_keys(values: np.ndarray, keys: int, size: int) -> np.ndarray:
+    """A row for each fingerprint of one key for each sample of one-bit references."""
+    nearer = nearer_to_one_bit(values)
+    rng = np.random.default_rng(SEED)
+    found = []
+    for number in range(keys):
+        sample = rng.permutation(nearer.shape[1])[:size]
+        found.append(_packed(nearer[:, sample]) | np.uint64(number) << np.uint64(size))
+    return np.stack(found, axis=1).view(np.int64)
+
+
 def near(values: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs of places are within the radius: first by the largest difference of coordinates, then exactly."""
     gap = np.abs(table[left] - table[right]).max(axis=1) <= radius
-    gap[gap] = np.bitwise_count(values[left[gap]] ^ values[right[gap]]) <= radius
+    gap[gap] = np.bitwise_count(values[left[gap]] ^ values[right[gap]]).sum(axis=1) <= radius
     return gap
 
 
 def group_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that hold the components of one group together: (value, value)."""
+    """Links that hold the components of one group together: pairs of places."""
     table = distances(values, PIVOTS)
     waiting, links = np.arange(len(values)), []
     while len(waiting):
@@ -141,49 +195,53 @@ def group_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def sorted_links(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of equal, sorted group numbers."""
+    """Links (pairs of places) within groups of equal, sorted group numbers."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.append(starts, len(groups)))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    small = np.repeat(sizes <= SMALL, sizes)
-    places = np.flatnonzero(small)
+    left: list[np.ndarray] = [np.zeros(0, np.int64)]
+    right: list[np.ndarray] = [np.zeros(0, np.int64)]
+    places = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     if len(places):
-        table = distances(values[places], PIVOTS)
+        own, group, table = values[places], groups[places], distances(values[places], PIVOTS)
         for lag in range(1, SMALL):
-            left = np.arange(len(places) - lag)
-            left = left[groups[places[left]] == groups[places[left + lag]]]
-            if not len(left):
+            first = np.flatnonzero(group[:-lag] == group[lag:])
+            if not len(first):
                 break
-            hit = left[near(values[places], left, left + lag, table, radius)]
-            found.append((values[places[hit]], values[places[hit + lag]]))
+            hit = first[near(own, first, first + lag, table, radius)]
+            left.append(places[hit])
+            right.append(places[hit + lag])
     for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
-        own = values[start : start + size]
-        links = np.array(group_links(own, radius), np.int64).reshape(-1, 2)
-        found.append((own[links[:, 0]], own[links[:, 1]]))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+        found = np.array(group_links(values[start : start + size], radius), np.int64).reshape(-1, 2) + start
+        left.append(found[:, 0])
+        right.append(found[:, 1])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column `fingerprint`) with the components of all within the radius."""
-    groups, agree = group_plan(prints.count(), radius)
+def words_of(prints: pd.Series) -> np.ndarray:
+    """Binary fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+
+
+def links(prints: DataFrame, make_keys, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between the ids of distinct fingerprints (`id` long, `print` binary) that meet and are within the radius.
+
+    make_keys gives a row of keys for each row of words; fingerprints meet in equal keys.
+    """
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = batch["fingerprint"].to_numpy(np.int64)
-            for first in range(0, len(values), 4096):
-                part = values[first : first + 4096]
-                keys = pivot_keys(part.view(np.uint64), groups, agree)
-                yield pd.DataFrame({"key": keys.ravel(), "fingerprint": np.repeat(part, keys.shape[1])})
+            for first in range(0, len(batch), 2048):
+                part = batch.iloc[first : first + 2048]
+                keys = make_keys(words_of(part["print"]))
+                yield pd.DataFrame({"key": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), keys.shape[1])})
 
-    keys = prints.select("fingerprint").mapInPandas(keyed, "key long, fingerprint long")
+    keys = prints.select("id", "print").mapInPandas(keyed, "key long, id long")
     counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(counts, "key").withColumn("chunks", F.ceil(F.col("n") / chunk))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("chunks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = met.select("key", "fingerprint", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fingerprint")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    dealt = met.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
+    dealt = dealt.join(prints.select("id", "print"), "id")
     part = ["key", "low", "high"]
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,26 +258,64 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
                 continue
             columns = rows[part].to_numpy()
             number = np.cumsum(np.concatenate([[True], (columns[1:] != columns[:-1]).any(axis=1)]))
-            a, b = sorted_links(number, rows["fingerprint"].to_numpy(np.int64).view(np.uint64), radius)
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+            left, right = sorted_links(number, words_of(rows["print"]), radius)
+            ids = rows["id"].to_numpy()
+            yield pd.DataFrame({"a": ids[left], "b": ids[right]})
 
     return dealt.repartition(*part).sortWithinPartitions(*part).mapInPandas(linked, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id of every row of `docs`."""
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints("text", shingle).alias("fingerprint"))
-    prints = staged(prints, "fingerprints")
-    distinct = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
-    named = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+def _with_components(prints: DataFrame, make_keys_of, radius: int) -> DataFrame:
+    """Rows of `prints` (doc_id, print) with component_id: the least doc_id linked with theirs.
+
+    make_keys_of gives the keys for a number of distinct fingerprints.
+    """
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id())
+    distinct = staged(distinct, "distinct-fingerprints")
+    roots = components(links(distinct, make_keys_of(distinct.count()), radius)).withColumnRenamed("node", "id")
+    named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(named.join(least, "root").select("fingerprint", "component_id"), "fingerprint-components")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = staged(named.join(least, "root").select("print", "component_id"), "fingerprint-components")
+    return prints.join(named, "print")
+
+
+def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every row of `docs`: all links within the radius count."""
+
+    @pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle).to_bytes(8, "big") for t in texts], dtype=object)
+
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed("text").alias("print"))
+    found = _with_components(
+        staged(prints, "fingerprints"),
+        lambda count: lambda values: pivot_keys(values, *group_plan(count, radius)),
+        radius,
+    )
+    return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
+
+
+def similar_components(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row of `docs`: links are pairs of an estimated similarity of at least that much."""
+
+    @pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, shingle) for t in texts], dtype=object)
+
+    # one standard deviation of the estimate, so that five of six pairs at the very similarity count
+    bits, rate = BITS * WIDE_WORDS, differing(similarity)
+    radius = int(bits * rate + np.sqrt(bits * rate * (1 - rate)))
+    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed("text").alias("print"))
+    found = _with_components(
+        staged(prints, "wide-fingerprints"),
+        lambda count: lambda values: sampled_keys(values, *sample_plan(count, similarity)),
+        radius,
+    )
+    return found.select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the rows that are not the first of their component; rows of one doc_id and component stay together."""
-    found = near_components(docs, shingle, radius)
+    found = similar_components(docs, shingle, similarity)
     kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
