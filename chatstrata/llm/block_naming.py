@@ -20,12 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatstrata.llm.common import PARTITION_BIT, lower_ascii, text_or_empty
+from chatstrata.llm.common import PARTITION_BIT, lower_ascii, text_or_empty, unused
 from chatstrata.session import staged
 
 BLOCK_BYTES = 4096
 # A document on its way to one name: `row` tells documents apart, doc_id and digest travel with the first block.
 CARRIED = "row long, doc_id long, digest string, n int, pos int"
+CARRIED_NAMES = ("row", "doc_id", "digest", "n", "pos")
+# Sort keys: a block of up to this size as it is, a longer one by so many bytes and a digest.
+WHOLE_KEY_BYTES, PREFIX_BYTES = 48, 16
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,13 +66,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def named(blocks: DataFrame, label: str) -> DataFrame:
     """`blocks` with the integer `name` of each distinct `block`.
 
+    Long blocks are sorted by their first bytes and a digest, so that the rows sampled
+    for the range exchange stay small; whether neighbours are equal is seen from the whole blocks.
     The sort key ends with row and pos, so a hot block is spread over several
     partitions. A block that goes on in the next partition is the last of one and
     the first of the other: both edges take the smaller name. There are two edges
     per partition, whatever the data.
     """
-    keys = ["block", "row", "pos"]
-    ordered = blocks.select(*[c for c in blocks.columns if c != "block"], "block").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    short = F.concat(F.substring("block", 1, PREFIX_BYTES), F.unhex(F.sha2("block", 256)))
+    keys = ["_key", "row", "pos"]
+    keyed = blocks.withColumn("_key", F.when(F.octet_length("block") <= WHOLE_KEY_BYTES, F.col("block")).otherwise(short))
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*CARRIED_NAMES, "block")
     runs = staged(ordered.mapInArrow(_runs, f"{CARRIED}, name long, edge binary"), label)
     edges = runs.where("edge IS NOT NULL").select("edge", "name").distinct()
     origins = edges.groupBy("edge").agg(F.min("name").alias("origin"))
@@ -139,12 +146,12 @@ def exact_groups(docs: DataFrame, text: Column | None = None, block_bytes: int =
 def drop_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns as they were."""
     groups = staged(exact_groups(docs, block_bytes=block_bytes), "exact-groups")
-    key = F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_key", key)
-    same = keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest"))
+    key = unused(docs, "_digest")
+    kept = groups.where("kept").select("doc_id", "digest")
+    keyed = docs.withColumn(key, F.sha2(lower_ascii(text_or_empty()).cast("binary"), 256))
+    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed[key] == kept["digest"])
     result = keyed.join(kept, same, "left_semi")
     repeated = groups.where("NOT kept AND doc_id <=> keep_id")
     if not repeated.isEmpty():
-        result = result.dropDuplicates(["doc_id", "_key"])
-    return result.drop("_key")
+        result = result.dropDuplicates(["doc_id", key])
+    return result.drop(key)

@@ -24,6 +24,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(rows: DataFrame, stem: str) -> str:
+    """A column name that the table does not have."""
+    taken = {name.lower() for name in rows.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def partition_of(row: Column) -> Column:
     return F.shiftright(row, PARTITION_BIT)
 

@@ -40,38 +40,48 @@ class Node:
     left: Node | None = None
     right: Node | None = None
 
-    def number(self, leaf) -> Column:
+    def number(self, leaf, keys: dict[str, Column] | None = None) -> Column:
+        """The leaf's number of a row, of which `keys` are the dimensions (by default its columns)."""
         if self.cut is None:
             return F.lit(leaf(self))
-        return F.when(F.col(self.dimension) < F.lit(self.cut), self.left.number(leaf)).otherwise(self.right.number(leaf))
+        key = keys[self.dimension] if keys else F.col(self.dimension)
+        return F.when(key < F.lit(self.cut), self.left.number(leaf, keys)).otherwise(self.right.number(leaf, keys))
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the hash of the text and its values: bytes, characters, lines."""
+VALUES = ("size", "chars", "lines")
+TEXT_VALUES = (*VALUES, "hash")
+
+
+def text_values() -> dict[str, Column]:
+    """The values of a document: bytes, characters, line breaks, and the hash of the text."""
     text = text_or_empty()
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("_hash"),
-        F.char_length(text).cast("long").alias("_chars"),
-        F.octet_length(F.regexp_replace(text, "[^\n]+", "")).cast("long").alias("_lines"),
-    )
+    return {
+        "size": (F.octet_length(text) + ROW_BYTES).cast("long"),
+        "chars": F.char_length(text).cast("long"),
+        "lines": F.octet_length(F.regexp_replace(text, "[^\n]+", "")).cast("long"),
+        "hash": F.xxhash64(text).bitwiseAND(F.lit((1 << HASH_BITS) - 1)),
+    }
+
+
+def metadata(docs: DataFrame) -> DataFrame:
+    """doc_id, text_crc32 and the values of each text."""
+    crc = F.crc32(text_or_empty().cast("binary")).alias("text_crc32")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc, *[c.alias(n) for n, c in text_values().items()])
 
 
-VALUES = ("size", "_chars", "_lines")
+def value_bounds(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    found = rows.agg(*[f(v).alias(f"{n}_{v}") for v in VALUES for n, f in (("least", F.min), ("most", F.max))]).first()
+    return {v: (found[f"least_{v}"] or 0, found[f"most_{v}"] or 0) for v in VALUES}
 
 
-def with_keys(rows: DataFrame) -> DataFrame:
+def keys_of(values: dict[str, Column], bounds: dict[str, tuple[int, int]]) -> dict[str, Column]:
     """The sortable key of each dimension: the value, scaled to 20 bits of its range, before the hash."""
-    bounds = rows.agg(*[f(v).alias(f"{v}_{n}") for v in VALUES for n, f in (("min", F.min), ("max", F.max))]).first()
-    top = (1 << VALUE_BITS) - 1
-    keys = {}
+    top, keys = (1 << VALUE_BITS) - 1, {}
     for value in VALUES:
-        low, high = bounds[f"{value}_min"] or 0, bounds[f"{value}_max"] or 0
-        scaled = F.floor((F.col(value) - low) * F.lit(top / max(1, high - low))).cast("long")
-        keys[f"k{value}"] = F.shiftleft(scaled, HASH_BITS).bitwiseOR(F.col("_hash"))
-    return rows.withColumns(keys)
+        low, high = bounds[value]
+        scaled = F.floor((values[value] - low) * F.lit(top / max(1, high - low))).cast("long")
+        keys[f"key_{value}"] = F.shiftleft(scaled, HASH_BITS).bitwiseOR(values["hash"])
+    return keys
 
 
 def _widest(rows: DataFrame, leaf_ids: Column, keys: list[str]) -> dict[int, tuple[str, int, int, int]]:
@@ -126,7 +136,7 @@ def _cuts(rows: DataFrame, leaf_ids: Column, wanted: dict[int, list]) -> dict[in
 
 def kd_tree(rows: DataFrame, shards: int) -> Node:
     """The tree over `rows` (with keys); each node's bytes are split in proportion to its shards."""
-    keys = [f"k{v}" for v in VALUES]
+    keys = [f"key_{v}" for v in VALUES]
     root = Node(shards, 0)
     leaves = [root]
     while any(leaf.shards > 1 for leaf in leaves):
@@ -162,7 +172,7 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
-    keyed = with_keys(rows)
+    keyed = rows.withColumns(keys_of({v: F.col(v) for v in TEXT_VALUES}, value_bounds(rows)))
     tree = kd_tree(keyed, shards)
     placed = keyed.select("doc_id", "size", "text_crc32", tree.number(lambda leaf: leaf.first).alias("shard"))
     ordered = ranked(placed, ["shard", "doc_id"], "shard-order")
@@ -172,13 +182,13 @@ def shard_documents(docs: DataFrame, shards: int | None = None, target_bytes: in
 
 
 def write_shards(docs: DataFrame, path: str, shards: int) -> None:
-    """The documents, all columns, in one folder per shard."""
-    rows = with_keys(staged(metadata(docs), "shard-metadata"))
-    tree = kd_tree(rows, shards)
-    bounds = rows.select("_hash", "text_crc32", tree.number(lambda leaf: leaf.first).alias("shard")).distinct()
-    text = text_or_empty()
-    hashed = docs.withColumns(
-        {"_hash": F.xxhash64(text).bitwiseAND(F.lit((1 << HASH_BITS) - 1)), "_crc": F.crc32(text.cast("binary"))}
-    )
-    joined = hashed.join(bounds, (hashed["_hash"] == bounds["_hash"]) & (hashed["_crc"] == bounds["text_crc32"]))
-    joined.select(*docs.columns, bounds["shard"]).repartitionByRange("shard", "doc_id").write.partitionBy("shard").parquet(path)
+    """The documents, all columns but one named shard, in one folder per shard.
+
+    The cuts are by values of the text, so a document's shard needs no join.
+    """
+    rows = staged(metadata(docs), "shard-metadata")
+    bounds = value_bounds(rows)
+    tree = kd_tree(rows.withColumns(keys_of({v: F.col(v) for v in TEXT_VALUES}, bounds)), shards)
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    shard = tree.number(lambda leaf: leaf.first, keys_of(text_values(), bounds))
+    docs.select(*kept, shard.alias("shard")).repartitionByRange("shard", "doc_id").write.partitionBy("shard").parquet(path)

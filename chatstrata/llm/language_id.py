@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from chatstrata.llm.byte_text import buffers
+from chatstrata.llm.common import unused
 
 TRAIN_ROWS = 3000
 HASH_BITS = 14
@@ -179,7 +180,7 @@ def train(docs: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> Mode
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score and accepted (the score reaches the calibrated threshold)."""
+    """`docs` with lang_pred, score and accepted (the score reaches the calibrated threshold); columns of these names give way."""
     if not model.languages:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "accepted": F.lit(False)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -191,12 +192,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         best = chances.argmax(axis=1)
         return pd.DataFrame({"lang": np.array(fitted.languages, object)[best], "score": chances[np.arange(len(best)), best]})
 
+    name = unused(docs, "_found")
     known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.withColumn("_lang", predict("text")).withColumn("_known", known)
-    return scored.withColumns(
+    found = F.col(name)
+    return docs.withColumn(name, predict("text")).withColumns(
         {
-            "lang_pred": F.when(F.col("_known"), F.col("_lang.lang")).otherwise(UNKNOWN),
-            "score": F.when(F.col("_known"), F.col("_lang.score")).otherwise(0.0),
-            "accepted": F.col("_known") & (F.col("_lang.score") >= model.threshold),
+            "lang_pred": F.when(known, found["lang"]).otherwise(UNKNOWN),
+            "score": F.when(known, found["score"]).otherwise(0.0),
+            "accepted": known & (found["score"] >= model.threshold),
         }
-    ).drop("_lang", "_known")
+    ).drop(name)

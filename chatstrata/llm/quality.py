@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from chatstrata.llm.byte_text import CLASS, MARK, WORD, buffers, tokens
+from chatstrata.llm.byte_text import MARK, WORD, buffers, tokens
+from chatstrata.llm.common import unused
 
 TRAIN_ROWS = 12000
 WORD_BITS = 13
@@ -246,8 +247,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, trai
     return Classifier(words, fit(pooled, np.array([r["quality"] for r in rows], int)))
 
 
+def accepted(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """`docs` without those that the classifier rejects."""
+    name = unused(docs, "_score")
+    return score(docs, classifier, name).where(F.col(name) >= ACCEPTED).drop(name)
+
+
 def score(docs: DataFrame, classifier: Classifier, name: str = "score") -> DataFrame:
-    """`docs` with the probability of label 1."""
+    """`docs` with the probability of label 1 as column `name`."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @pandas_udf("double")

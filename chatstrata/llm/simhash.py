@@ -317,5 +317,5 @@ def similar_components(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity:
 def drop_near_copies(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the rows that are not the first of their component; rows of one doc_id and component stay together."""
     found = similar_components(docs, shingle, similarity)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi")
+    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
