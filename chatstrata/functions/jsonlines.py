@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chatstrata import constants as C
+from chatstrata.functions.nested import nested_names, nested_text
 from chatstrata.functions.paths import is_local_attachment, normalize_path
 from chatstrata.functions.text import bound, is_blank
 
+# Levels that are unrolled in the JVM; what is nested deeper goes to ``nested``.
 # Each level handles an array or an object; a usual message body needs three.
 TEXT_DEPTH = 8
 ATTACHMENT_DEPTH = 6
@@ -79,6 +81,38 @@ def _text(value: Column, depth: int) -> Column:
     return F.coalesce(string, F.array_join(taken, "\n"))
 
 
+def whole_text(value: Column) -> Column:
+    """Text of a message body of any depth; for a select, as it holds an Arrow function."""
+    deep = F.when(exceeds_depth(value), F.to_json(value))
+    return F.coalesce(nested_text(deep), extract_text(value))
+
+
+def deeper_than(value: Column, depth: int) -> Column:
+    """True when arrays or objects are nested in one another more than ``depth`` times."""
+    return F.coalesce(bound(value, lambda body: _deeper(body, depth)), F.lit(False))
+
+
+def _deeper(value: Column, depth: int) -> Column:
+    children = F.coalesce(_items(value), F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))
+    if depth == 0:
+        return children.isNotNull()
+    # Without the nulls, or each of them would be searched level by level.
+    return F.coalesce(F.exists(F.array_compact(children), lambda child: _deeper(child, depth - 1)), F.lit(False))
+
+
+def whole_attachment_paths(payload: Column) -> Column:
+    """Distinct local attachment paths in a payload of any depth; for a select, as it holds an Arrow function."""
+    names = nested_names(F.when(deeper_than(payload, ATTACHMENT_DEPTH), F.to_json(payload)))
+    return F.when(names["plain"].isNull(), content_attachment_paths(payload)).otherwise(
+        F.array_distinct(F.transform(_usable(names["plain"], names["urls"]), normalize_path))
+    )
+
+
+def _usable(plain: Column, urls: Column) -> Column:
+    """The local attachments among path strings, and the paths of file urls."""
+    return F.concat(F.filter(plain, is_local_attachment), F.array_compact(F.transform(urls, _file_url_path)))
+
+
 def exceeds_depth(value: Column, depth: int = TEXT_DEPTH) -> Column:
     """True when arrays or objects are still left below ``depth`` levels of a body."""
     if depth == 0:
@@ -119,8 +153,7 @@ def _local_paths(value: Column, depth: int) -> Column:
         return F.transform(F.array_compact(F.array(*[keyed[key] for key in keys])), as_string)
 
     plain = F.concat(F.array(as_string(value)), strings(C.ATTACHMENT_PATH_KEYS))
-    urls = F.array_compact(F.transform(strings(C.ATTACHMENT_URL_KEYS), _file_url_path))
-    own = F.transform(F.concat(F.filter(plain, is_local_attachment), urls), normalize_path)
+    own = F.transform(_usable(plain, strings(C.ATTACHMENT_URL_KEYS)), normalize_path)
     if depth == 0:
         return own
     members = F.when(_is_attachment(value), F.map_values(F.try_variant_get(value, "$", "map<string,variant>")))

@@ -19,9 +19,8 @@ def attachment_paths(lines: DataFrame) -> DataFrame:
     payloads = lines.filter(may_name).select(
         "root_id", "session_id", F.explode(F.array(jsonlines.part(jsonlines.parse_line(line), "payload"))).alias("payload")
     )
-    return payloads.select(
-        "root_id", "session_id", F.explode(jsonlines.content_attachment_paths(F.col("payload"))).alias("original_path")
-    )
+    found = payloads.select("root_id", "session_id", jsonlines.whole_attachment_paths(F.col("payload")).alias("found"))
+    return found.select("root_id", "session_id", F.explode("found").alias("original_path"))
 
 
 def collect_attachments(lines: DataFrame, ids: DataFrame, inventory: DataFrame) -> DataFrame:

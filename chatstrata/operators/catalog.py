@@ -51,11 +51,11 @@ def one_file_per_session(files: DataFrame, scope: Sequence[str] = ROOT) -> DataF
 
 def rollout_metadata(
     lines: DataFrame,
-    max_lines: int = C.HEAD_LINES,
+    max_lines: int | None = None,
     title_mode: Literal["message", "role"] = "message",
     scope: Sequence[str] = ROOT,
 ) -> DataFrame:
-    """Title and session data from the first lines of each log file.
+    """Title and session data of each log file, or of its first ``max_lines`` lines.
 
     The title is the first user message; the data are the last stated values at
     or before the line of the title. ``title_mode='role'`` also takes messages
@@ -66,7 +66,7 @@ def rollout_metadata(
     may_title = line.contains('"user_message"')
     if title_mode == "role":
         may_title = may_title | line.contains('"user"')
-    head = head_lines(lines, max_lines).filter(is_meta | may_title | (F.col("line_no") == 0))
+    head = (lines if max_lines is None else head_lines(lines, max_lines)).filter(is_meta | may_title | (F.col("line_no") == 0))
     parsed = head.select(
         *scope,
         "rel_path",
@@ -87,23 +87,26 @@ def rollout_metadata(
         ],
         F.when(F.col("is_meta"), text.parse_ts(jsonlines.field(value, "payload.timestamp"))).alias("created_at"),
     )
-    # At most max_lines rows of a file reach its window.
-    title_line = F.min(F.when(F.col("title").isNotNull(), F.col("line_no"))).over(W.partitionBy(*scope, "rel_path"))
-    known = stated.withColumn("title_line", title_line).filter(
+    # No file is gathered: the title lines are an aggregate, which meets the few stated values in a join.
+    file = [*scope, "rel_path"]
+    given = F.when(F.col("title").isNotNull(), F.col("line_no"))
+    titles = stated.groupBy(*file).agg(F.min(given).alias("title_line"), F.min_by("title", given).alias("title"))
+    data = ["cwd", "model_provider", "model", "source", "created_at"]
+    known = stated.filter(F.coalesce(*[F.col(name).cast("string") for name in data]).isNotNull()).drop("title")
+    known = known.join(titles.select(*file, "title_line"), file).filter(
         F.col("title_line").isNull() | (F.col("line_no") <= F.col("title_line"))
     )
 
-    def last(name: str, default: str) -> Column:
-        found = F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no")))
-        return F.coalesce(found, F.lit(default)).alias(name)
-
-    return known.groupBy(*scope, "rel_path").agg(
-        F.coalesce(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("line_no"))), F.lit("")).alias("title"),
-        last("cwd", ""),
-        last("model_provider", "unknown"),
-        last("model", "unknown"),
-        last("source", "jsonl"),
-        F.max_by("created_at", F.when(F.col("created_at").isNotNull(), F.col("line_no"))).alias("created_at"),
+    def last(name: str) -> Column:
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name)
+
+    latest = known.groupBy(*file).agg(*[last(name) for name in data])
+    defaults = {"cwd": "", "model_provider": "unknown", "model": "unknown", "source": "jsonl"}
+    return titles.join(latest, file, "left").select(
+        *file,
+        F.coalesce("title", F.lit("")).alias("title"),
+        *[F.coalesce(name, F.lit(default)).alias(name) for name, default in defaults.items()],
+        "created_at",
     )
 
 

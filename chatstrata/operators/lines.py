@@ -53,7 +53,7 @@ def number_lines(scanned: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES) -
     return whole.select(*columns).unionByName(pieces.select(*columns))
 
 
-def head_lines(lines: DataFrame, n: int = C.HEAD_LINES) -> DataFrame:
+def head_lines(lines: DataFrame, n: int) -> DataFrame:
     """First n lines of each file; the numbers say which, so nothing is shuffled."""
     return lines.filter(F.col("line_no") < n)
 

@@ -32,12 +32,11 @@ def message_line_prefilter(lines: DataFrame) -> DataFrame:
 
 def _message(value: Column, is_event: Column, line_no: Column, epoch_default: bool) -> Column:
     kind = jsonlines.field(value, "payload.type")
-    content = jsonlines.part(value, "payload.content")
     stated = jsonlines.as_string(jsonlines.part(value, "payload.message"))
     event_role = F.when(kind.isin("user_message", "agent_message"), text.normalize_role(kind))
     speaker = jsonlines.field(value, "payload.role")
     response_role = F.when((kind == "message") & speaker.isin("user", "assistant"), text.normalize_role(speaker))
-    body = F.when(is_event & (stated != ""), stated).otherwise(jsonlines.extract_text(content))
+    body = F.when(is_event & (stated != ""), stated).otherwise(F.col("content_text"))
     return F.struct(
         is_event.alias("is_event"),
         F.concat(F.when(is_event, "event-").otherwise("response-"), line_no.cast("string")).alias("message_id"),
@@ -63,6 +62,8 @@ def _parse(lines: DataFrame, kept: Column) -> DataFrame:
         is_event_line(F.col("line")).alias("event_line"),
         F.explode(F.array(jsonlines.parse_line(F.col("line")))).alias("value"),
     )
+    content = jsonlines.part(F.col("value"), "payload.content")
+    values = values.withColumn("content_text", jsonlines.whole_text(content))
     return values.select(*CONVERSATION, "line_no", F.explode(kept).alias("message")).select(
         *CONVERSATION, "line_no", "message.*"
     )
@@ -99,7 +100,7 @@ def scan_conversations(spark: SparkSession, base: str | list[str], root_pattern:
 
 
 def deep_lines(lines: DataFrame) -> DataFrame:
-    """Message lines whose body is nested deeper than its text is searched."""
+    """Message lines whose body is nested deeper than the unrolled levels, so that it is read in Arrow batches."""
     content = jsonlines.part(jsonlines.parse_line(F.col("line")), "payload.content")
     return message_line_prefilter(lines).filter(jsonlines.exceeds_depth(content))
 

@@ -19,16 +19,38 @@ SETTINGS = {
 }
 
 
+# Temporary folders of local sessions, by application; removed when the process ends.
+_local_folders: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder the cluster shares; a local one only if none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir.
+
+    A local session, where driver and executors are one process, gets a temporary
+    folder of its own if none is set; it goes with the process. On a cluster that would be another folder on
+    each machine, so there the setting is required.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='chatstrata-')}/{name}-{uuid.uuid4().hex}"
+    if shared:
+        return shared
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _local_folders:
+        folder = tempfile.TemporaryDirectory(prefix="chatstrata-", ignore_cleanup_errors=True)
+        _local_folders[spark.sparkContext.applicationId] = folder
+    return _local_folders[spark.sparkContext.applicationId].name
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(table: DataFrame, name: str) -> DataFrame:

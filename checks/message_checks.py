@@ -179,16 +179,17 @@ def attachments_to_restore(tables: Tables) -> DataFrame:
 @check("""
     SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN text
         WHEN conv_id % 4 = 1 THEN text || chr(10) || role
-        WHEN conv_id % 4 = 2 THEN role ELSE '' END AS body, conv_id % 4 = 3 AS deep
+        WHEN conv_id % 4 = 2 THEN role ELSE text END AS body, conv_id % 4 = 3 AS deep
     FROM fx_messages""")
 def extracted_text(tables: Tables) -> DataFrame:
-    """Bodies of four shapes: a string, a list of parts, an object, and one nested too deeply."""
+    """Bodies of four shapes: a string, a list of parts, an object, and one nested 12 or 40 levels deep."""
     m = tables("fx_messages")
     part = F.struct(F.col("text").alias("text"))
     blank = F.struct(F.lit(" ").alias("text"))
     listed = F.to_json(F.array(part, blank, F.struct(F.col("role").alias("text"))))
     keyed = F.to_json(F.struct(F.lit(" ").alias("text"), F.struct(F.col("role").alias("output")).alias("content")))
-    nested = F.concat(F.lit("[" * 12), F.to_json(part), F.lit("]" * 12))
+    levels = F.when(F.col("turn") % 2 == 0, 12).otherwise(40)
+    nested = F.concat(F.repeat(F.lit("["), levels), F.to_json(part), F.repeat(F.lit("]"), levels))
     string = F.concat(F.lit('"'), F.regexp_replace(F.to_json(part), r'^\{"text":"|"\}$', ""), F.lit('"'))
     shape = F.col("conv_id") % 4
     body = F.when(shape == 0, string).when(shape == 1, listed).when(shape == 2, keyed).otherwise(nested)
@@ -196,7 +197,7 @@ def extracted_text(tables: Tables) -> DataFrame:
     return m.select(
         "conv_id",
         "turn",
-        jsonlines.extract_text(value).alias("body"),
+        jsonlines.whole_text(value).alias("body"),
         jsonlines.exceeds_depth(value).alias("deep"),
     )
 

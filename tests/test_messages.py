@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatstrata import constants as C
@@ -98,10 +99,23 @@ def test_text_of_all_shapes(spark):
     assert not any(r.d for r in rows)
 
 
-def test_too_deep_bodies_are_reported(spark):
-    deep = response("user", nest("n", jsonlines.TEXT_DEPTH + 1))
+@pytest.mark.parametrize("levels", [jsonlines.TEXT_DEPTH + 1, 12, 40, 400])
+def test_bodies_of_any_depth_are_read_and_reported(spark, levels):
+    deep = response("user", [" ", nest("n", levels), {"text": "after"}])
     frame = lines_frame(spark, [response("user", "a"), deep])
     assert [r.line_no for r in messages.deep_lines(frame).collect()] == [1]
+    assert [r.text for r in messages.conversation_messages(frame).orderBy("line_no").collect()] == ["a", "n\nafter"]
+
+
+@pytest.mark.parametrize("levels", [3, 6, 7, 10, 100])
+def test_attachments_at_any_depth(spark, levels):
+    inner = "/a/deep.png"
+    for level in range(levels):
+        inner = [inner] if level % 2 else {"type": "file", "any": inner, "url": "file:///a/b%20c.bin", "path": "relative.png"}
+    payload = {"images": [inner, "/a/x/../1.png"], "content": [[{"type": "text", "path": "/a/no.txt"}]]}
+    frame = lines_frame(spark, [{"type": "event_msg", "payload": payload}])
+    found = sorted(r.original_path for r in attachments.attachment_paths(frame).collect())
+    assert found == ["/a/1.png", "/a/b c.bin", "/a/deep.png"]
 
 
 def meta(**payload):
@@ -127,10 +141,10 @@ def test_last_value_before_the_title_counts(spark):
     assert row.created_at.year == 2024
 
 
-def test_title_only_within_the_first_lines(spark):
-    filler = ["{}"] * 160
-    assert metadata(spark, [*filler, event(message="late")]).title == ""
-    assert metadata(spark, [*filler[1:], event(message="in time")]).title == "in time"
+def test_title_anywhere_or_within_the_first_lines(spark):
+    filler = ["{}"] * 200
+    assert metadata(spark, [*filler, event(message="late")]).title == "late"
+    assert metadata(spark, [*filler, event(message="late")], max_lines=160).title == ""
     assert metadata(spark, [*filler[:120], event(message="late")], max_lines=120).title == ""
 
 
