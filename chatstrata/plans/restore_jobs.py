@@ -30,6 +30,12 @@ def _snapshot_roots(chosen: DataFrame) -> DataFrame:
     return chosen.select("root_id", F.col("id").alias("snapshot_id"), F.col("snapshot_root").alias("root_path"))
 
 
+def _dates(manifest: DataFrame) -> DataFrame:
+    """When each snapshot was made; null where the manifest does not say."""
+    at = F.col("created_at") if "created_at" in manifest.columns else F.lit(None).cast("timestamp")
+    return manifest.select("root_id", F.col("id").alias("snapshot_id"), at.alias("snapshot_at"))
+
+
 def _content_of(store: Content, chosen: DataFrame) -> Content:
     """Content of the chosen snapshots, one per root."""
     of = _snapshot_roots(chosen).drop("root_path")
@@ -191,7 +197,7 @@ def restore_sessions(
     root; an error if the snapshots hold a file for none of them."""
     wanted = ids.join(chosen.select("root_id", F.col("id").alias("snapshot_id")), ["root_id"])
     return _restore_picked(
-        store, _snapshot_roots(chosen), wanted.select(*SNAPSHOT, "id"), current, roots, match, keys, in_place
+        store, chosen, wanted.select(*SNAPSHOT, "id"), current, roots, match, keys, in_place
     )
 
 
@@ -209,14 +215,12 @@ def restore_from_latest(
     source snapshots in one job."""
     latest = snapshots.latest_snapshot_with_session(manifest, store.files, ids)
     picked = staged(latest.select(*SNAPSHOT, "id"), "picked")
-    return _restore_picked(
-        store, _snapshot_roots(manifest), picked, current, roots, match, keys, in_place
-    )
+    return _restore_picked(store, manifest, picked, current, roots, match, keys, in_place)
 
 
 def _restore_picked(
     store: Content,
-    snapshot_roots: DataFrame,
+    manifest: DataFrame,
     picked: DataFrame,
     current: Content,
     roots: DataFrame,
@@ -227,7 +231,8 @@ def _restore_picked(
     """``picked(root_id, snapshot_id, id)``: which session from which snapshot."""
     involved = picked.select(*SNAPSHOT).distinct()
     snapshot = store.map_tables(lambda table: table.join(involved, list(SNAPSHOT), "left_semi").select(*table.columns))
-    sessions = snapshot_catalog(snapshot, snapshot_roots.join(involved, list(SNAPSHOT), "left_semi"), SNAPSHOT)
+    dates = _dates(manifest).join(involved, list(SNAPSHOT), "left_semi")
+    sessions = snapshot_catalog(snapshot, _snapshot_roots(manifest).join(involved, list(SNAPSHOT), "left_semi"), SNAPSHOT)
     found = sessions.filter("exists_on_disk").join(picked, [*SNAPSHOT, "id"], "left_semi")
     found = staged(found.select(*SNAPSHOT, "id", F.col("rollout_path").alias("rel_path")), "found")
     if found.isEmpty():
@@ -237,10 +242,10 @@ def _restore_picked(
     logs = snapshot.files.join(found.select(*SNAPSHOT, "rel_path"), [*SNAPSHOT, "rel_path"], "left_semi")
     shell = snapshots.select_snapshot_files(snapshot.files, scoped_ids, "shell", SNAPSHOT)
     added = logs.select(*shell.columns).unionByName(shell)
-    # Two snapshots may hold the same shell snapshot; the later one counts.
-    added = added.groupBy("root_id", "rel_path").agg(
+    # Two snapshots may hold the same shell snapshot; the one made later counts.
+    added = added.join(dates, list(SNAPSHOT)).groupBy("root_id", "rel_path").agg(
         *[
-            F.max_by(name, "snapshot_id").alias(name)
+            F.max_by(name, F.struct("snapshot_at", "snapshot_id")).alias(name)
             for name in current.files.columns
             if name not in ("root_id", "rel_path")
         ]
@@ -263,9 +268,10 @@ def _restore_picked(
     chosen_rows = state.select_state(snapshot.tables, scoped_ids, SNAPSHOT)
     existing = current.states.select("root_id").distinct()
     source = {
-        name: rows.join(existing, ["root_id"], "left_semi") for name, rows in chosen_rows.items()
+        name: rows.join(existing, ["root_id"], "left_semi").join(dates, list(SNAPSHOT))
+        for name, rows in chosen_rows.items()
     }
-    tables = state.upsert_state(tables, source, keys, order_by=("snapshot_id",))
+    tables = state.upsert_state(tables, source, keys, order_by=("snapshot_at", "snapshot_id"))
     allowed = None
     if snapshot.attachments is not None:
         of_found = snapshot.attachments.join(

@@ -165,14 +165,13 @@ def collected_attachments(tables: Tables) -> DataFrame:
 
 @check(f"""
     SELECT * FROM ({COLLECTED}) c
-    WHERE size_bytes % 2 = 0 AND CAST(substr(session_id, 25) AS BIGINT) % 4 = 2
-      AND NOT EXISTS (SELECT 1 FROM ({INVENTORY}) i
-        WHERE i.root_id = c.root_id AND i.path = c.original_path AND i.root_id = 6)""")
+    WHERE CAST(substr(session_id, 25) AS BIGINT) % 5 <> 0 AND CAST(substr(session_id, 25) AS BIGINT) % 4 <> 3
+      AND original_path NOT LIKE '%-5.PNG'""")
 def attachments_to_restore(tables: Tables) -> DataFrame:
     manifest = _collected(tables)
-    stored = manifest.filter("size_bytes % 2 = 0").select("root_id", "stored_path")
-    in_place = tables(INVENTORY).filter("root_id = 6")
-    ids = tables("SELECT DISTINCT root_id, session_id AS id FROM fx_messages WHERE conv_id % 4 = 2")
+    stored = manifest.filter("CAST(substr(session_id, 25) AS BIGINT) % 5 <> 0").select("root_id", "stored_path")
+    in_place = tables(INVENTORY).filter("path LIKE '%-5.PNG'")
+    ids = tables("SELECT DISTINCT root_id, session_id AS id FROM fx_messages WHERE conv_id % 4 <> 3")
     return attachments.restore_attachments(manifest, stored, in_place, ids)
 
 
