@@ -18,39 +18,31 @@ Match = Literal["mention", "key"]
 UniqueKey = str | dict[str, str] | None
 LINE_FILE_KEYS = {C.INDEX_FILE: "id"}
 
-# A file up to this size is numbered by one task.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
 
-
-def number_lines(scanned: DataFrame, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def number_lines(scanned: DataFrame) -> DataFrame:
     """Give each scanned line its 0-based number in its file.
 
-    ``scanned`` has the split of every line (part, file_block_start) and its order
-    in the scan. Small files are numbered in one window each. A large file, or one
-    of several parts, is numbered per split, and the counts of the splits before
-    are added, so that no task gets more than a split.
+    ``scanned`` has the split of every line (part, file_block_start) and its order in
+    the scan, which is consecutive within a split. So a line's number is its order less
+    that of the split's first line, plus the lines of the file's splits before. These come from
+    one row per split; no line is sorted or gathered. Lines that are null count, but
+    are not returned and take no part in the exchange.
     """
     file = ["root_id", "rel_path"]
-    is_whole = F.col("part").isNull() & (F.col("file_size") <= whole_file_bytes)
-
-    in_file = W.partitionBy(*file).orderBy("file_block_start", "scan_order")
-    whole = scanned.filter(is_whole).withColumn("line_no", (F.row_number().over(in_file) - 1).cast("bigint"))
-
-    pieces = scanned.filter(~is_whole).withColumn("part", F.coalesce("part", F.lit("")))
     split = [*file, "part", "file_block_start"]
-    counts = pieces.groupBy(*split).agg(F.count("*").alias("n"))
-    before = W.partitionBy(*file).orderBy("part", "file_block_start").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    in_split = W.partitionBy(*split).orderBy("scan_order")
-    numbered = pieces.withColumn("in_split", F.row_number().over(in_split) - 1).join(starts, split, "left")
+    scanned = scanned.withColumn("part", F.coalesce("part", F.lit("")))
+    splits = scanned.groupBy(*split).agg(F.count("*").alias("n"), F.min("scan_order").alias("first"))
+    # Part files are in the order of their numbers; text order goes wrong after five digits.
+    part_number = F.coalesce(F.regexp_extract("part", r"^part-(\d+)", 1).try_cast("bigint"), F.lit(-1))
+    before = W.partitionBy(*file).orderBy(part_number, "part", "file_block_start").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    located = scanned.filter(F.col("line").isNotNull()).join(splits, split)
+    within = F.col("scan_order") - F.col("first")
     # Both passes over the files must have cut them alike.
-    line_no = F.when(F.col("in_split") < F.col("n"), F.col("start") + F.col("in_split")).otherwise(
-        F.raise_error(F.lit("file splits changed during the scan")).cast("bigint")
+    line_no = F.when(within.between(0, F.col("n") - 1), F.col("start") + within).otherwise(
+        F.raise_error(F.lit("the files changed during the scan")).cast("bigint")
     )
-    pieces = numbered.withColumn("line_no", line_no)
-
-    columns = [*file, "line_no", "line"]
-    return whole.select(*columns).unionByName(pieces.select(*columns))
+    return located.select(*file, line_no.alias("line_no"), "line")
 
 
 def head_lines(lines: DataFrame, n: int) -> DataFrame:

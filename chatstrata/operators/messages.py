@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chatstrata import constants as C
 from chatstrata.functions import jsonlines, text
+from chatstrata.session import staged
 from chatstrata.sources.scans import ROOT_PATTERN, scan_rollout_lines
 
 CONVERSATION = ["root_id", "rel_path", "session_id"]
@@ -95,8 +96,13 @@ def conversation_messages(lines: DataFrame, epoch_default: bool = False) -> Data
 
 
 def scan_conversations(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
-    """Messages of all session logs below ``base``."""
-    return conversation_messages(scan_rollout_lines(spark, base, root_pattern, wanted=is_message_line))
+    """Messages of all session logs below ``base``.
+
+    The parsed messages are staged, so the logs are parsed once for the messages and for
+    the conversations that have events.
+    """
+    lines = scan_rollout_lines(spark, base, root_pattern, wanted=is_message_line)
+    return prefer_event_messages(staged(parse_messages(lines), "messages")).drop("is_event")
 
 
 def deep_lines(lines: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from chatstrata import constants as C
 from chatstrata import schemas
 from chatstrata.functions import jsonlines, paths, text
 from chatstrata.operators.content import ROOT
-from chatstrata.operators.lines import WHOLE_FILE_BYTES, number_lines
+from chatstrata.operators.lines import number_lines
 from chatstrata.operators.snapshots import profile_state
 
 # One group: the number of the root.
@@ -52,14 +52,13 @@ def _read_lines(
     """Non-empty lines with the position of their split, before numbering.
 
     The conditions on the path prune the file list. Lines that are not wanted
-    still count, but their text is dropped before the numbering shuffles it.
+    still count, but their text is dropped before anything is shuffled.
     """
     raw = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
         .text(base)
-        .select("value", "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start")
+        .select("value", "_metadata.file_path", "_metadata.file_block_start")
     )
     located = raw.withColumn("path", _decoded(F.col("file_path")))
     lines = (
@@ -67,7 +66,6 @@ def _read_lines(
             _root_id(F.col("path"), root_pattern).alias("root_id"),
             _below_root(F.col("path"), root_pattern).alias("rel_path"),
             F.when(F.col("path").rlike(PART_FILE), paths.base_name(F.col("path"))).alias("part"),
-            "file_size",
             "file_block_start",
             F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)"))
             .otherwise(F.col("value"))
@@ -91,7 +89,6 @@ def scan_rollout_lines(
     spark: SparkSession,
     base: str | list[str],
     root_pattern: str = ROOT_PATTERN,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
     wanted: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Lines of the session logs, numbered within their file.
@@ -100,10 +97,7 @@ def scan_rollout_lines(
     they have among all lines.
     """
     raw = _read_lines(spark, base, root_pattern, _session_log(F.col("rel_path")), wanted)
-    numbered = number_lines(raw, whole_file_bytes)
-    if wanted is not None:
-        numbered = numbered.filter(F.col("line").isNotNull())
-    return numbered.select(
+    return number_lines(raw).select(
         "root_id",
         "rel_path",
         paths.session_id_from_path(F.col("rel_path")).alias("session_id"),
@@ -117,11 +111,10 @@ def scan_line_files(
     base: str | list[str],
     names: list[str] | None = None,
     root_pattern: str = ROOT_PATTERN,
-    whole_file_bytes: int = WHOLE_FILE_BYTES,
 ) -> DataFrame:
     """Lines of the history and index files: (root_id, rel_path, line_no, line)."""
     raw = _read_lines(spark, base, root_pattern, F.col("rel_path").isin(names or C.LINE_FILES))
-    return number_lines(raw, whole_file_bytes).select("root_id", "rel_path", "line_no", "line")
+    return number_lines(raw).select("root_id", "rel_path", "line_no", "line")
 
 
 def parse_history(lines: DataFrame, scope: Sequence[str] = ROOT) -> DataFrame:

@@ -48,11 +48,19 @@ def files():
     }
 
 
-@pytest.mark.parametrize("whole_file_bytes", [10**9, 100_000, 0])
-def test_line_numbers(spark, tmp_path, small_splits, files, whole_file_bytes):
+@pytest.fixture(params=[1000, 40_000, 10**9])
+def split_bytes(spark, request):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(request.param))
+    yield
+    spark.conf.set(key, before)
+
+
+def test_line_numbers(spark, tmp_path, split_bytes, files):
     others = {(1, "sessions/notes.txt"): "no", (1, "elsewhere/x.jsonl"): "no"}
     write(tmp_path, files | others)
-    found = scans.scan_rollout_lines(spark, str(tmp_path), whole_file_bytes=whole_file_bytes)
+    found = scans.scan_rollout_lines(spark, str(tmp_path))
     rows = [(r.root_id, r.rel_path, r.line_no, r.line) for r in found.collect()]
     assert sorted(rows) == expected_lines(files)
     assert {r.session_id for r in found.select("session_id").distinct().collect()} == {sid(n) for n in (1, 2, 3, 4)}
@@ -65,6 +73,24 @@ def test_wanted_lines_keep_their_numbers(spark, tmp_path, files):
     assert rows == [row for row in expected_lines(files) if "7" in row[3]]
 
 
+def test_parts_are_in_the_order_of_their_numbers(spark, tmp_path):
+    folder = tmp_path / "root_id=1" / "rel_path=history.jsonl"
+    folder.mkdir(parents=True)
+    for number in (99_999, 100_000, 7):
+        (folder / f"part-{number:05d}-x.txt").write_text(f"{number}\n")
+    found = scans.scan_line_files(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in found] == [(0, "7"), (1, "99999"), (2, "100000")]
+
+
+def test_lines_are_read_twice_and_not_sorted(spark, tmp_path, files):
+    write(tmp_path, files)
+    frame = scans.scan_rollout_lines(spark, str(tmp_path), wanted=messages.is_message_line)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 2
+    physical = frame._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Window ") == 1 and "isnotnull(line" in physical.lower()
+
+
 def test_only_log_files_are_read(spark, tmp_path, files):
     write(tmp_path, files | {(3, "shell_snapshots/big.sh"): "x" * 100000})
     frame = scans.scan_rollout_lines(spark, str(tmp_path))
