@@ -235,6 +235,7 @@ def create_protection_snapshot(
     full_candidates: Sequence[str] = tuple(C.BACKUP_PATHS),
     extra_paths: Sequence[str] = (),
     attachment_files: DataFrame | None = None,
+    warnings: DataFrame | None = None,
 ) -> tuple[Content, DataFrame]:
     """Snapshot to fall back on before sessions are changed.
 
@@ -242,14 +243,14 @@ def create_protection_snapshot(
     extra paths; 'full', and roots without any session, take everything.
     """
     if mode == "full":
-        return create_snapshot(current, requests, profiles, full_candidates, None, attachment_files)
+        return create_snapshot(current, requests, profiles, full_candidates, warnings, attachment_files)
     with_sessions = sessions.select("root_id").distinct()
     light = requests.join(with_sessions, ["root_id"], "left_semi")
     whole = requests.join(with_sessions, ["root_id"], "left_anti")
     light_content, light_rows = _lightweight_snapshot(
-        current, light, profiles, sessions, extra_paths, attachment_files
+        current, light, profiles, sessions, extra_paths, attachment_files, warnings
     )
-    whole_content, whole_rows = create_snapshot(current, whole, profiles, full_candidates, None, attachment_files)
+    whole_content, whole_rows = create_snapshot(current, whole, profiles, full_candidates, warnings, attachment_files)
     return union_contents(light_content, whole_content), light_rows.unionByName(whole_rows)
 
 
@@ -260,6 +261,7 @@ def _lightweight_snapshot(
     sessions: DataFrame,
     extra_paths: Sequence[str],
     attachment_files: DataFrame | None,
+    warnings: DataFrame | None,
 ) -> tuple[Content, DataFrame]:
     key = list(SNAPSHOT)
     roots = requests.select(*key, "root_path")
@@ -281,7 +283,7 @@ def _lightweight_snapshot(
     counted = staged(restorable_sessions(content, roots, SNAPSHOT), "restorable")
     content = _with_attachments(sanitize_snapshot(content, roots, SNAPSHOT, counted), counted, attachment_files)
     # Here the files tell the counts, with or without a state database.
-    manifest = _manifest(content, requests, _file_profiles(profiles, content, counted), counted, None)
+    manifest = _manifest(content, requests, _file_profiles(profiles, content, counted), counted, warnings)
     return content, manifest
 
 
@@ -327,6 +329,19 @@ def enforce_retention(
     return _without_snapshots(content, manifest, judged.filter(~F.col("keep")))
 
 
+def add_snapshots(
+    store: Content,
+    manifest: DataFrame,
+    taken: Content,
+    rows: DataFrame,
+    max_system: int = C.MAX_SYSTEM_SNAPSHOTS,
+    max_auto: int = C.MAX_AUTO_PROTECT_SNAPSHOTS,
+) -> tuple[Content, DataFrame]:
+    """The store with new snapshots, after the retention rule; to be written as a new store."""
+    both = manifest.unionByName(rows, allowMissingColumns=True)
+    return enforce_retention(union_contents(store, taken), both, max_system, max_auto)
+
+
 def delete_snapshots(content: Content, manifest: DataFrame, ids: DataFrame) -> tuple[Content, DataFrame]:
     """Drop the snapshots in ``ids(root_id, id)``; an error if none of them exists."""
     doomed = manifest.join(ids.select("root_id", "id"), ["root_id", "id"], "left_semi")

@@ -14,6 +14,8 @@ SETTINGS = {
     # Split a hot join key even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Ids such as 2024-01-01 stay text where they name a partition.
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # JSON allows a key twice; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

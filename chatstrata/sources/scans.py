@@ -16,7 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from chatstrata import constants as C
 from chatstrata import schemas
 from chatstrata.functions import jsonlines, paths, text
-from chatstrata.operators.content import ROOT
+from chatstrata.operators.content import ROOT, Content
 from chatstrata.operators.lines import number_lines
 from chatstrata.operators.snapshots import profile_state
 
@@ -252,6 +252,64 @@ def scan_snapshot_manifests(
     return snapshots.withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0)))
 
 
+def scan_content(
+    spark: SparkSession, base: str | list[str], state_base: str | None = None, root_pattern: str = ROOT_PATTERN
+) -> Content:
+    """Log roots as they lie on disk, with the state tables below ``state_base``, as the content that jobs take.
+
+    A root has a state database if its file is there or a state table has rows of it.
+    """
+    tables = {} if state_base is None else load_state_tables(spark, state_base)
+    files = scan_files(spark, base, root_pattern)
+    states = files.filter(F.col("rel_path") == C.STATE_FILE).select("root_id")
+    for table in tables.values():
+        states = states.unionByName(table.select("root_id"))
+    return Content(
+        files=files,
+        lines=scan_line_files(spark, base, root_pattern=root_pattern),
+        states=states.distinct(),
+        tables=tables,
+        bodies=scan_rollout_lines(spark, base, root_pattern).select("root_id", "rel_path", "line_no", "line"),
+    )
+
+
+# Two groups: the snapshot and the path in the root it was taken of.
+SNAPSHOT_DATA = r"^snapshots/([^/]+)/data/(.*)$"
+
+
+def _of_snapshots(table: DataFrame) -> DataFrame:
+    """Rows below the data of a snapshot, under their path in the root."""
+    found = table.withColumn("snapshot_id", F.regexp_extract("rel_path", SNAPSHOT_DATA, 1))
+    return found.withColumn("rel_path", F.regexp_extract("rel_path", SNAPSHOT_DATA, 2)).filter("snapshot_id <> ''")
+
+
+def scan_snapshot_content(
+    spark: SparkSession, base: str | list[str], state_base: str | None = None, root_pattern: str = ROOT_PATTERN
+) -> Content:
+    """Snapshot folders ``snapshots/<id>/data`` of log roots as the content of a store.
+
+    The state tables below ``state_base`` have a ``snapshot_id``.
+    """
+    inner = F.regexp_extract("rel_path", SNAPSHOT_DATA, 2)
+    tables = {} if state_base is None else load_state_tables(spark, state_base)
+    files = _of_snapshots(scan_files(spark, base, root_pattern))
+    files = files.withColumn("id", paths.session_id_from_path(F.col("rel_path")))
+    states = files.filter(F.col("rel_path") == C.STATE_FILE).select("root_id", "snapshot_id")
+    for table in tables.values():
+        states = states.unionByName(table.select("root_id", "snapshot_id"))
+
+    def numbered(keep: Column) -> DataFrame:
+        return _of_snapshots(number_lines(_read_lines(spark, base, root_pattern, keep)))
+
+    return Content(
+        files=files,
+        lines=numbered(inner.isin(C.LINE_FILES)),
+        states=states.distinct(),
+        tables=tables,
+        bodies=numbered(_session_log(inner)),
+    )
+
+
 def scan_profiles(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
     """Text of the config and account files of each root, read whole (they are small)."""
     raw = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatstrata.operators.content import Content
 from chatstrata.plans import restore_jobs, snapshot_jobs
-from chatstrata.sources import writers
+from chatstrata.sources import scans, writers
 from tests.conftest import sid
 from tests.test_operators import FILES, LINES, ids_frame, log, threads
 
@@ -156,3 +156,79 @@ def test_attachments_travel_with_the_snapshot(spark, tmp_path):
         found = spark.createDataFrame(in_place, "root_id bigint, path string")
         back = restore_jobs.restore_sessions(saved, rows, ids_frame(spark, [1]), now, roots(spark), in_place=found)
         assert back.attachments.count() == expected
+
+
+def test_roots_in_and_out(spark, tmp_path):
+    """Raw roots are scanned, a session is deleted and restored, and the result written and scanned again."""
+    writers.write_content(content(spark, [1, 2, 3]), f"{tmp_path}/logs", f"{tmp_path}/state")
+    now = scans.scan_content(spark, f"{tmp_path}/logs", f"{tmp_path}/state")
+    assert ids_in(now.files.filter("id <> ''")) == [1, 2, 3] and now.states.count() == 1
+    saved, manifest = snapshot_jobs.create_snapshot(now, requests(spark), profiles(spark))
+    left, _ = restore_jobs.delete_sessions(
+        now, ids_frame(spark, [1]), requests(spark, "x", "pre-delete-session"), profiles(spark)
+    )
+    writers.write_content(left, f"{tmp_path}/logs2", f"{tmp_path}/state2")
+    after = scans.scan_content(spark, f"{tmp_path}/logs2", f"{tmp_path}/state2")
+    assert ids_in(after.files.filter("id <> ''")) == [2, 3] and session_lines(after.lines) == ["02", "03", "90"]
+    back = restore_jobs.restore_sessions(saved, manifest, ids_frame(spark, [1]), after, roots(spark))
+    writers.write_content(back, f"{tmp_path}/logs3", f"{tmp_path}/state3")
+    again = scans.scan_content(spark, f"{tmp_path}/logs3", f"{tmp_path}/state3")
+    assert ids_in(again.files.filter("id <> ''")) == [1, 2, 3] and ids_in(again.tables["threads"]) == [1, 2, 3, 91]
+    assert sorted(r.line for r in again.bodies.collect()) == ["t body 1", "t body 2", "t body 3"]
+
+
+def test_content_of_raw_snapshots(spark, tmp_path):
+    for name, number in (("a", 1), ("2024-01-01", 2)):
+        data = tmp_path / "root_id=7" / "snapshots" / name / "data"
+        (data / "sessions").mkdir(parents=True)
+        (data / "sessions" / f"rollout-{sid(number)}.jsonl").write_text("one\ntwo\n")
+        (data / "history.jsonl").write_text(json.dumps({"session_id": sid(number)}) + "\n")
+        (data / "state_5.sqlite").write_bytes(b"x")
+    found = scans.scan_snapshot_content(spark, str(tmp_path))
+    assert sorted((r.snapshot_id, r.id) for r in found.files.filter("id <> ''").collect()) == [("2024-01-01", sid(2)), ("a", sid(1))]
+    assert sorted((r.snapshot_id, r.line_no, r.line) for r in found.bodies.collect()) == [
+        (name, n, line) for name in ("2024-01-01", "a") for n, line in enumerate(("one", "two"))
+    ]
+    assert sorted((r.root_id, r.snapshot_id) for r in found.states.collect()) == [(7, "2024-01-01"), (7, "a")]
+    assert session_lines(found.lines) == ["01", "02"]
+
+
+def test_a_failed_attempt_leaves_nothing(spark, tmp_path):
+    saved, rows = snapshot_jobs.create_snapshot(content(spark, [1, 2]), requests(spark, "2024-01-01"), profiles(spark))
+    writers.write_snapshot(saved, rows.limit(0), str(tmp_path))
+    writers.write_snapshot(saved, rows, str(tmp_path))
+    for only in (None, ["2024-01-01"]):
+        store, found = writers.read_snapshots(spark, str(tmp_path), only)
+        assert store.files.count() == saved.files.count() and found.count() == 1
+        assert {r.snapshot_id for r in store.files.collect()} == {"2024-01-01"}
+    assert writers.read_snapshots(spark, str(tmp_path), ["other"])[1].count() == 0
+
+
+def test_retention_when_snapshots_are_added(spark):
+    store, rows = snapshot_jobs.create_snapshot(content(spark, [1]), requests(spark, "s-2", "pre-restore"), profiles(spark))
+    later = requests(spark, "s-10", "pre-restore").withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    taken, new = snapshot_jobs.create_snapshot(content(spark, [1, 2]), later, profiles(spark))
+    left, kept = snapshot_jobs.add_snapshots(store, rows, taken, new, max_system=1)
+    assert [r.id for r in kept.collect()] == ["s-10"] and {r.snapshot_id for r in left.files.collect()} == {"s-10"}
+
+
+def test_the_snapshot_made_later_counts(spark):
+    """Ids whose order as text is not that of their times."""
+    made = {}
+    for name, day, number, status in (("s-2", 1, 1, "old"), ("s-10", 2, 2, "new")):
+        request = requests(spark, name).withColumn("created_at", F.col("created_at") + F.make_dt_interval(F.lit(day)))
+        now = content(spark, [1, 2] if number == 1 else [2])
+        edges = spark.createDataFrame([(1, sid(1), sid(2), status)], "root_id bigint, parent_thread_id string, child_thread_id string, status string")
+        made[name] = snapshot_jobs.create_snapshot(now.with_(tables={**now.tables, "thread_spawn_edges": edges}), request, profiles(spark))
+    store = snapshot_jobs.union_contents(made["s-2"][0], made["s-10"][0])
+    # Both snapshots keep the edge, whoever pruned it.
+    edges = spark.createDataFrame(
+        [(1, name, sid(1), sid(2), status) for name, status in (("s-2", "old"), ("s-10", "new"))],
+        "root_id bigint, snapshot_id string, parent_thread_id string, child_thread_id string, status string",
+    )
+    store = store.with_(tables={**store.tables, "thread_spawn_edges": edges})
+    manifest = made["s-2"][1].unionByName(made["s-10"][1])
+    now = content(spark, [3])
+    now = now.with_(tables={**now.tables, "thread_spawn_edges": edges.drop("snapshot_id").limit(0)})
+    back = restore_jobs.restore_from_latest(store, manifest, ids_frame(spark, [1, 2]), now, roots(spark))
+    assert [r.status for r in back.tables["thread_spawn_edges"].collect()] == ["new"]
