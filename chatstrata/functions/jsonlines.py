@@ -172,10 +172,14 @@ def _file_url_path(url: Column) -> Column:
     return F.when(path != "", F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))))
 
 
+def ids_of(value: Column) -> Column:
+    """Session ids under the id keys of a parsed line."""
+    return F.array_compact(F.array(*[field(value, key) for key in C.LINE_ID_KEYS]))
+
+
 def line_ids(line: Column) -> Column:
     """Session ids under the id keys of a JSON line."""
-    value = parse_line(line)
-    return F.array_compact(F.array(*[field(value, key) for key in C.LINE_ID_KEYS]))
+    return bound(parse_line(line), ids_of)
 
 
 def line_identity(line: Column, key: str | None) -> Column:

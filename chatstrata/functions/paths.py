@@ -24,8 +24,31 @@ def session_id_from_path(path: Column) -> Column:
 
 
 def mentioned_ids(text: Column) -> Column:
-    """All UUIDs in a text, overlapping ones included, as written."""
-    return F.regexp_extract_all(text, F.lit(f"(?=({C.UUID}))"), F.lit(1))
+    """What may be an id in a text, as written: every token, and every UUID, overlapping ones included.
+
+    A token is a run of letters, digits, '_' and '-'. Ids of any form are found by it
+    with an equality join, if they are made of these and stand between others.
+    """
+    tokens = F.split(text, "[^0-9A-Za-z_-]+")
+    uuids = F.regexp_extract_all(text, F.lit(f"(?=({C.UUID}))"), F.lit(1))
+    return F.filter(F.array_distinct(F.concat(tokens, uuids)), lambda token: token != "")
+
+
+def named_ids(path: Column) -> Column:
+    """What may be an id in a file name: its UUIDs, tokens, and the runs of parts of a token between '-'."""
+
+    def runs(token: Column) -> Column:
+        def of_parts(parts: Column) -> Column:
+            def ending(start: Column) -> Column:
+                lengths = F.sequence(F.lit(1), F.size(parts) - start)
+                return F.transform(lengths, lambda n: F.array_join(F.slice(parts, start + 1, n), "-"))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), ending))
+
+        return bound(F.split(token, "-"), of_parts)
+
+    found = mentioned_ids(base_name(path))
+    return bound(found, lambda ids: F.array_distinct(F.concat(ids, F.flatten(F.transform(ids, runs)))))
 
 
 def is_archived_path(rel_path: Column) -> Column:

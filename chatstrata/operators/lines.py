@@ -88,15 +88,19 @@ def dedupe_ordered(
 def candidate_ids(line: Column, match: Match) -> Column:
     """Ids a line may belong to.
 
-    'mention' takes the id keys and every UUID in the line; 'key' takes the id
-    keys of a JSON object and the UUIDs of any other line.
+    'mention' takes the id keys and every token and UUID in the line; 'key' takes the id
+    keys of a JSON object and the tokens and UUIDs of any other line. A line is parsed once.
     """
-    keys = jsonlines.line_ids(line)
     mentions = paths.mentioned_ids(line)
-    if match == "mention":
-        return F.array_distinct(F.concat(keys, mentions))
-    is_object = F.try_variant_get(jsonlines.parse_line(line), "$", "struct<id:variant>").isNotNull()
-    return F.array_distinct(F.when(is_object, keys).otherwise(mentions))
+
+    def of_value(value: Column) -> Column:
+        keys = jsonlines.ids_of(value)
+        if match == "mention":
+            return F.concat(keys, mentions)
+        is_object = F.try_variant_get(value, "$", "struct<id:variant>").isNotNull()
+        return F.when(is_object, keys).otherwise(mentions)
+
+    return F.array_distinct(text.bound(jsonlines.parse_line(line), of_value))
 
 
 def _lines_of_sessions(lines: DataFrame, ids: DataFrame, match: Match, scope: Sequence[str]) -> DataFrame:

@@ -213,7 +213,7 @@ def overlay_files(current: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def _named_after(files: DataFrame, ids: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Paths of the files whose name contains one of the ids."""
-    ids_in_name = F.explode(paths.mentioned_ids(paths.base_name(F.col("rel_path")))).alias("id")
+    ids_in_name = F.explode(paths.named_ids(F.col("rel_path"))).alias("id")
     named = files.select(*scope, "rel_path", ids_in_name)
     return named.join(ids.select(*scope, "id"), [*scope, "id"], "left_semi").select(*scope, "rel_path")
 

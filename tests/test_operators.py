@@ -70,7 +70,21 @@ def test_ids_in_names(spark):
     frame = spark.createDataFrame([(n,) for n in names], "p string")
     rows = frame.select(paths.session_id_from_path(F.col("p")).alias("i"), paths.mentioned_ids(F.col("p")).alias("m")).collect()
     assert [r.i for r in rows] == [sid(1), "", "11111111-1111-4111-8111-111122222222"]
-    assert rows[2].m == ["11111111-1111-4111-8111-111122222222", "22222222-2222-4222-8222-222222222222"]
+    uuids = ["11111111-1111-4111-8111-111122222222", "22222222-2222-4222-8222-222222222222"]
+    assert rows[2].m == [f"x{overlapping}x", *uuids]
+
+
+def test_ids_of_any_form(spark):
+    names = spark.createDataFrame([("a/rollout-2024-sess-7.jsonl",), ("sess-77.jsonl",)], "p string")
+    assert ["sess-7" in r.x for r in names.select(paths.named_ids(F.col("p")).alias("x")).collect()] == [True, False]
+    texts = ["note sess-7 seen", '{"id":"sess-7"}', '{"id":"sess-8","x":"sess-7"}', "sess-77", '{"thread_id":"a.b"}']
+    rows = [(1, "history.jsonl", n, text) for n, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "root_id bigint, rel_path string, line_no bigint, line string")
+    ids = spark.createDataFrame([(1, "sess-7"), (1, "a.b")], "root_id bigint, id string")
+    for match, left in (("mention", [3]), ("key", [2, 3])):
+        found = lines.delete_lines(frame, ids, match)
+        assert sorted(r.line_no for r in found.collect()) == left
+        assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json(") <= 1
 
 
 def test_times(spark):
