@@ -84,7 +84,7 @@ def test_ids_of_any_form(spark):
     for match, left in (("mention", [3]), ("key", [2, 3])):
         found = lines.delete_lines(frame, ids, match)
         assert sorted(r.line_no for r in found.collect()) == left
-        assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json(") <= 1
+        assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
 
 
 def test_times(spark):
