@@ -132,13 +132,16 @@ def exact_groups(docs: DataFrame, text: Column | None = None, block_bytes: int =
     text = lower_ascii(text_or_empty()) if text is None else text
     ids = identities(docs, text, block_bytes)
     groups = ids.groupBy("step", "name").agg(
-        F.max(F.struct("doc_id", -F.col("row"))).alias("best"), F.count("*").alias("group_size")
+        F.max(F.struct("doc_id", (-F.col("row")).alias("turned"))).alias("best"), F.count("*").alias("group_size")
     )
-    return ids.join(groups, ["step", "name"]).select(
+    # written, so that the join has an exchange of its own and Spark can split a large group
+    groups = staged(groups.where("group_size > 1"), "exact-groups")
+    grouped = F.col("group_size").isNotNull()
+    return ids.join(groups, ["step", "name"], "left").select(
         "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row") == -F.col("best.col2")).alias("kept"),
+        F.when(grouped, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (~grouped | (F.col("row") == -F.col("best.turned"))).alias("kept"),
         "digest",
     )
 
