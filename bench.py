@@ -11,6 +11,8 @@ from checks.compare import local_session
 
 HEADLINE = [
     "conversation_messages",
+    "scan_rollout_lines",
+    "scan_conversations",
     "message_counts",
     "preview_messages",
     "rollout_metadata",

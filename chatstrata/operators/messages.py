@@ -117,7 +117,7 @@ def conversation_counts(messages: DataFrame, preview: int = C.PREVIEW_MESSAGES)
 
 
 def preview_messages(
-    messages: DataFrame, n: int = C.PREVIEW_MESSAGES, limit: int = C.PREVIEW_CHARS, suffix: str = C.CLIP_SUFFIX
+    messages: DataFrame, n: int = C.PREVIEW_MESSAGES, limit: int = C.PREVIEW_CHARS, suffix: str = ""
 ) -> DataFrame:
     """First n messages of each conversation with their text cut."""
     in_order = W.partitionBy(*CONVERSATION).orderBy("line_no")

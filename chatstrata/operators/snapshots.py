@@ -253,16 +253,20 @@ def remove_session_files(files: DataFrame, ids: DataFrame, scope: Sequence[str]
 
 
 def skipped_files(
-    inventory: DataFrame, copied: DataFrame, cap: int = C.LISTED_WARNINGS, scope: Sequence[str] = ROOT
+    inventory: DataFrame, copied: DataFrame, cap: int | None = None, scope: Sequence[str] = ROOT
 ) -> DataFrame:
-    """Report of the files that were listed but not copied: the first ``cap`` per
-    root, then one row that says there are more."""
+    """Report of the files that were listed but not copied: all of them, or the first
+    ``cap`` per root and one row that says how many more there are."""
     missing = inventory.select(*scope, "rel_path").join(
         copied.select(*scope, "rel_path"), [*scope, "rel_path"], "left_anti"
     )
     ordered = missing.withColumn("nth", F.row_number().over(W.partitionBy(*scope).orderBy("rel_path")))
-    message = F.when(F.col("nth") <= cap, F.col("rel_path")).otherwise(C.MORE_SKIPPED)
-    return ordered.filter(F.col("nth") <= cap + 1).select(*scope, "nth", message.alias("message"))
+    if cap is None:
+        return ordered.select(*scope, "nth", F.col("rel_path").alias("message"))
+    first = ordered.filter(F.col("nth") <= cap).select(*scope, "nth", F.col("rel_path").alias("message"))
+    more = missing.groupBy(*scope).agg((F.count("*") - cap).alias("more")).filter("more > 0")
+    said = F.concat(F.lit(C.MORE_SKIPPED), F.lit(" ("), F.col("more").cast("string"), F.lit(")"))
+    return first.unionByName(more.select(*scope, F.lit(cap + 1).alias("nth"), said.alias("message")))
 
 
 def profile_state(profiles: DataFrame, files: DataFrame) -> DataFrame:

@@ -181,8 +181,7 @@ def overlay_files(tables: Tables) -> DataFrame:
     WITH missing AS (
       SELECT f.root_id, f.rel_path, row_number() OVER (PARTITION BY f.root_id ORDER BY f.rel_path) AS nth FROM fx_files f
       WHERE NOT EXISTS (SELECT 1 FROM fx_snapshot_files s WHERE s.snapshot_no = 2 AND s.root_id = f.root_id AND s.rel_path = f.rel_path))
-    SELECT root_id, nth, CASE WHEN nth <= 6 THEN rel_path ELSE '还有更多文件因为权限不足或正在被占用而被跳过，其他可读会话已继续备份。' END AS message
-    FROM missing WHERE nth <= 7""")
+    SELECT root_id, nth, rel_path AS message FROM missing""")
 def skipped_files(tables: Tables) -> DataFrame:
     copied = tables("SELECT * FROM fx_snapshot_files WHERE snapshot_no = 2")
     return snapshots.skipped_files(tables("fx_files"), copied)

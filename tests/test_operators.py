@@ -307,8 +307,11 @@ def test_shell_snapshots_are_flattened(spark):
 
 def test_skipped_report(spark):
     files = spark.createDataFrame([log(n) for n in range(9)] + [log(20, root=2)], FILES)
-    found = snapshots.skipped_files(files, files.filter(F.col("id") == sid(0))).orderBy("root_id", "nth").collect()
-    assert len(found) == 8 and found[6].message.startswith("还有更多") and found[7].root_id == 2
+    copied = files.filter(F.col("id") == sid(0))
+    assert snapshots.skipped_files(files, copied).count() == 9
+    found = snapshots.skipped_files(files, copied, cap=6).orderBy("root_id", "nth").collect()
+    assert len(found) == 8 and found[6].message.startswith("还有更多") and found[6].message.endswith("(2)")
+    assert found[7].root_id == 2
 
 
 def test_attachments_in_place_are_not_restored(spark):
