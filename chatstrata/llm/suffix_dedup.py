@@ -43,10 +43,10 @@ CONTEXT = LEFT + MATCH
 STRETCH = 1 << 20
 PLACE_BITS = 21
 NO_ID = -(1 << 63)
-# The row number of what is sent to a share of the hashes and not to a document.
-FOR_SHARE = -1
+# What is sent to a share of the hashes, and what passes through it on the way to documents.
+FOR_SHARE, FOR_ROWS = 0, 1
 # A share of the hashes is meant for so many bytes of text; a batch is closed at so many anchors.
-SHARE_BYTES = 1 << 24
+SHARE_BYTES = 1 << 26
 BATCH_ANCHORS = 1 << 21
 LEVEL_RECORDS = 1 << 16
 
@@ -129,7 +129,8 @@ def _low(hashes: np.ndarray) -> np.ndarray:
 
 # Step 1: which anchors are in several documents.
 
-SENT = "share int, row long, hashes binary, rows binary"
+SENT = "share int, kind int, values binary, rows binary"
+FOUND_BY_BUCKET = "bucket int, values binary, rows binary"
 
 
 def _send_hashes(shares: int):
@@ -160,60 +161,68 @@ def _send_hashes(shares: int):
         share, low, rows, again = share[once], low[once], rows[once], again[once]
         first = np.flatnonzero(~again)
         many = np.repeat(np.diff(np.append(first, len(low))) > 1, np.diff(np.append(first, len(low))))
-        yield _packed(share[first], low[first], rows[first])
+        yield _sent(FOR_SHARE, share[first], low[first], rows[first])
         if many.any():
-            yield _by_row(rows[many], low[many], shares)
+            yield _sent(FOR_ROWS, rows[many] % shares, low[many], rows[many])
 
     return send
 
 
-def _record_batch(columns: list[list]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["share", "row", "hashes", "rows"])
+def _dealt(number: np.ndarray, values: np.ndarray, rows: np.ndarray | None) -> tuple[list, list, list]:
+    """For each number: it, and its values and rows as bytes."""
+    order = np.argsort(number, kind="stable")
+    number, values = number[order], values[order]
+    rows = None if rows is None else rows[order]
+    cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+    spans = list(zip(cuts, np.append(cuts[1:], len(number))))
+    packed = [None if rows is None else rows[a:b].tobytes() for a, b in spans]
+    return number[cuts].tolist(), [values[a:b].tobytes() for a, b in spans], packed
 
 
-def _packed(share: np.ndarray, low: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    cuts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]]))
-    ends = np.append(cuts[1:], len(share))
-    spans = list(zip(cuts, ends))
-    return _record_batch(
-        [share[cuts].tolist(), [FOR_SHARE] * len(cuts), [low[a:b].tobytes() for a, b in spans], [rows[a:b].tobytes() for a, b in spans]]
-    )
+def _sent(kind: int, share: np.ndarray, values: np.ndarray, rows: np.ndarray | None) -> pa.RecordBatch:
+    numbers, packed, packed_rows = _dealt(share, values, rows)
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    columns = [numbers, [kind] * len(numbers), packed, packed_rows]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["share", "kind", "values", "rows"])
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray, shares: int) -> pa.RecordBatch:
-    order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    ends = np.append(cuts[1:], len(rows))
-    # they pass through any share
-    return _record_batch(
-        [(rows[cuts] % shares).tolist(), rows[cuts].tolist(), [values[a:b].tobytes() for a, b in zip(cuts, ends)], [None] * len(cuts)]
-    )
+def _by_bucket(values: np.ndarray, rows: np.ndarray, buckets: int) -> pd.DataFrame:
+    """What was found, packed for buckets of documents, so that there is no row for each share and document."""
+    numbers, packed, packed_rows = _dealt(rows % buckets, values, rows)
+    return pd.DataFrame({"bucket": np.array(numbers, np.int32), "values": packed, "rows": packed_rows})
 
 
-def _grouped(rows: np.ndarray, values: np.ndarray) -> pd.DataFrame:
-    order = np.argsort(rows, kind="stable")
-    rows, values = rows[order], values[order]
-    cuts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(rows))
-    return pd.DataFrame({"row": rows[cuts], "found": [values[a:b].tobytes() for a, b in zip(cuts, ends)]})
+def _passing(batch: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    known = batch[batch["kind"] == FOR_ROWS]
+    return np.frombuffer(b"".join(known["values"]), kind), np.frombuffer(b"".join(known["rows"]), np.int64)
 
 
-def _shared_hashes(batch: pd.DataFrame) -> pd.DataFrame:
+def _shared_hashes(buckets: int):
     """The hashes of a share that several batches sent, by document; what batches knew already goes along."""
-    known = batch[batch["row"] != FOR_SHARE]
-    sent = batch[batch["row"] == FOR_SHARE]
-    through = pd.DataFrame({"row": known["row"], "found": known["hashes"]})
-    if not len(sent):
-        return through
-    low = np.frombuffer(b"".join(sent["hashes"]), np.uint32)
-    rows = np.frombuffer(b"".join(sent["rows"]), np.int64)
-    order = np.argsort(low, kind="stable")
-    low, rows = low[order], rows[order]
-    same = low[1:] == low[:-1]
-    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    return pd.concat([through, _grouped(rows[many], low[many])], ignore_index=True)
+
+    def shared(batch: pd.DataFrame) -> pd.DataFrame:
+        sent = batch[batch["kind"] == FOR_SHARE]
+        low = np.frombuffer(b"".join(sent["values"]), np.uint32)
+        rows = np.frombuffer(b"".join(sent["rows"]), np.int64)
+        order = np.argsort(low, kind="stable")
+        low, rows = low[order], rows[order]
+        same = low[1:] == low[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(low) else np.zeros(0, bool)
+        values, known = _passing(batch, np.dtype(np.uint32))
+        return _by_bucket(np.concatenate([values, low[many]]), np.concatenate([known, rows[many]]), buckets)
+
+    return shared
+
+
+def _documents_of(kind: np.dtype):
+    """A bucket's documents, each with all that was found for it."""
+
+    def regrouped(batch: pd.DataFrame) -> pd.DataFrame:
+        values, rows = np.frombuffer(b"".join(batch["values"]), kind), np.frombuffer(b"".join(batch["rows"]), np.int64)
+        numbers, packed, _ = _dealt(rows, values, None)
+        return pd.DataFrame({"row": np.array(numbers, np.int64), "found": packed})
+
+    return regrouped
 
 
 # Step 2: which windows of these anchors start in a smaller document too.
@@ -326,7 +335,7 @@ def _send_records(shares: int):
             rows = rows.to_numpy()
             ids = ids.fill_null(NO_ID).to_numpy()
             chosen = [i for i, w in enumerate(wanted.to_pylist()) if w]
-            marks = {i: np.unique(np.frombuffer(b"".join(wanted[i].as_py()), np.uint32)) for i in chosen}
+            marks = {i: np.unique(np.frombuffer(wanted[i].as_py(), np.uint32)) for i in chosen}
             bodies = [_body(texts[i].as_py()) for i in chosen]
             for buffer, starts, owners, offsets in stretches(bodies):
                 found = anchors(buffer, starts)
@@ -373,31 +382,29 @@ def _send_records(shares: int):
         # rows of the same document must all be answered
         sending = ~same | (records["doc"] == least)
         gone = records[~sending]
-        share = _share(hashes[sending], shares)
-        by_share = np.argsort(share, kind="stable")
-        share, sending = share[by_share], records[sending][by_share]
-        cuts = np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1]]))
-        ends = np.append(cuts[1:], len(share))
-        yield _record_batch([share[cuts].tolist(), [FOR_SHARE] * len(cuts), [sending[a:b].tobytes() for a, b in zip(cuts, ends)], [None] * len(cuts)])
+        yield _sent(FOR_SHARE, _share(hashes[sending], shares), records[sending], None)
         if len(gone):
             found = np.zeros(len(gone), FOUND)
             found["place"], found["windows"] = gone["place"], _all_windows(gone)
-            yield _by_row(gone["row"], found, shares)
+            yield _sent(FOR_ROWS, gone["row"] % shares, found, gone["row"])
 
     return send
 
 
-def _repeated_windows(batch: pd.DataFrame) -> pd.DataFrame:
+def _repeated_windows(buckets: int):
     """The windows of a share that start in a smaller document too, by document; what batches knew already goes along."""
-    known = batch[batch["row"] != FOR_SHARE]
-    through = pd.DataFrame({"row": known["row"], "found": known["hashes"]})
-    index = LogarithmicIndex()
-    for run in batch.loc[batch["row"] == FOR_SHARE, "hashes"]:
-        index.add(np.frombuffer(run, RECORD))
-    records, gone = index.finish()
-    found = np.zeros(len(records), FOUND)
-    found["place"], found["windows"] = records["place"], gone
-    return pd.concat([through, _grouped(records["row"], found)], ignore_index=True)
+
+    def repeated(batch: pd.DataFrame) -> pd.DataFrame:
+        index = LogarithmicIndex()
+        for run in batch.loc[batch["kind"] == FOR_SHARE, "values"]:
+            index.add(np.frombuffer(run, RECORD))
+        records, gone = index.finish()
+        found = np.zeros(len(records), FOUND)
+        found["place"], found["windows"] = records["place"], gone
+        values, known = _passing(batch, FOUND)
+        return _by_bucket(np.concatenate([values, found]), np.concatenate([known, records["row"]]), buckets)
+
+    return repeated
 
 
 # Step 3: what is left of each document.
@@ -423,7 +430,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans: list[list[int]] = []
             kept = body
             if found:
-                gone = removed_bytes(len(body), np.frombuffer(b"".join(found), FOUND))
+                gone = removed_bytes(len(body), np.frombuffer(found, FOUND))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 spans = edges.reshape(-1, 2).tolist()
                 kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
@@ -447,13 +454,10 @@ def bucketed(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _by_document(found: DataFrame, label: str) -> DataFrame:
-    found = staged(found, label)
-    return found.groupBy("row").agg(F.collect_list("found").alias("found"))
-
-
-def _shared_out(sent: DataFrame, shares: int, answer) -> DataFrame:
-    return sent.groupBy("share").applyInPandas(answer, "row long, found binary")
+def _answered(sent: DataFrame, answer, kind: np.dtype, label: str) -> DataFrame:
+    """(row, found): what the shares answer, one row for each document that has any."""
+    found = sent.groupBy("share").applyInPandas(answer, FOUND_BY_BUCKET)
+    return staged(found.groupBy("bucket").applyInPandas(_documents_of(kind), "row long, found binary"), label)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -462,11 +466,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))
     hashes = table.select("row", "text").mapInArrow(_send_hashes(shares), SENT)
-    flags = _by_document(_shared_out(hashes, shares, _shared_hashes), "shared-anchors")
+    flags = _answered(hashes, _shared_hashes(shares), np.dtype(np.uint32), "shared-anchors")
     flagged = table.join(flags.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "found")
     records = flagged.mapInArrow(_send_records(shares), SENT)
-    windows = _by_document(_shared_out(records, shares, _repeated_windows), "repeated-windows")
+    windows = _answered(records, _repeated_windows(shares), FOUND, "repeated-windows")
     final = table.join(windows.hint("shuffle_hash"), "row", "left").select("row", "doc_id", "text", "found")
     return final.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
-
-
