@@ -1,7 +1,7 @@
 """WARC records in ZIP packages, read by range without extraction.
 
-A package is a ZIP file with two stored members: `archive/data.warc` with the records and
-`indexes/records.idx` with a line of offset and length for each. The reader finds members by
+A package is a ZIP file with two stored members: `archive/data.warc.gz` with the records, each a
+gzip member of its own, and `indexes/records.idx` with a line of offset and length for each. The reader finds members by
 the central directory (with ZIP64 fields where they are used), takes the index, and reads
 records by their ranges. Of pages with equal payloads the one with the largest page_id is a
 response, the others are revisits of it without a payload.
@@ -14,6 +14,7 @@ An empty table gives no package.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from chatstrata.llm.token_files import file_system
 from chatstrata.session import scratch_path, staged
 
-DATA, INDEX = "archive/data.warc", "indexes/records.idx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/records.idx"
 PACKAGE_BYTES = 1 << 30
+COMPRESSION = 2
 READ_BYTES = 1 << 22
 # Records of a package are read by tasks in stretches of this size.
 STRETCH_BYTES = 1 << 25
@@ -230,7 +232,8 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
                     sink = store.open_output_stream(paths[-1])
                     writer = PackageWriter(sink)
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
-                writer.add(record(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"]))
+                whole = record(row["page_id"], row["url"], payload, row["refers_to"], row["revisit"])
+                writer.add(gzip.compress(whole, COMPRESSION, mtime=0))
                 if writer.size >= PACKAGE_BYTES:
                     writer.close()
                     sink.close()
@@ -287,7 +290,8 @@ def read_packages(packages: DataFrame, folder: str) -> DataFrame:
                     after += 1
                 file.seek(start)
                 data = file.read(end - start)
-                parsed = [parse_record(data[r["at"] - start : r["at"] - start + r["size"]]) for r in rows[first:after]]
+                spans = [(r["at"] - start, r["at"] - start + r["size"]) for r in rows[first:after]]
+                parsed = [parse_record(gzip.decompress(data[a:b])) for a, b in spans]
                 yield pa.RecordBatch.from_pylist(parsed, schema=schema)
                 first = after
         if file is not None:
