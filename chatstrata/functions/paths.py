@@ -30,12 +30,15 @@ def mentioned_ids(text: Column) -> Column:
     with an equality join, if they are made of these and stand between others.
     """
     tokens = F.split(text, "[^0-9A-Za-z_-]+")
-    uuids = F.regexp_extract_all(text, F.lit(f"(?=({C.UUID}))"), F.lit(1))
-    return F.filter(F.array_distinct(F.concat(tokens, uuids)), lambda token: token != "")
+    return F.filter(F.array_distinct(F.concat(tokens, _uuids(text))), lambda token: token != "")
+
+
+def _uuids(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?=({C.UUID}))"), F.lit(1))
 
 
 def named_ids(path: Column) -> Column:
-    """What may be an id in a file name: its UUIDs, tokens, and the runs of parts of a token between '-'."""
+    """What may be an id in a file name: its UUIDs, or without any its tokens and the runs of their parts between '-'."""
 
     def runs(token: Column) -> Column:
         def of_parts(parts: Column) -> Column:
@@ -47,8 +50,14 @@ def named_ids(path: Column) -> Column:
 
         return bound(F.split(token, "-"), of_parts)
 
-    found = mentioned_ids(base_name(path))
-    return bound(found, lambda ids: F.array_distinct(F.concat(ids, F.flatten(F.transform(ids, runs)))))
+    def of_tokens(ids: Column) -> Column:
+        return F.array_distinct(F.concat(ids, F.flatten(F.transform(ids, runs))))
+
+    def of_name(name: Column) -> Column:
+        uuids = _uuids(name)
+        return F.when(F.size(uuids) > 0, uuids).otherwise(bound(mentioned_ids(name), of_tokens))
+
+    return bound(base_name(path), of_name)
 
 
 def is_archived_path(rel_path: Column) -> Column:

@@ -218,11 +218,11 @@ def _named_after(files: DataFrame, ids: DataFrame, scope: Sequence[str]) -> Data
     return named.join(ids.select(*scope, "id"), [*scope, "id"], "left_semi").select(*scope, "rel_path")
 
 
-def _with_kind(files: DataFrame, kind: str) -> DataFrame:
+def _is_kind(kind: str) -> Column:
     top = paths.top_entry(F.col("rel_path"))
     if kind == "shell":
-        return files.filter(top == C.SHELL_DIR)
-    return files.filter(top.isin(C.ACTIVE_DIR, C.ARCHIVED_DIR) & F.col("rel_path").endswith(".jsonl"))
+        return top == C.SHELL_DIR
+    return top.isin(C.ACTIVE_DIR, C.ARCHIVED_DIR) & F.col("rel_path").endswith(".jsonl")
 
 
 def select_snapshot_files(
@@ -233,7 +233,7 @@ def select_snapshot_files(
 ) -> DataFrame:
     """Files named after the sessions; shell snapshots end up directly in their
     directory, where the last of equal names wins."""
-    chosen = _with_kind(files, kind)
+    chosen = files.filter(_is_kind(kind))
     chosen = chosen.join(_named_after(chosen, ids, scope), [*scope, "rel_path"], "left_semi")
     if kind == "logs":
         return chosen.select(*files.columns)
@@ -247,9 +247,8 @@ def select_snapshot_files(
 
 def remove_session_files(files: DataFrame, ids: DataFrame, scope: Sequence[str] = ROOT) -> DataFrame:
     """All files but the logs and shell snapshots named after the sessions."""
-    logs = _named_after(_with_kind(files, "logs"), ids, scope)
-    shell = _named_after(_with_kind(files, "shell"), ids, scope)
-    return files.join(logs.unionByName(shell), [*scope, "rel_path"], "left_anti").select(*files.columns)
+    named = _named_after(files.filter(_is_kind("logs") | _is_kind("shell")), ids, scope)
+    return files.join(named, [*scope, "rel_path"], "left_anti").select(*files.columns)
 
 
 def skipped_files(
