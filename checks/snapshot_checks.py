@@ -17,7 +17,7 @@ KIND = f"CASE WHEN {REASON} = 'manual' THEN 'manual' ELSE 'system' END"
 @check(f"""
     SELECT n, {REASON} AS reason, {KIND} AS kind, CASE WHEN {KIND} = 'manual' THEN '手动' ELSE '系统自动' END AS label,
       CASE {REASON} WHEN 'manual' THEN '手动快照' WHEN 'auto-protect' THEN '自动会话保护点' WHEN 'pre-restore' THEN '恢复前自动备份'
-        WHEN 'pre-delete-session' THEN '删除前自动备份' ELSE 'Codex' END || ' · p' || CAST(root_id AS STRING) || '/m' AS name
+        WHEN 'pre-delete-session' THEN '删除前自动备份' ELSE 'Snapshot' END || ' · p' || CAST(root_id AS STRING) || '/m' AS name
     FROM fx_snapshots""")
 def snapshot_kinds(tables: Tables) -> DataFrame:
     s = tables("fx_snapshots")
