@@ -20,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        # written, so that the joins have exchanges of their own and Spark can split a node with many neighbours
+        least = staged(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("least")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         large = staged(large.where("a != b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        least = staged(large.groupBy("a").agg(F.min("b").alias("least")), "least")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
         current = staged(small.where("a != b").distinct(), "small-star")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -12,7 +12,7 @@ More groups give longer keys: their number follows the number of fingerprints, s
 together by chance at any size. A key that many share is dealt out in pairs of chunks.
 Only links that join two parts of a key's fingerprints are returned, which has the same components.
 
-`similar_components` links by an estimated similarity of shingle sets instead: 512 bits, of which the
+`similar_components` links by an estimated similarity of shingle sets instead: 1024 bits, of which the
 share that differs tells the angle between the sets, and keys of sampled one-bit references, so many
 that a pair at the wanted similarity meets with the probability RECALL. Here the radius is wide.
 
@@ -40,7 +40,9 @@ from chatstrata.session import staged
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64
 # The wide form: words of 64 bits, and the part of pairs at the wanted similarity that must meet.
-WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL = 8, 5, 0.8, 0.9
+WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL = 16, 5, 0.8, 0.95
+# The radius exceeds the mean at the wanted similarity by so many standard deviations: 19 of 20 pairs at it count.
+DEVIATIONS = 1.645
 # At most so many fingerprints share a key by chance, on average.
 EXPECTED = 4
 CHUNK = 4000
@@ -302,9 +304,8 @@ def similar_components(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity:
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([wide_fingerprint(t, shingle) for t in texts], dtype=object)
 
-    # one standard deviation of the estimate, so that five of six pairs at the very similarity count
     bits, rate = BITS * WIDE_WORDS, differing(similarity)
-    radius = int(bits * rate + np.sqrt(bits * rate * (1 - rate)))
+    radius = int(bits * rate + DEVIATIONS * np.sqrt(bits * rate * (1 - rate)))
     prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed("text").alias("print"))
     found = _with_components(
         staged(prints, "wide-fingerprints"),
