@@ -157,8 +157,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model:
 def train(docs: DataFrame, usable: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """A model of at most `train_rows` documents of `docs` where `usable` holds."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    # a language's documents with the least hashes, some twice as many as can be needed, before any are ranked
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_documents"))
+    least = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)) / (1 << 31)
+    # a row per language, as many as the model has columns; so no language's rows are shuffled together
+    few = labelled.join(F.broadcast(counts), "lang").where(least * F.col("_documents") <= 2 * train_rows + 100).select("doc_id", "lang")
     shuffled = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    turns = labelled.withColumn("_turn", F.row_number().over(shuffled)).where(F.col("_turn") <= train_rows)
+    turns = few.withColumn("_turn", F.row_number().over(shuffled)).where(F.col("_turn") <= train_rows)
     chosen = turns.orderBy("_turn", "lang", "doc_id").limit(train_rows).select("doc_id").distinct()
     # at most train_rows ids
     sample = docs.where(usable).join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
