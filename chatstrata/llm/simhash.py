@@ -12,9 +12,11 @@ More groups give longer keys: their number follows the number of fingerprints, s
 together by chance at any size. A key that many share is dealt out in pairs of chunks.
 Only links that join two parts of a key's fingerprints are returned, which has the same components.
 
-`similar_components` links by an estimated similarity of shingle sets instead: 1024 bits, of which the
-share that differs tells the angle between the sets, and keys of sampled one-bit references, so many
-that a pair at the wanted similarity meets with the probability RECALL. Here the radius is wide.
+`similar_components` links by the Jaccard similarity of sets of shingles (64-bit hashes) instead, and exactly. Two sets that are
+similar enough share one of the first shingles of each, in any order that all sets are put in: they meet in those (common shingles come
+last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the parity of
+the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
+the sets themselves before it counts. Large groups give stars first, then all pairs that the confirmed links have not joined.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 any other. Rows that repeat are linked with each other. A null doc_id is never the least of
@@ -39,10 +41,10 @@ from chatstrata.session import staged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64
-# The wide form: words of 64 bits, and the part of pairs at the wanted similarity that must meet.
-WIDE_WORDS, WIDE_SHINGLE, SIMILARITY, RECALL = 16, 5, 0.8, 0.95
-# The radius exceeds the mean at the wanted similarity by so many standard deviations: 19 of 20 pairs at it count.
-DEVIATIONS = 1.645
+# The sets of shingles: words in each, the wanted similarity, and the bits of a bitmap.
+SET_SHINGLE, SIMILARITY, SET_BITS = 5, 0.8, 1024
+# The most common shingles, counted in one of so many documents, so many at a time.
+COMMON, COMMON_PART, COMMON_BATCH = 50_000, 4, 1 << 21
 # At most so many fingerprints share a key by chance, on average.
 EXPECTED = 4
 CHUNK = 4000
@@ -86,15 +88,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
-    """The fingerprint of the set of a text's shingles, in WIDE_WORDS words."""
-    hashes = np.unique(shingle_hashes(text, shingle))
-    if not len(hashes):
-        return bytes(8 * WIDE_WORDS)
-    salts = mixed(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) << np.uint64(32))
-    return majority(mixed(hashes[:, None] ^ salts)).tobytes()
-
-
 def hadamard() -> np.ndarray:
     """Half of the rows of the 64-bit Hadamard matrix as reference fingerprints."""
     rows = np.arange(1, BITS, 2)[:, None] & np.arange(BITS)[None, :]
@@ -152,28 +145,6 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return (bits * (np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def differing(similarity: float) -> float:
-    """The part of bits that differs on average between sets of equal size and that Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def sample_plan(count: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(keys, references in each): keys long enough for so many fingerprints, and enough of them."""
-    size = max(12, int(np.ceil(np.log2(max(2, count)))) + 3)
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing(similarity)) ** size)))), size
-
-
-def sampled_keys(values: np.ndarray, keys: int, size: int) -> np.ndarray:
-    """A row for each fingerprint of one key for each sample of one-bit references."""
-    nearer = nearer_to_one_bit(values)
-    rng = np.random.default_rng(SEED)
-    found = []
-    for number in range(keys):
-        sample = rng.permutation(nearer.shape[1])[:size]
-        found.append(_packed(nearer[:, sample]) | np.uint64(number) << np.uint64(size))
-    return np.stack(found, axis=1).view(np.int64)
-
-
 def near(values: np.ndarray, left: np.ndarray, right: np.ndarray, table: np.ndarray, radius: int) -> np.ndarray:
     """Which pairs of places are within the radius: first by the largest difference of coordinates, then exactly."""
     gap = np.abs(table[left] - table[right]).max(axis=1) <= radius
@@ -297,25 +268,234 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return found.select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
-def similar_components(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every row of `docs`: links are pairs of an estimated similarity of at least that much."""
+def set_prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set: a similar set has one of them among its own first. `common` is sorted."""
+    if not len(hashes):
+        return hashes
+    weight = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        weight = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, weight))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
-    @pandas_udf("binary")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t, shingle) for t in texts], dtype=object)
 
-    bits, rate = BITS * WIDE_WORDS, differing(similarity)
-    radius = int(bits * rate + DEVIATIONS * np.sqrt(bits * rate * (1 - rate)))
-    prints = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashed("text").alias("print"))
-    found = _with_components(
-        staged(prints, "wide-fingerprints"),
-        lambda count: lambda values: sampled_keys(values, *sample_plan(count, similarity)),
-        radius,
+def bitmap(hashes: np.ndarray) -> bytes:
+    """For each of SET_BITS the parity of the shingles that fall on it."""
+    fallen = np.bincount((hashes % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS)
+    return np.packbits(fallen & 1 == 1, bitorder="little").tobytes()
+
+
+def possible(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of places may be as similar as that; no pair that is gets lost."""
+    a, b = sizes[left], sizes[right]
+    fit = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+    apart = np.bitwise_count(values[left[fit]] ^ values[right[fit]]).sum(axis=1, dtype=np.int64)
+    fit[fit] = apart <= (a + b)[fit] * (1 - similarity) / (1 + similarity) + 1e-9
+    return fit
+
+
+def candidates(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within groups of equal, sorted numbers: all possible ones of small groups, stars of large ones."""
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    lengths = np.diff(np.append(starts, len(groups)))
+    left: list[np.ndarray] = [np.zeros(0, np.int64)]
+    right: list[np.ndarray] = [np.zeros(0, np.int64)]
+    small = np.repeat(lengths <= SMALL, lengths)
+    for lag in range(1, SMALL):
+        first = np.flatnonzero(small[:-lag] & (groups[:-lag] == groups[lag:]))
+        if not len(first):
+            break
+        first = first[possible(values, sizes, first, first + lag, similarity)]
+        left.append(first)
+        right.append(first + lag)
+    for start, length in zip(starts[lengths > SMALL], lengths[lengths > SMALL]):
+        waiting = np.arange(start, start + length)
+        while len(waiting) > 1:
+            at, waiting = np.full(len(waiting) - 1, waiting[0]), waiting[1:]
+            hit = possible(values, sizes, at, waiting, similarity)
+            left.append(at[hit])
+            right.append(waiting[hit])
+            waiting = waiting[~hit]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates_between(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All possible pairs of places within groups of equal, sorted numbers that have different roots."""
+    ends = np.searchsorted(groups, groups, "right")
+    left: list[np.ndarray] = [np.zeros(0, np.int64)]
+    right: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for at in range(len(groups)):
+        rest = np.arange(at + 1, ends[at])
+        rest = rest[roots[rest] != roots[at]]
+        one = np.full(len(rest), at)
+        hit = possible(values, sizes, one, rest, similarity)
+        left.append(one[hit])
+        right.append(rest[hit])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def common_shingles(docs: DataFrame, shingle: int, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of most documents, sorted, and about how many have each. This only sets an order: it may be inexact."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for text in batch["text"][::COMMON_PART]:
+                held.append(np.unique(shingle_hashes(text, shingle)))
+                size += len(held[-1])
+                if size >= COMMON_BATCH:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
+
+    def repeated(held: list[np.ndarray]) -> pd.DataFrame:
+        hashes, n = np.unique(np.concatenate(held), return_counts=True)
+        return pd.DataFrame({"hash": hashes[n > 1].view(np.int64), "n": n[n > 1]})
+
+    counts = docs.select("text").mapInPandas(counted, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n")).limit(limit).toPandas()
+    hashes, n = found["hash"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id and digest, size, bits (bitmap) and prefix of the set of shingles of every row."""
+    common, counts = common_shingles(docs, shingle)
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                hashes = np.unique(shingle_hashes(text, shingle))
+                rows.append((digest(hashes), len(hashes), bitmap(hashes), set_prefix(hashes, common, counts, similarity).tobytes()))
+            yield pd.DataFrame(rows, columns=["digest", "size", "bits", "prefix"]).assign(doc_id=batch["doc_id"].array)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # text: a nullable long would pass through Pandas as a float
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
+    sets = texts.mapInPandas(described, "digest binary, size long, bits binary, prefix binary, doc_id string")
+    return sets.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+
+
+def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
+    """(a, b), a < b: the candidates among the ids that meet in a key; `met` has key, id and n, the ids of the key."""
+    met = met.withColumn("chunks", F.ceil(F.col("n") / chunk))
+    own = F.pmod(F.xxhash64("id"), F.col("chunks"))
+    dealt = met.select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id")
+    part = ["key", "low", "high"]
+    dealt = dealt.join(sets, "id").repartition(*part).sortWithinPartitions(*part, "id")
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                rows, held = held, None
+            else:
+                rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                last = (rows[part].to_numpy() == rows[part].to_numpy()[-1:]).all(axis=1)
+                # the last group may go on in the next batch
+                rows, held = rows[~last], rows[last]
+            if rows is None or not len(rows):
+                continue
+            columns = rows[part].to_numpy()
+            number = np.cumsum(np.concatenate([[True], (columns[1:] != columns[:-1]).any(axis=1)]))
+            left, right = find(number, words_of(rows["bits"]), rows)
+            ids = rows["id"].to_numpy()
+            yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])}).drop_duplicates()
+
+    return dealt.mapInPandas(found, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are as similar as that."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                sets = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"].iloc[first : first + 512]]
+                yield pd.DataFrame({"digest": [digest(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hit = []
+            for one, other in zip(batch["one"], batch["other"]):
+                one, other = sorted((np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)), key=len)
+                at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+                both = int((other[at] == one).sum())
+                hit.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
+            yield batch.loc[np.array(hit, bool), ["a", "b"]]
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = staged(distinct.join(ids, "id").select("id", "digest", "least"), "candidate-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    # other rows of the same doc_id may have other texts
+    sets = texts.select("text").mapInPandas(hashed, "digest binary, hashes binary").join(wanted.select("id", "digest"), "digest")
+    sets = staged(sets.groupBy("id").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("one")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("other")), "b")
+    return staged(both.select("a", "b", "one", "other").mapInPandas(similar, "a long, b long"), "similar-pairs")
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """(node, root): the components of the distinct sets (id, digest, least, size, bits, prefix) that are linked with others."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 1024):
+                part = batch.iloc[first : first + 1024]
+                lengths = part["prefix"].map(len).to_numpy() // 8
+                yield pd.DataFrame({"key": np.frombuffer(b"".join(part["prefix"]), np.int64), "id": np.repeat(part["id"].to_numpy(), lengths)})
+
+    keys = distinct.select("id", "prefix").mapInPandas(keyed, "key long, id long")
+    least, most, mix = F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("mix")
+    groups = keys.groupBy("key").agg(F.count("*").alias("n"), least, most, mix).where("n > 1")
+    # keys of the same ids are needed once
+    groups = staged(groups.groupBy("n", "first", "last", "mix").agg(F.min("key").alias("key")).select("key", "n"), "shared-shingles")
+    met = staged(keys.join(groups, "key"), "met")
+    sets = distinct.select("id", "size", "bits")
+    stars = _pairs(met, sets, lambda number, values, rows: candidates(number, values, rows["size"].to_numpy(), similarity), chunk)
+    linked = confirmed(staged(stars, "candidates"), distinct, docs, shingle, similarity)
+    roots = staged(components(linked), "first-components")
+    sets = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    large = staged(met.where(F.col("n") > SMALL).join(sets.select("id", "root"), "id"), "large-groups")
+    apart = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    more = _pairs(
+        large.join(apart, "key").select("key", "id", "n"),
+        sets,
+        lambda number, values, rows: candidates_between(number, values, rows["size"].to_numpy(), rows["root"].to_numpy(), similarity),
+        chunk,
     )
-    return found.select("doc_id", "component_id")
+    more = staged(more, "more-candidates")
+    if more.isEmpty():
+        return roots
+    return components(linked.union(confirmed(more, distinct, docs, shingle, similarity)))
+
+
+def similar_components(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row of `docs`: all pairs of at least that Jaccard similarity are links, and no others."""
+    sets = staged(shingle_sets(docs, shingle, similarity), "sets")
+    alike = [F.first(name).alias(name) for name in ("size", "bits", "prefix")]
+    distinct = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *alike).withColumn("id", F.monotonically_increasing_id())
+    distinct = staged(distinct, "distinct-sets")
+    roots = similar_links(distinct, docs, shingle, similarity).withColumnRenamed("node", "id")
+    named = distinct.select("id", "digest", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(named.join(least, "root").select("digest", "component_id"), "set-components")
+    return sets.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the rows that are not the first of their component; rows of one doc_id and component stay together."""
     found = similar_components(docs, shingle, similarity)
     kept = found.where("doc_id <=> component_id").select("doc_id").distinct()

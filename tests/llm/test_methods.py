@@ -149,3 +149,40 @@ def test_the_index_does_not_depend_on_its_levels():
             if min(least[(bit, r["bytes"][bit : bit + suffix_dedup.MATCH].tobytes())]) < r["doc"]
         )
         assert results[0].get(int(r["place"]), 0) == expected
+
+
+def test_near_copies_are_linked_by_the_sets_themselves(spark):
+    """Every pair of a similarity of 0.8 or more is linked and no other, from short texts to long ones and in a large group."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(150):
+        words = [f"w{v}" for v in rng.integers(0, 10**6, rng.choice([8, 10, 14, 40, 200, 600]))]
+        for copy in range(int(rng.integers(2, 4))):
+            own = words[: len(words) - copy] if len(words) < 20 else list(words)
+            if len(words) >= 20:
+                for at in rng.integers(0, len(words), int(rng.integers(0, len(words) // 25 + 1))):
+                    own[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(own))
+    base = [f"h{v}" for v in range(300)]
+    for _ in range(120):
+        own = list(base)
+        for at in rng.integers(0, 300, int(rng.integers(0, 9))):
+            own[at] = f"y{rng.integers(10**6)}"
+        texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(text, 5).tolist()) for text in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert found == {i: find(i) for i in range(len(texts))}
+    assert 150 < len(set(found.values())) < len(texts) - 150
