@@ -16,7 +16,7 @@ Only links that join two parts of a key's fingerprints are returned, which has t
 similar enough share one of the first shingles of each, in any order that all sets are put in: they meet in those (common shingles come
 last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the parity of
 the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
-the sets themselves before it counts. Large groups give stars first, then all pairs that the confirmed links have not joined.
+the sets themselves before it counts. Groups of more than two give stars first, then all pairs that the confirmed links have not joined.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 any other. Rows that repeat are linked with each other. A null doc_id is never the least of
@@ -295,20 +295,16 @@ def possible(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.
 
 
 def candidates(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places within groups of equal, sorted numbers: all possible ones of small groups, stars of large ones."""
+    """Possible pairs of places within groups of equal, sorted numbers: in groups of more than two, stars that take in all they can."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     lengths = np.diff(np.append(starts, len(groups)))
     left: list[np.ndarray] = [np.zeros(0, np.int64)]
     right: list[np.ndarray] = [np.zeros(0, np.int64)]
-    small = np.repeat(lengths <= SMALL, lengths)
-    for lag in range(1, SMALL):
-        first = np.flatnonzero(small[:-lag] & (groups[:-lag] == groups[lag:]))
-        if not len(first):
-            break
-        first = first[possible(values, sizes, first, first + lag, similarity)]
-        left.append(first)
-        right.append(first + lag)
-    for start, length in zip(starts[lengths > SMALL], lengths[lengths > SMALL]):
+    two = starts[lengths == 2]
+    two = two[possible(values, sizes, two, two + 1, similarity)]
+    left.append(two)
+    right.append(two + 1)
+    for start, length in zip(starts[lengths > 2], lengths[lengths > 2]):
         waiting = np.arange(start, start + length)
         while len(waiting) > 1:
             at, waiting = np.full(len(waiting) - 1, waiting[0]), waiting[1:]
@@ -362,7 +358,7 @@ def common_shingles(docs: DataFrame, shingle: int, limit: int = COMMON) -> tuple
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id and digest, size, bits (bitmap) and prefix of the set of shingles of every row."""
+    """doc_id and id, size, bits (bitmap) and prefix of the set of shingles of every row; equal sets have equal ids."""
     common, counts = common_shingles(docs, shingle)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,20 +366,21 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 hashes = np.unique(shingle_hashes(text, shingle))
-                rows.append((digest(hashes), len(hashes), bitmap(hashes), set_prefix(hashes, common, counts, similarity).tobytes()))
-            yield pd.DataFrame(rows, columns=["digest", "size", "bits", "prefix"]).assign(doc_id=batch["doc_id"].array)
+                rows.append((set_id(hashes), len(hashes), bitmap(hashes), set_prefix(hashes, common, counts, similarity).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "size", "bits", "prefix"]).assign(doc_id=batch["doc_id"].array)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # text: a nullable long would pass through Pandas as a float
     texts = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sets = texts.mapInPandas(described, "digest binary, size long, bits binary, prefix binary, doc_id string")
+    sets = texts.mapInPandas(described, "id long, size long, bits binary, prefix binary, doc_id string")
     return sets.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def digest(hashes: np.ndarray) -> bytes:
+def set_id(hashes: np.ndarray) -> int:
+    """XXH64 of a whole sorted set, as a signed number."""
     import xxhash
 
-    return xxhash.xxh3_128_digest(hashes.tobytes(), SEED)
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
 def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
@@ -416,14 +413,14 @@ def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
     return dealt.mapInPandas(found, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are as similar as that."""
+def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are as similar as that; `least` has a doc_id of each id."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in range(0, len(batch), 512):
                 sets = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"].iloc[first : first + 512]]
-                yield pd.DataFrame({"digest": [digest(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"id": np.array([set_id(s) for s in sets], np.int64), "hashes": [s.tobytes() for s in sets]})
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -436,19 +433,19 @@ def confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, shingle: i
             yield batch.loc[np.array(hit, bool), ["a", "b"]]
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = staged(distinct.join(ids, "id").select("id", "digest", "least"), "candidate-sets")
+    wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     # other rows of the same doc_id may have other texts
-    sets = texts.select("text").mapInPandas(hashed, "digest binary, hashes binary").join(wanted.select("id", "digest"), "digest")
-    sets = staged(sets.groupBy("id").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+    sets = texts.select("text").mapInPandas(hashed, "id long, hashes binary").join(wanted.select("id"), "id", "left_semi")
+    sets = sets.groupBy("id").agg(F.first("hashes").alias("hashes"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("one")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("other")), "b")
     return staged(both.select("a", "b", "one", "other").mapInPandas(similar, "a long, b long"), "similar-pairs")
 
 
-def similar_links(distinct: DataFrame, docs: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """(node, root): the components of the distinct sets (id, digest, least, size, bits, prefix) that are linked with others."""
+def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """(node, root): the components of the sets (id, size, bits, prefix) that are linked with others."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -457,18 +454,22 @@ def similar_links(distinct: DataFrame, docs: DataFrame, shingle: int, similarity
                 lengths = part["prefix"].map(len).to_numpy() // 8
                 yield pd.DataFrame({"key": np.frombuffer(b"".join(part["prefix"]), np.int64), "id": np.repeat(part["id"].to_numpy(), lengths)})
 
-    keys = distinct.select("id", "prefix").mapInPandas(keyed, "key long, id long")
-    least, most, mix = F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("mix")
-    groups = keys.groupBy("key").agg(F.count("*").alias("n"), least, most, mix).where("n > 1")
+    keys = sets.select("id", "prefix").mapInPandas(keyed, "key long, id long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    # rows of equal sets are one
+    met = staged(keys.join(shared, "key").distinct(), "shared-shingles")
+    first, last, mix = F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("mix")
+    groups = met.groupBy("key").agg(F.count("*").alias("n"), first, last, mix).where("n > 1")
     # keys of the same ids are needed once
-    groups = staged(groups.groupBy("n", "first", "last", "mix").agg(F.min("key").alias("key")).select("key", "n"), "shared-shingles")
-    met = staged(keys.join(groups, "key"), "met")
-    sets = distinct.select("id", "size", "bits")
+    groups = staged(groups.groupBy("n", "first", "last", "mix").agg(F.min("key").alias("key")).select("key", "n"), "groups")
+    met = staged(met.join(groups, "key"), "met")
+    sets = sets.join(met.select("id").distinct(), "id", "left_semi").groupBy("id")
+    sets = staged(sets.agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
     stars = _pairs(met, sets, lambda number, values, rows: candidates(number, values, rows["size"].to_numpy(), similarity), chunk)
-    linked = confirmed(staged(stars, "candidates"), distinct, docs, shingle, similarity)
+    linked = confirmed(staged(stars, "candidates"), least, docs, shingle, similarity)
     roots = staged(components(linked), "first-components")
     sets = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    large = staged(met.where(F.col("n") > SMALL).join(sets.select("id", "root"), "id"), "large-groups")
+    large = staged(met.where("n > 2").join(sets.select("id", "root"), "id"), "large-groups")
     apart = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     more = _pairs(
         large.join(apart, "key").select("key", "id", "n"),
@@ -479,20 +480,18 @@ def similar_links(distinct: DataFrame, docs: DataFrame, shingle: int, similarity
     more = staged(more, "more-candidates")
     if more.isEmpty():
         return roots
-    return components(linked.union(confirmed(more, distinct, docs, shingle, similarity)))
+    return components(linked.union(confirmed(more, least, docs, shingle, similarity)))
 
 
 def similar_components(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row of `docs`: all pairs of at least that Jaccard similarity are links, and no others."""
     sets = staged(shingle_sets(docs, shingle, similarity), "sets")
-    alike = [F.first(name).alias(name) for name in ("size", "bits", "prefix")]
-    distinct = sets.groupBy("digest").agg(F.min("doc_id").alias("least"), *alike).withColumn("id", F.monotonically_increasing_id())
-    distinct = staged(distinct, "distinct-sets")
-    roots = similar_links(distinct, docs, shingle, similarity).withColumnRenamed("node", "id")
-    named = distinct.select("id", "digest", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(named.join(least, "root").select("digest", "component_id"), "set-components")
-    return sets.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
+    least = staged(sets.groupBy("id").agg(F.min("doc_id").alias("least")), "least-documents")
+    roots = similar_links(sets, least, docs, shingle, similarity).withColumnRenamed("node", "id")
+    named = least.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = staged(named.join(lowest, "root").select("id", "component_id"), "set-components")
+    return sets.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

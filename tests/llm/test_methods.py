@@ -186,3 +186,15 @@ def test_near_copies_are_linked_by_the_sets_themselves(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
     assert found == {i: find(i) for i in range(len(texts))}
     assert 150 < len(set(found.values())) < len(texts) - 150
+
+
+def test_near_copies_at_the_bound(spark):
+    """Pairs at a similarity of exactly 0.8 are all linked, pairs just below it never."""
+    texts = []
+    for pair in range(300):
+        # 40 or 39 shingles in common and 5 more in each
+        words = [f"p{pair}w{i}" for i in range(44 - pair % 2)]
+        texts += [" ".join(words + [f"p{pair}{side}{i}" for i in range(5)]) for side in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert found == {i: i - i % 2 if i // 2 % 2 == 0 else i for i in range(len(texts))}
