@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chatstrata.llm import (
     block_naming,
+    centroids,
     decontaminate,
     kd_sharding,
     language_id,
@@ -113,3 +114,47 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    # as many rows as there are centroids
+    clusters = F.broadcast(found.clusters.withColumn("centroid_sha256", centroids.digest("components")).drop("components"))
+    return found.rows.join(clusters, "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _clustering_sql(count: int, rounds: int) -> str:
+    steps = []
+    for step in range(rounds + 1):
+        steps.append(f"""
+d{step} AS (
+  SELECT k.id, c.cluster, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(k.v, c.v)]) AS d FROM kept k CROSS JOIN c{step} c
+),
+a{step} AS (SELECT id, min({{'d': d, 'cluster': cluster}}) AS best FROM d{step} GROUP BY id)""")
+        if step < rounds:
+            steps.append(f"""
+s{step} AS (
+  SELECT best.cluster AS cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{step} JOIN kept USING (id), range(1, 65) t(i) GROUP BY ALL
+),
+m{step} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{step} GROUP BY cluster),
+c{step + 1} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{step} c LEFT JOIN m{step} m USING (cluster))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, [floor(64 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS cluster, v FROM kept
+  QUALIFY cluster < {count}
+),{",".join(steps)}
+SELECT k.vec_id, best.cluster::INTEGER AS cluster, best.d::BIGINT AS distance,
+  (sum(best.d) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept k USING (id) JOIN c{rounds} c ON c.cluster = best.cluster
+"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering_sql(centroids.COUNT, centroids.ROUNDS)
