@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chatstrata.llm import (
     block_naming,
     centroids,
+    collocations,
     decontaminate,
     kd_sharding,
     language_id,
@@ -158,3 +159,44 @@ FROM a{rounds} a JOIN kept k USING (id) JOIN c{rounds} c ON c.cluster = best.clu
 
 
 ORACLES["op12_centroid_clustering"] = _clustering_sql(centroids.COUNT, centroids.ROUNDS)
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, [w for w in regexp_split_to_array(piece, '[\x20\x09]+') if w <> ''] AS w FROM pieces),
+phrases AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+  FROM words, (VALUES (1), (2), (3)) t(k)
+),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE f >= 10),
+sides AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS first_words, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM often, (VALUES (1), (2)) t(cut) WHERE cut < k
+),
+cuts AS MATERIALIZED (
+  SELECT s.lang, s.phrase, s.a, s.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * s.a * s.a) // (x.f::HUGEINT * y.f) AS score
+  FROM sides s JOIN often x ON x.lang = s.lang AND x.phrase = s.first_words JOIN often y ON y.lang = s.lang AND y.phrase = s.rest
+),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f AS a FROM often WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM inside GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE o.longest IS NULL OR 100::HUGEINT * o.longest < 50::HUGEINT * s.a
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
