@@ -96,8 +96,7 @@ class HatTrie:
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a cleaned text's words, 0 where a piece ends."""
         words = text.replace(b"\n", END).split(b" ")
-        found = np.fromiter(map(self.words.__getitem__, filter(None, words)), np.int64)
-        return found
+        return np.fromiter(map(self.words.__getitem__, filter(None, words)), np.int64)
 
     def add(self, lang: str, ids: np.ndarray, known: int = 0) -> None:
         """Counts the words after the first `known` ids, and the phrases that end in them."""
@@ -150,6 +149,8 @@ class HatTrie:
         # as binary: the end mark is no UTF-8
         names = pa.array(words[:1] and [None, *words[1:]], pa.binary())
         for lang, root in self.roots.items():
+            if not root:
+                continue
             size = sum(len(node) if isinstance(node, dict) else sum(map(len, node.children.values())) for node in root.values())
             codes, counts = np.empty(size, np.int64), np.empty(size, np.int64)
             at = 0
@@ -186,7 +187,14 @@ def _parts(text: bytes, size: int) -> Iterator[bytes]:
         at = end
 
 
-def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, prefixes: int = PREFIXES, entries: int = ENTRIES) -> DataFrame:
+def counts(
+    docs: DataFrame,
+    least: int = LEAST,
+    longest: int = LONGEST,
+    prefixes: int = PREFIXES,
+    entries: int = ENTRIES,
+    part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """lang, phrase, f of all phrases of up to `longest` words with f >= `least`; the empty phrase has the number of all words."""
     if longest not in (2, 3):
         raise ValueError("phrases have two or three words")
@@ -195,7 +203,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, prefixes
         trie = HatTrie(longest)
 
         def full() -> bool:
-            return trie.entries >= entries or len(trie.words) > ID_MASK - PART_BYTES
+            return trie.entries >= entries or len(trie.words) > ID_MASK - part_bytes
 
         for batch in batches:
             waiting: dict[str, list[bytes]] = {}
@@ -204,9 +212,9 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, prefixes
             for row, lang in enumerate(langs):
                 text = batch.column(1)[row].as_py() or b""
                 clean = text.translate(CLEAN)
-                if len(clean) > PART_BYTES:
+                if len(clean) > part_bytes:
                     known = np.zeros(0, np.int64)
-                    for part in _parts(clean, PART_BYTES):
+                    for part in _parts(clean, part_bytes):
                         ids = np.concatenate([known, trie.ids(part)])
                         trie.add(lang, ids, len(known))
                         known = ids[-2:]
@@ -220,7 +228,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, prefixes
                     continue
                 waiting.setdefault(lang, []).append(clean)
                 size += len(clean)
-                if size >= PART_BYTES or row + 1 == len(langs):
+                if size >= part_bytes or row + 1 == len(langs):
                     for name, texts in waiting.items():
                         trie.add(name, trie.ids(b"\n".join(texts)))
                     waiting, size = {}, 0
@@ -229,7 +237,7 @@ def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, prefixes
                         trie.clear()
             for name, texts in waiting.items():
                 trie.add(name, trie.ids(b"\n".join(texts)))
-        if trie.entries:
+        if trie.totals:
             yield _runs(trie, prefixes)
 
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))

@@ -14,6 +14,7 @@ from chatstrata.llm import (
     decontaminate,
     kd_sharding,
     language_id,
+    main_text,
     packing,
     quality,
     simhash,
@@ -200,3 +201,8 @@ ranked AS (
 )
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
