@@ -3,7 +3,7 @@
 Each task counts the words and phrases of its texts in a trie: word ids lead from the root to hash
 containers of what follows, and a container that grows too large bursts into one per next word. When a
 trie holds `ENTRIES` phrases, its subtrees are written out whole, as runs in the order of their words,
-one run per prefix partition, and it starts anew. A prefix partition has the phrases of some
+one run per prefix partition and count, and it starts anew. A prefix partition has the phrases of some
 two-word prefixes; below each prefix the third words are dealt into `FAN` slices, so that the phrases
 after one hot pair of words are spread over as many partitions. Runs of one partition meet in one
 exchange, where their counts are merged.
@@ -35,7 +35,8 @@ HALF = 50
 NO_LANG = "und"
 # Bytes of text read at once, entries of a trie before it is spilled, of a container before it bursts.
 PART_BYTES, ENTRIES, BURST = 1 << 20, 500_000, 4096
-PREFIXES, FAN = 4096, 64
+# Text of one task that merges runs, the most such tasks, prefix partitions of each, and slices of third words.
+MERGED_BYTES, MOST_MERGES, PREFIXES, FAN = 4 << 20, 100_000, 8, 64
 # A phrase is one number of three word ids; 0 stands for no word, and for the end of a piece.
 ID_BITS = 21
 ID_MASK = (1 << ID_BITS) - 1
@@ -137,7 +138,7 @@ class HatTrie:
                 root[word] = Branch(node)
 
     def runs(self, prefixes: int, fan: int) -> Iterator[tuple[str, np.ndarray, pa.Array, np.ndarray]]:
-        """For each language: prefix partitions, phrases and counts, by partition and then by the words of the phrase."""
+        """For each language: prefix partitions, phrases and counts, by partition, count and the words of the phrase."""
         words = list(self.words)
         ranks = np.empty(len(words), np.int64)
         ranks[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
@@ -161,7 +162,7 @@ class HatTrie:
                     at += 1
             parts = [codes >> (2 * ID_BITS), codes >> ID_BITS & ID_MASK, codes & ID_MASK]
             partition = self._partition(lang, [hashes[p] for p in parts], prefixes, fan)
-            order = np.lexsort((ranks[parts[2]], ranks[parts[1]], ranks[parts[0]], partition))
+            order = np.lexsort((ranks[parts[2]], ranks[parts[1]], ranks[parts[0]], counts, partition))
             columns = [names.take(pa.array(p[order])) for p in parts]
             phrases = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()), null_handling="skip")
             yield lang, partition[order], phrases.cast(pa.string()), counts[order]
@@ -191,7 +192,7 @@ def counts(
     docs: DataFrame,
     least: int = LEAST,
     longest: int = LONGEST,
-    prefixes: int = PREFIXES,
+    merged_bytes: int = MERGED_BYTES,
     entries: int = ENTRIES,
     part_bytes: int = PART_BYTES,
 ) -> DataFrame:
@@ -199,6 +200,10 @@ def counts(
     if longest not in (2, 3):
         raise ValueError("phrases have two or three words")
 
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    merges = min(1 + size // merged_bytes, MOST_MERGES)
+    prefixes = PREFIXES * merges
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie(longest)
 
@@ -241,29 +246,29 @@ def counts(
             yield _runs(trie, prefixes)
 
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text"))
-    runs = texts.mapInArrow(counted, "prefix int, lang string, phrases array<string>, f array<long>")
-    pairs = runs.repartition("prefix").select("prefix", "lang", F.explode(F.arrays_zip("phrases", "f")).alias("pair"))
+    runs = texts.mapInArrow(counted, "prefix int, lang string, f long, phrases string")
+    pairs = runs.repartition(merges, "prefix").select("prefix", "lang", "f", F.explode(F.split("phrases", "\n")).alias("phrase"))
     # a phrase has one prefix partition, so its runs are in one place already
-    merged = pairs.groupBy("prefix", "lang", F.col("pair.phrases").alias("phrase")).agg(F.sum("pair.f").alias("f"))
+    merged = pairs.groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
     return merged.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f")
 
 
 def _runs(trie: HatTrie, prefixes: int) -> pa.RecordBatch:
-    """One row per language and prefix partition, and one per language for the number of its words."""
+    """One row per language, prefix partition and count with its phrases in lines, and one per language for the number of its words."""
     columns: list[list] = [[], [], [], []]
     for lang, partition, phrases, f in trie.runs(prefixes, FAN):
-        starts = np.flatnonzero(np.concatenate([[True], partition[1:] != partition[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (partition[1:] != partition[:-1]) | (f[1:] != f[:-1])]))
         offsets = pa.array(np.append(starts, len(partition)).astype(np.int32))
         columns[0].append(pa.array(partition[starts], pa.int32()))
         columns[1].append(pa.array([lang] * len(starts), pa.string()))
-        columns[2].append(pa.ListArray.from_arrays(offsets, phrases))
-        columns[3].append(pa.ListArray.from_arrays(offsets, pa.array(f, pa.int64())))
+        columns[2].append(pa.array(f[starts], pa.int64()))
+        columns[3].append(pc.binary_join(pa.ListArray.from_arrays(offsets, phrases), "\n"))
     langs = list(trie.totals)
     columns[0].append(pa.array([zlib.crc32(lang.encode()) % prefixes for lang in langs], pa.int32()))
     columns[1].append(pa.array(langs, pa.string()))
-    columns[2].append(pa.array([[""]] * len(langs), pa.list_(pa.string())))
-    columns[3].append(pa.array([[trie.totals[lang]] for lang in langs], pa.list_(pa.int64())))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["prefix", "lang", "phrases", "f"])
+    columns[2].append(pa.array([trie.totals[lang] for lang in langs], pa.int64()))
+    columns[3].append(pa.array([""] * len(langs), pa.string()))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["prefix", "lang", "f", "phrases"])
 
 
 def _exact(column: str) -> Column:

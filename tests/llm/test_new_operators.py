@@ -137,7 +137,7 @@ def phrase_rows():
 @pytest.mark.parametrize("entries", [collocations.ENTRIES, 40])
 def test_collocations_like_brute_force(spark, monkeypatch, entries):
     rows = phrase_rows()
-    monkeypatch.setattr(collocations.counts, "__defaults__", (10, 3, 64, entries, collocations.PART_BYTES))
+    monkeypatch.setattr(collocations.counts, "__defaults__", (10, 3, 1 << 10, entries, collocations.PART_BYTES))
     frame = spark.createDataFrame([(lang, text, 1, "s", 2) for lang, text in rows], "lang string, text string, f long, phrase string, prefix int")
     got = [tuple(r) for r in collocations.collocations(frame.repartition(5)).collect()]
     assert len(got) == len(set(got)) and set(got) == plain_collocations(rows)
@@ -148,7 +148,7 @@ def test_long_texts_are_read_in_parts(spark, monkeypatch):
     r = random.Random(4)
     text = " ".join(r.choice("abcdefgh") for _ in range(5000)) + ". " + "solid" * 400 + " end"
     frame = spark.createDataFrame([("en", text), ("en", text[:500])], "lang string, text string").coalesce(1)
-    monkeypatch.setattr(collocations.counts, "__defaults__", (10, 3, 64, 60, 37))
+    monkeypatch.setattr(collocations.counts, "__defaults__", (10, 3, 1 << 10, 60, 37))
     got = {tuple(row) for row in collocations.collocations(frame).collect()}
     assert got == plain_collocations([("en", text), ("en", text[:500])])
 
@@ -163,7 +163,7 @@ def test_trie_bursts_and_spills_whole_subtrees():
     for _, partition, phrases, f in trie.runs(8, 4):
         assert (np.diff(partition) >= 0).all()
         for p in set(partition.tolist()):
-            own = [tuple(x.split(" ")) for x, at in zip(phrases.to_pylist(), partition) if at == p]
+            own = [(n, *x.split(" ")) for x, n, at in zip(phrases.to_pylist(), f.tolist(), partition) if at == p]
             assert own == sorted(own)
         found.update(dict(zip(phrases.to_pylist(), f.tolist())))
     assert found["a b"] == 6 and found["a b c"] == 4 and found["a"] == 12 and sum(found.values()) == 2 * (18 + 17 + 16)
