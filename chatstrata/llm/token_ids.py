@@ -9,6 +9,7 @@ the library. The pattern is that of word_bpe_49k.json; for another file, ids com
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -32,6 +33,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Numbers(dict):
+    """Pieces by number, in the order of their first use; `new` has those not encoded yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """Ids of texts; one per Python worker."""
 
@@ -46,7 +60,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers = Numbers()
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
@@ -57,30 +71,31 @@ class Encoder:
             return PIECES.findall(text.lower())
         return PARTS.findall(text)
 
-    def _learn(self, wanted: set[str]) -> None:
-        new = sorted(wanted.difference(self.numbers))
-        if not new:
-            return
-        if len(self.numbers) + len(new) > CACHED_PIECES:
-            self.clear()
-            new = sorted(wanted)
+    def _learn(self, new: list[str]) -> None:
+        """Encodes the pieces that were numbered last."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         first = len(self.ids)
-        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, first + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
 
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in a row, and how many each has."""
-        self._learn(set(pieces))
+        # one look-up a piece: a new one gets its number by it
         numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if self.numbers.new:
+            self._learn(self.numbers.new)
+            self.numbers.new = []
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         places = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)
-        return self.ids[places], ends
+        ids = self.ids[places]
+        if len(self.numbers) > CACHED_PIECES:
+            self.clear()
+        return ids, ends
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
