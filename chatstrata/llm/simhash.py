@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from chatstrata.llm.byte_text import mixed
+from chatstrata.llm.common import unused
 from chatstrata.llm.components import components
 from chatstrata.session import staged
 
@@ -48,6 +49,8 @@ COMMON, COMMON_PART, COMMON_BATCH = 50_000, 4, 1 << 21
 # At most so many fingerprints share a key by chance, on average.
 EXPECTED = 4
 CHUNK = 4000
+# Shingles of a set that are compared in one row.
+SLICE = 4096
 # Groups of up to this size are compared pair by pair, larger ones by growing components.
 SMALL = 8
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -414,34 +417,47 @@ def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are as similar as that; `least` has a doc_id of each id."""
+    """The pairs whose sets of shingles are as similar as that; `least` has a doc_id of each id.
+
+    Sets are cut into slices by their hashes, and the slices of a pair are intersected row by row in the
+    JVM: no row is longer than a slice, however long a text is, and no batch of whole sets is built.
+    """
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first in range(0, len(batch), 512):
                 sets = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"].iloc[first : first + 512]]
-                yield pd.DataFrame({"id": np.array([set_id(s) for s in sets], np.int64), "hashes": [s.tobytes() for s in sets]})
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hit = []
-            for one, other in zip(batch["one"], batch["other"]):
-                one, other = sorted((np.frombuffer(one, np.uint64), np.frombuffer(other, np.uint64)), key=len)
-                at = np.minimum(np.searchsorted(other, one), len(other) - 1)
-                both = int((other[at] == one).sum())
-                hit.append(both >= similarity * (len(one) + len(other) - both) - 1e-9)
-            yield batch.loc[np.array(hit, bool), ["a", "b"]]
+                yield pd.DataFrame(
+                    {"id": np.array([set_id(s) for s in sets], np.int64), "size": list(map(len, sets)), "hashes": [s.view(np.int64) for s in sets]}
+                )
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     # other rows of the same doc_id may have other texts
-    sets = texts.select("text").mapInPandas(hashed, "id long, hashes binary").join(wanted.select("id"), "id", "left_semi")
-    sets = sets.groupBy("id").agg(F.first("hashes").alias("hashes"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("one")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("other")), "b")
-    return staged(both.select("a", "b", "one", "other").mapInPandas(similar, "a long, b long"), "similar-pairs")
+    sets = texts.select("text").mapInPandas(hashed, "id long, size long, hashes array<long>").join(wanted.select("id"), "id", "left_semi")
+    sets = staged(sets.dropDuplicates(["id"]), "hash-sets")
+    # sets that are similar enough to be candidates differ in size by a fifth, so both may be cut by the larger one's number of slices
+    sizes = sets.select("id", "size")
+    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a")
+    sized = sized.join(sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b")
+    slices = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1), F.ceil(F.greatest("size_a", "size_b") / SLICE))))).cast("long")
+    sized = staged(sized.withColumn("slices", slices), "sized-pairs")
+
+    def cut(side: str, name: str) -> DataFrame:
+        cuts = sized.select(F.col(side).alias("id"), "slices").distinct().join(sets.select("id", "hashes"), "id")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+        cuts = cuts.select("id", "slices", "hashes", each)
+        own = F.expr("filter(hashes, h -> pmod(h, slices) = slice)")
+        own = F.when(F.col("slices") == 1, F.col("hashes")).otherwise(own)
+        return cuts.select(F.col("id").alias(side), "slices", "slice", own.alias(name))
+
+    both = sized.join(cut("a", "one"), ["a", "slices"]).join(cut("b", "other"), ["b", "slices", "slice"])
+    common = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("one", "other")).alias("common"))
+    whole = common.groupBy("a", "b", "size_a", "size_b").agg(F.sum("common").alias("common"))
+    similar = F.col("common") >= similarity * (F.col("size_a") + F.col("size_b") - F.col("common")) - 1e-9
+    return staged(whole.where(similar).select("a", "b"), "similar-pairs")
 
 
 def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
@@ -483,19 +499,41 @@ def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: i
     return components(linked.union(confirmed(more, least, docs, shingle, similarity)))
 
 
-def similar_components(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id of every row of `docs`: all pairs of at least that Jaccard similarity are links, and no others."""
+def _similar_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, id (of the set), root and component_id of every row of `docs`."""
     sets = staged(shingle_sets(docs, shingle, similarity), "sets")
     least = staged(sets.groupBy("id").agg(F.min("doc_id").alias("least")), "least-documents")
     roots = similar_links(sets, least, docs, shingle, similarity).withColumnRenamed("node", "id")
-    named = least.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = staged(least.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "set-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(named.join(lowest, "root").select("id", "component_id"), "set-components")
-    return sets.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    named = staged(named.join(lowest, "root").select("id", "root", "component_id"), "set-components")
+    return sets.select("doc_id", "id").join(named, "id")
+
+
+def similar_components(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id of every row of `docs`: all pairs of at least that Jaccard similarity are links, and no others."""
+    return _similar_sets(docs, shingle, similarity).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without the rows that are not the first of their component; rows of one doc_id and component stay together."""
-    found = similar_components(docs, shingle, similarity)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """`docs` with one row of each component: of the least doc_id, and of several rows with it one of the least set id."""
+    found = staged(_similar_sets(docs, shingle, similarity).select("doc_id", "id", "root", "component_id"), "similar-sets")
+    first = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("id").alias("id"), F.first("doc_id").alias("doc_id"))
+    first = staged(first.select("doc_id", "id"), "kept-sets")
+    repeated = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-documents")
+    kept = first.select("doc_id").distinct()
+    if repeated.isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+    @pandas_udf("long")
+    def own_id(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_id(np.unique(shingle_hashes(text, shingle))) for text in texts], dtype="int64")
+
+    # rows that share a doc_id are told apart by their sets
+    single = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
+    single = single.join(kept, single["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    key = unused(docs, "_set")
+    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").withColumn(key, own_id("text"))
+    same = several["doc_id"].eqNullSafe(first["doc_id"]) & (several[key] == first["id"])
+    several = several.join(first, same, "left_semi").dropDuplicates(["doc_id", key])
+    return single.unionByName(several.drop(key))

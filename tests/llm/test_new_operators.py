@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from chatstrata.llm import centroids, collocations, main_text, page_maker
+from chatstrata.llm import centroids, collocations, main_text, page_maker, simhash
 from chatstrata.llm.html_nodes import parse
 from chatstrata.llm.queries import QUERIES
 
@@ -296,3 +296,45 @@ def test_pages_are_read_like_browsers_do():
 def test_batches_do_not_change_results(forest):
     sources = page_maker.pages(30, seed=3)
     assert list(main_text.texts(sources, forest)) == [one(source, forest) for source in sources]
+
+
+# --- near copies
+
+
+def near_rows():
+    words = [f"w{n}" for n in range(60)]
+    other = [f"x{n}" for n in range(60)]
+    return [
+        (3, " ".join(words)),
+        (5, " ".join([*words[:-1], "end"])),
+        (5, " ".join(other)),
+        (7, " ".join([*other[:-1], "end"])),
+        (9, "a text of its own with nothing in common"),
+        (9, "a text of its own with nothing in common"),
+        (None, " ".join(["start", *words])),
+        (None, None),
+    ]
+
+
+def test_near_copies_go_where_a_row_of_their_id_stays(spark):
+    frame = spark.createDataFrame(near_rows(), "doc_id long, text string").withColumn("_set", simhash.F.lit("x")).repartition(3)
+    kept = sorted((r.doc_id or -1, (r.text or "")[:2], r._set) for r in simhash.drop_near_copies(frame).collect())
+    assert kept == [(-1, "", "x"), (3, "w0", "x"), (5, "x0", "x"), (9, "a ", "x")]
+
+
+def test_long_sets_are_compared_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 7)
+    r = random.Random(8)
+    base = [f"w{n}" for n in range(400)]
+    rows = [(0, " ".join(base))]
+    for key in range(1, 40):
+        words = list(base)
+        for place in r.sample(range(400), r.randint(5, 30)):
+            words[place] = f"n{key}"
+        rows.append((key, " ".join(words[: r.choice([400, 360])])))
+    runs = {key: set(simhash.shingle_hashes(text, 5).tolist()) for key, text in rows}
+    linked = {key for key in runs if key and len(runs[0] & runs[key]) >= 0.8 * len(runs[0] | runs[key])}
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert linked and all(found[key] == 0 for key in linked)
+    alone_ = {a for a in runs if all(a == b or len(runs[a] & runs[b]) < 0.8 * len(runs[a] | runs[b]) for b in runs)}
+    assert alone_ and all(found[key] == key for key in alone_)
