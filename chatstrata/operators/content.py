@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 from chatstrata import constants as C
+from chatstrata.session import read_named_partitions
 
 ROOT = ("root_id",)
 SNAPSHOT = ("root_id", "snapshot_id")
@@ -59,7 +60,7 @@ class Content:
     def load(cls, spark: SparkSession, base: str) -> Content:
         def found(name: str) -> DataFrame | None:
             try:
-                return spark.read.parquet(f"{base}/{name}")
+                return read_named_partitions(spark, f"{base}/{name}", "snapshot_id")
             except AnalysisException as error:
                 if "PATH_NOT_FOUND" not in str(error):
                     raise
@@ -68,9 +69,9 @@ class Content:
         names = [*C.STATE_TABLE_KEYS, *C.ACCOUNT_TABLES, *C.APP_TABLE_KEYS]
         tables = {name: found(f"tables/{name}") for name in names}
         return cls(
-            files=spark.read.parquet(f"{base}/files"),
-            lines=spark.read.parquet(f"{base}/lines"),
-            states=spark.read.parquet(f"{base}/states"),
+            files=read_named_partitions(spark, f"{base}/files", "snapshot_id"),
+            lines=read_named_partitions(spark, f"{base}/lines", "snapshot_id"),
+            states=read_named_partitions(spark, f"{base}/states", "snapshot_id"),
             tables={name: table for name, table in tables.items() if table is not None},
             bodies=found("bodies"),
             attachments=found("attachments"),

@@ -10,12 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chatstrata import constants as C
-from chatstrata.functions import jsonlines, paths, text
+from chatstrata.functions import jsonlines, text
+from chatstrata.operators import mentions
 from chatstrata.operators.content import ROOT
 
 Match = Literal["mention", "key"]
 # Unique key of the lines of a file: one key, a key per file name, or none (whole lines).
 UniqueKey = str | dict[str, str] | None
+# A JSON object begins with a brace after JSON white space.
+OBJECT_START = r"^[ \t\r\n]*\{"
 LINE_FILE_KEYS = {C.INDEX_FILE: "id"}
 
 
@@ -85,32 +88,23 @@ def dedupe_ordered(
     )
 
 
-def candidate_ids(line: Column, match: Match) -> Column:
-    """Ids a line may belong to.
-
-    'mention' takes the id keys and every token and UUID in the line; 'key' takes the id
-    keys of a JSON object and the tokens and UUIDs of any other line. A line is parsed once.
-    """
-    mentions = paths.mentioned_ids(line)
-
-    def of_value(value: Column) -> Column:
-        keys = jsonlines.ids_of(value)
-        if match == "mention":
-            return F.concat(keys, mentions)
-        is_object = F.try_variant_get(value, "$", "struct<id:variant>").isNotNull()
-        return F.when(is_object, keys).otherwise(mentions)
-
-    return F.array_distinct(text.bound(jsonlines.parse_line(line), of_value))
-
-
 def _lines_of_sessions(lines: DataFrame, ids: DataFrame, match: Match, scope: Sequence[str]) -> DataFrame:
     """Keys of the lines that belong to one of the sessions.
 
-    "The line contains an id" becomes an equality join on the ids found in it.
+    'mention' takes the id keys of a JSON object and every line that contains an id; 'key' takes the id keys,
+    and of lines that are no object those that contain an id.
     """
     row = [*scope, "rel_path", "line_no"]
-    mentioned = lines.select(*row, F.explode(candidate_ids(F.col("line"), match)).alias("id"))
-    return mentioned.join(ids.select(*scope, "id"), [*scope, "id"], "left_semi").select(*row)
+    # an object begins with a brace, so other lines are not parsed
+    objects = lines.filter(F.col("line").rlike(OBJECT_START))
+    keys = objects.select(*row, F.explode(jsonlines.line_ids(F.col("line"))).alias("id"))
+    keyed = keys.join(ids.select(*scope, "id"), [*scope, "id"], "left_semi").select(*row)
+    texts = lines
+    if match == "key":
+        is_object = F.try_variant_get(jsonlines.parse_line(F.col("line")), "$", "struct<id:variant>").isNotNull()
+        texts = lines.filter(~F.col("line").rlike(OBJECT_START) | ~is_object)
+    mentioned = mentions.containing(texts.withColumnRenamed("line", "text"), ids, row, scope)
+    return keyed.unionByName(mentioned)
 
 
 def keep_lines(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatstrata import constants as C
 from chatstrata.functions import naming, paths, text
+from chatstrata.operators import mentions
 from chatstrata.operators.catalog import one_file_per_session, union_session_dirs
 from chatstrata.operators.content import ROOT, SNAPSHOT
 
@@ -213,9 +214,8 @@ def overlay_files(current: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def _named_after(files: DataFrame, ids: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Paths of the files whose name contains one of the ids."""
-    ids_in_name = F.explode(paths.named_ids(F.col("rel_path"))).alias("id")
-    named = files.select(*scope, "rel_path", ids_in_name)
-    return named.join(ids.select(*scope, "id"), [*scope, "id"], "left_semi").select(*scope, "rel_path")
+    named = files.select(*scope, "rel_path", paths.base_name(F.col("rel_path")).alias("text"))
+    return mentions.containing(named, ids, [*scope, "rel_path"], scope)
 
 
 def _is_kind(kind: str) -> Column:

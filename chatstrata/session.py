@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Settings the operators count on; the sizes are left to the cluster.
 SETTINGS = {
@@ -14,8 +15,6 @@ SETTINGS = {
     # Split a hot join key even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Ids such as 2024-01-01 stay text where they name a partition.
-    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     # JSON allows a key twice; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -65,3 +64,10 @@ def staged(table: DataFrame, name: str) -> DataFrame:
     path = scratch_path(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def read_named_partitions(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """A Parquet dataset partitioned by `column`, whose values stay text even if they look like dates or numbers."""
+    found = spark.read.parquet(path).schema
+    fields = [StructField(f.name, StringType()) if f.name == column else f for f in found.fields]
+    return spark.read.schema(StructType(fields)).parquet(path)

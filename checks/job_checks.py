@@ -387,13 +387,13 @@ def delete_snapshots(tables: Tables) -> DataFrame:
 
 
 @check("""
-    WITH dropped AS (SELECT root_id, id, 1 AS gone FROM (
-      SELECT root_id, id, row_number() OVER (PARTITION BY root_id ORDER BY created_epoch DESC, id) AS nth
-      FROM fx_root_snapshots WHERE reason <> 'manual') s WHERE nth > 1)
+    WITH judged AS MATERIALIZED (SELECT root_id, id, reason,
+      row_number() OVER (PARTITION BY root_id, reason = 'manual' ORDER BY created_epoch DESC, id) AS nth FROM fx_root_snapshots),
+    stays AS MATERIALIZED (SELECT root_id, id, reason FROM judged WHERE reason = 'manual' OR nth = 1),
+    held AS MATERIALIZED (SELECT root_id, snapshot_id, rel_path, size_bytes FROM fx_snapshot_files)
     SELECT 'file' AS part, f.root_id, f.snapshot_id || ':' || f.rel_path AS k, CAST(f.size_bytes AS STRING) AS v
-    FROM fx_snapshot_files f LEFT JOIN dropped d ON d.root_id = f.root_id AND d.id = f.snapshot_id WHERE d.gone IS NULL
-    UNION ALL SELECT 'manifest', s.root_id, s.id, s.reason
-    FROM fx_root_snapshots s LEFT JOIN dropped d ON d.root_id = s.root_id AND d.id = s.id WHERE d.gone IS NULL""")
+    FROM held f JOIN stays s ON s.root_id = f.root_id AND s.id = f.snapshot_id
+    UNION ALL SELECT 'manifest', root_id, id, reason FROM stays""")
 def enforce_retention(tables: Tables) -> DataFrame:
     """Of the two system snapshots of each root the newer one stays."""
     return _stacked_store(*snapshot_jobs.enforce_retention(three_snapshots(tables), three_manifests(tables), max_system=1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatstrata.operators import lines
+from chatstrata.operators import lines, snapshots
 from checks.registry import Tables, check
 
 IDS = "(SELECT id FROM fx_line_ids)"
@@ -88,3 +88,31 @@ def merge_session_lines(tables: Tables) -> DataFrame:
 @check("SELECT line_no FROM fx_line_current WHERE regexp_replace(line, '\\s+', '', 'g') <> ''")
 def valid_lines(tables: Tables) -> DataFrame:
     return lines.valid_lines(tables("fx_line_current")).select("line_no")
+
+
+# Ids inside longer words, with blanks, with other letters, and short ones.
+ANY_IDS = """
+    SELECT root_id, CASE WHEN substr(id, 36, 1) IN ('0', '4', '8', 'c') THEN id ELSE substr(id, 25, 12) END AS id FROM fx_line_ids
+    UNION ALL SELECT 1, 'ref 0' UNION ALL SELECT 1, 'é ü7' UNION ALL SELECT 1, 'x' UNION ALL SELECT 1, 'zz-none-zz' UNION ALL SELECT 1, ''"""
+ANY_LINES = """
+    SELECT root_id, rel_path, line_no, CASE line_no % 5
+      WHEN 0 THEN 'run' || ref_id || 'end' WHEN 1 THEN 'é ü' || CAST(line_no % 11 AS STRING) || ' ' || substr(ref_id, 25)
+      WHEN 2 THEN 'a ref ' || ref_id WHEN 3 THEN '{"id": "a_' || ref_id || '", "n": "' || substr(ref_id, 1, 30) || '"}'
+      ELSE coalesce(text, 'none') END AS line
+    FROM fx_log_lines"""
+
+
+@check(f"""
+    SELECT DISTINCT l.line_no FROM ({ANY_LINES}) l JOIN ({ANY_IDS}) i ON i.id <> '' AND contains(l.line, i.id)""")
+def mentions_anywhere(tables: Tables) -> DataFrame:
+    """Lines that contain an id at any place."""
+    return lines.keep_lines(tables(ANY_LINES), tables(ANY_IDS)).select("line_no")
+
+
+@check(f"""
+    SELECT rel_path FROM (SELECT DISTINCT rel_path FROM fx_log_files) f
+    WHERE EXISTS (SELECT 1 FROM ({ANY_IDS}) i WHERE i.id <> '' AND contains(regexp_replace(f.rel_path, '.*/', ''), i.id))""")
+def files_named_anywhere(tables: Tables) -> DataFrame:
+    """Log files with an id at any place of their names."""
+    files = tables("SELECT DISTINCT CAST(conv_id * 0 + 1 AS BIGINT) AS root_id, rel_path FROM fx_log_files")
+    return snapshots.select_snapshot_files(files, tables(ANY_IDS)).select("rel_path")
