@@ -51,6 +51,8 @@ EXPECTED = 4
 CHUNK = 4000
 # Shingles of a set that are compared in one row.
 SLICE = 4096
+# Bits of the bitmaps that thin the candidates: those of SET_BITS are full for long texts.
+WIDE_BITS = 8192
 # Groups of up to this size are compared pair by pair, larger ones by growing components.
 SMALL = 8
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -282,9 +284,9 @@ def set_prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, simil
     return hashes[np.lexsort((hashes, weight))][: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """For each of SET_BITS the parity of the shingles that fall on it."""
-    fallen = np.bincount((hashes % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS)
+def bitmap(hashes: np.ndarray, bits: int = SET_BITS) -> bytes:
+    """For each of so many bits the parity of the shingles that fall on it."""
+    fallen = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits(fallen & 1 == 1, bitorder="little").tobytes()
 
 
@@ -428,20 +430,40 @@ def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int,
             for first in range(0, len(batch), 512):
                 sets = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"].iloc[first : first + 512]]
                 yield pd.DataFrame(
-                    {"id": np.array([set_id(s) for s in sets], np.int64), "size": list(map(len, sets)), "hashes": [s.view(np.int64) for s in sets]}
+                    {
+                        "id": np.array([set_id(s) for s in sets], np.int64),
+                        "size": list(map(len, sets)),
+                        "bits": [bitmap(s, WIDE_BITS) for s in sets],
+                        "hashes": [s.view(np.int64) for s in sets],
+                    }
                 )
 
+    def thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            count = len(batch)
+            if not count:
+                continue
+            values = words_of(pd.concat([batch["one"], batch["other"]], ignore_index=True))
+            sizes = np.concatenate([batch["size_a"].to_numpy(), batch["size_b"].to_numpy()])
+            left = np.arange(count)
+            yield batch.loc[possible(values, sizes, left, left + count, similarity), ["a", "b", "size_a", "size_b"]]
+
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    # other rows of the same doc_id may have other texts
-    sets = texts.select("text").mapInPandas(hashed, "id long, size long, hashes array<long>").join(wanted.select("id"), "id", "left_semi")
-    sets = staged(sets.dropDuplicates(["id"]), "hash-sets")
-    # sets that are similar enough to be candidates differ in size by a fifth, so both may be cut by the larger one's number of slices
-    sizes = sets.select("id", "size")
-    sized = pairs.join(sizes.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a")
-    sized = sized.join(sizes.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b")
+    sets = texts.select("text").mapInPandas(hashed, "id long, size long, bits binary, hashes array<long>")
+    sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "hash-sets")
+    # other rows of the same doc_id may have other texts or the same one; one row of each wanted set counts
+    rows = staged(sets.select("id", "row").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")), "set-rows")
+    sets = sets.join(rows.select("row"), "row", "left_semi")
+    # wide bitmaps thin the pairs before whole sets are moved
+    small = sets.select("id", "size", "bits")
+    one = small.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("one"))
+    other = small.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("other"))
+    near_ = pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", "one", "other")
+    sized = near_.mapInPandas(thinned, "a long, b long, size_a long, size_b long")
+    # both sets are cut by the number of slices of the larger one
     slices = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1), F.ceil(F.greatest("size_a", "size_b") / SLICE))))).cast("long")
     sized = staged(sized.withColumn("slices", slices), "sized-pairs")
 
