@@ -13,6 +13,7 @@ from chatstrata import constants as C
 from chatstrata.functions import jsonlines, text
 from chatstrata.operators import mentions
 from chatstrata.operators.content import ROOT
+from chatstrata.session import staged
 
 Match = Literal["mention", "key"]
 # Unique key of the lines of a file: one key, a key per file name, or none (whole lines).
@@ -102,7 +103,8 @@ def _lines_of_sessions(lines: DataFrame, ids: DataFrame, match: Match, scope: Se
     texts = lines
     if match == "key":
         is_object = F.try_variant_get(jsonlines.parse_line(F.col("line")), "$", "struct<id:variant>").isNotNull()
-        texts = lines.filter(~F.col("line").rlike(OBJECT_START) | ~is_object)
+        # written, as it is read several times and each would parse the lines anew
+        texts = staged(lines.filter(~F.col("line").rlike(OBJECT_START) | ~is_object).select(*row, "line"), "plain-lines")
     mentioned = mentions.containing(texts.withColumnRenamed("line", "text"), ids, row, scope)
     return keyed.unionByName(mentioned)
 
