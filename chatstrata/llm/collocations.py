@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatstrata.llm.common import LOWER, UPPER
+from chatstrata.llm.common import LOWER, UPPER, ranked
 from chatstrata.session import staged
 
 LEAST, LONGEST, TOP = 10, 3, 2000
@@ -75,11 +75,6 @@ class Branch:
             new += before is None
         return new
 
-    def items(self) -> Iterator[tuple[int, int]]:
-        for second, child in self.children.items():
-            for last, n in child.items():
-                yield second << ID_BITS | last, n
-
 
 class HatTrie:
     """Counts of the phrases of each language, by first word."""
@@ -152,14 +147,15 @@ class HatTrie:
         for lang, root in self.roots.items():
             if not root:
                 continue
-            size = sum(len(node) if isinstance(node, dict) else sum(map(len, node.children.values())) for node in root.values())
-            codes, counts = np.empty(size, np.int64), np.empty(size, np.int64)
-            at = 0
+            found: list[int] = []
+            numbers: list[int] = []
             for word, node in root.items():
                 first = word << (2 * ID_BITS)
-                for rest, n in node.items():
-                    codes[at], counts[at] = first | rest, n
-                    at += 1
+                below = {first: node} if isinstance(node, dict) else {first | second << ID_BITS: c for second, c in node.children.items()}
+                for prefix, container in below.items():
+                    found += [prefix | rest for rest in container]
+                    numbers += container.values()
+            codes, counts = np.array(found, np.int64), np.array(numbers, np.int64)
             parts = [codes >> (2 * ID_BITS), codes >> ID_BITS & ID_MASK, codes & ID_MASK]
             partition = self._partition(lang, [hashes[p] for p in parts], prefixes, fan)
             order = np.lexsort((ranks[parts[2]], ranks[parts[1]], ranks[parts[0]], counts, partition))
@@ -317,9 +313,12 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     # decimals: the product may pass 64 bits
     swallowed = F.col("around").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * half
     left = left.where(F.col("around").isNull() | ~swallowed)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order).cast("long"))
+    # places in one global order, so that no language is gathered in one task
+    keys = ["lang", "_score", "_a", "phrase"]
+    placed = staged(ranked(left.withColumns({"_score": -F.col("score"), "_a": -F.col("a")}), keys, "phrase-order"), "phrase-places")
+    starts = placed.groupBy("lang").agg(F.min("position").alias("_start"))
+    ordered = placed.join(starts, "lang").withColumn("rank", F.col("position") - F.col("_start") + 1)
     if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
+        ordered = ordered.where(F.col("rank") <= top)
     words = frequent.where("phrase = ''").select("lang", F.col("f").alias("n"))
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return ordered.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
