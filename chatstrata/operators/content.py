@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
 from chatstrata import constants as C
+from chatstrata.schemas import FILES
 from chatstrata.session import read_named_partitions
 
 ROOT = ("root_id",)
 SNAPSHOT = ("root_id", "snapshot_id")
+# Names the write that a row of a store belongs to.
+ATTEMPT = "attempt_id"
+STORED = f"snapshot_id string, {ATTEMPT} string"
 
 
 @dataclass(frozen=True)
@@ -62,16 +66,21 @@ class Content:
             try:
                 return read_named_partitions(spark, f"{base}/{name}", "snapshot_id")
             except AnalysisException as error:
-                if "PATH_NOT_FOUND" not in str(error):
+                # A table without any row has no file.
+                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                     raise
                 return None
 
+        def needed(name: str, schema: str) -> DataFrame:
+            table = found(name)
+            return spark.createDataFrame([], f"{schema}, {STORED}") if table is None else table
+
         names = [*C.STATE_TABLE_KEYS, *C.ACCOUNT_TABLES, *C.APP_TABLE_KEYS]
         tables = {name: found(f"tables/{name}") for name in names}
         return cls(
-            files=read_named_partitions(spark, f"{base}/files", "snapshot_id"),
-            lines=read_named_partitions(spark, f"{base}/lines", "snapshot_id"),
-            states=read_named_partitions(spark, f"{base}/states", "snapshot_id"),
+            files=needed("files", FILES),
+            lines=needed("lines", "root_id bigint, rel_path string, line_no bigint, line string"),
+            states=needed("states", "root_id bigint"),
             tables={name: table for name, table in tables.items() if table is not None},
             bodies=found("bodies"),
             attachments=found("attachments"),

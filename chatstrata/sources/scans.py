@@ -3,10 +3,15 @@
 A log root is a directory ``root_id=<n>`` below the scanned base, so the owner
 of a row can be read off its path. Files written by Spark are directories of
 part files; both forms are read.
+
+Folders are listed by tasks (``listing``). ``scan_report`` names what lies in no root and what could not be read.
 """
 
 from __future__ import annotations
 
+import fnmatch
+import re
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +24,7 @@ from chatstrata.functions import jsonlines, paths, text
 from chatstrata.operators.content import ROOT, Content
 from chatstrata.operators.lines import number_lines
 from chatstrata.operators.snapshots import profile_state
+from chatstrata.sources import listing
 
 # One group: the number of the root.
 ROOT_PATTERN = r"/root_id=(\d+)/"
@@ -42,6 +48,13 @@ def _below_root(path: Column, root_pattern: str) -> Column:
     return F.when(named != "", F.try_url_decode(named)).otherwise(below)
 
 
+def _located(files: DataFrame, root_pattern: str) -> DataFrame:
+    """Listed files with the root they belong to and their path in it, empty outside of any root."""
+    return files.withColumns(
+        {"root_id": _root_id(F.col("path"), root_pattern), "rel_path": _below_root(F.col("path"), root_pattern)}
+    )
+
+
 def _read_lines(
     spark: SparkSession,
     base: str | list[str],
@@ -112,8 +125,21 @@ def scan_line_files(
     names: list[str] | None = None,
     root_pattern: str = ROOT_PATTERN,
 ) -> DataFrame:
-    """Lines of the history and index files: (root_id, rel_path, line_no, line)."""
-    raw = _read_lines(spark, base, root_pattern, F.col("rel_path").isin(names or C.LINE_FILES))
+    """Lines of the history and index files: (root_id, rel_path, line_no, line).
+
+    No folder inside a root is listed. The driver gets the paths of these files, a few of each root.
+    """
+    names = names or C.LINE_FILES
+    either = "|".join(re.escape(name) for name in names)
+    listed = listing.list_files(spark, base, skip=f"{root_pattern}(?!rel_path=(?:{either})$)[^/]+$")
+    found = _located(listed, root_pattern).filter(F.col("rel_path").isin(names))
+    # The folder of part files stands for them.
+    places = [r[0] for r in found.select(F.regexp_replace("path", PART_FILE, "")).distinct().collect()]
+    if not places:
+        return spark.createDataFrame([], "root_id bigint, rel_path string, line_no bigint, line string")
+    # Spark takes a path as a pattern.
+    escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", place) for place in sorted(places)]
+    raw = _read_lines(spark, escaped, root_pattern, F.col("rel_path").isin(names))
     return number_lines(raw).select("root_id", "rel_path", "line_no", "line")
 
 
@@ -155,30 +181,59 @@ def scan_session_index(spark: SparkSession, base: str | list[str], root_pattern:
 
 
 def scan_files(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
-    """Inventory of all files below the roots; no file body is read."""
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(base)
-        .select(_decoded(F.col("_metadata.file_path")).alias("path"), "length", "modificationTime")
-    )
-    inventory = listed.select(
-        _root_id(F.col("path"), root_pattern).alias("root_id"),
-        _below_root(F.col("path"), root_pattern).alias("rel_path"),
-        "length",
-        "modificationTime",
-    ).filter(F.col("rel_path") != "")
+    """Inventory of all files below the roots; no file body is read.
+
+    Files that lie in no root are counted in a warning; ``scan_report`` says where they are.
+    """
+    listed = _located(listing.list_files(spark, base), root_pattern)
+    strays = listed.filter(_unread(F.col("problem"), F.col("root_id"), F.col("rel_path"))).count()
+    if strays:
+        warnings.warn(f"{strays} files or folders lie in no root or were not read: see scan_report", stacklevel=2)
+    inventory = listed.filter(F.col("problem").isNull() & (F.col("rel_path") != "") & F.col("root_id").isNotNull())
     # The parts of a file written by Spark add up to one file.
     return (
         inventory.groupBy("root_id", "rel_path")
-        .agg(F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("mtime"))
+        .agg(F.sum("size_bytes").alias("size_bytes"), F.max("mtime").alias("mtime"))
         .select(
             "root_id", paths.session_id_from_path(F.col("rel_path")).alias("id"), "rel_path", "size_bytes", "mtime"
         )
     )
 
 
+def _unread(problem: Column, root_id: Column, rel_path: Column) -> Column:
+    return problem.isNotNull() | root_id.isNull() | (rel_path == "")
+
+
+def scan_report(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
+    """What the scans of ``base`` leave out: (place, problem, files).
+
+    Files in no root are counted by the entry of ``base`` they lie below, such as ``root_id=abc``. Folders that went
+    or could not be listed and manifests that could not be read or parsed have a row each.
+    """
+    listed = _located(listing.list_files(spark, base), root_pattern)
+    outside = listed.filter(F.col("problem").isNull() & _unread(F.col("problem"), F.col("root_id"), F.col("rel_path")))
+    place = F.col("path")
+    for folder in [base] if isinstance(base, str) else base:
+        inner = f"{folder.rstrip('/')}/"
+        entry = F.substring_index(F.expr(f"substring(path, {len(inner) + 1})"), "/", 1)
+        place = F.when(F.col("path").startswith(inner), F.concat(F.lit(inner), entry)).otherwise(place)
+    strays = (
+        outside.select(place.alias("place"), F.regexp_replace("path", PART_FILE, "").alias("path"))
+        .groupBy("place")
+        .agg(F.count_distinct("path").alias("files"))
+        .select("place", F.lit("in no root").alias("problem"), "files")
+    )
+    unlisted = listed.filter(F.col("problem").isNotNull()).select(F.col("path").alias("place"), "problem")
+    manifests = _manifests(listed.filter(F.col("problem").isNull()), "snapshot.json").select(
+        F.col("path").alias("place"),
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "broken manifest")
+        .alias("problem"),
+    )
+    single = unlisted.unionByName(manifests.filter(F.col("problem").isNotNull()))
+    return strays.unionByName(single.withColumn("files", F.lit(1).cast("bigint")))
+
+
 def list_session_files(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
     """Session logs only, with the directory flag."""
     files = scan_files(spark, base, root_pattern)
@@ -202,6 +257,14 @@ def load_state_tables(spark: SparkSession, base: str, tables: list[str] | None =
     return found
 
 
+def _manifests(files: DataFrame, file_glob: str) -> DataFrame:
+    """The documents of the listed files of that name: (path, doc, problem); a broken one has a ``_corrupt_record``."""
+    named = files.filter(paths.base_name(F.col("path")).rlike(f"^{fnmatch.translate(file_glob)}"))
+    return listing.read_files(named).select(
+        "path", F.from_json("content", schemas.MANIFEST).alias("doc"), "problem"
+    )
+
+
 def scan_snapshot_manifests(
     spark: SparkSession,
     base: str | list[str],
@@ -213,15 +276,10 @@ def scan_snapshot_manifests(
 
     ``sizes(root_id, id, data_bytes)`` gives the size of snapshots that do not state it.
     """
-    raw = (
-        spark.read.schema(schemas.MANIFEST)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", file_glob)
-        .json(base)
-        .select("*", _decoded(F.col("_metadata.file_path")).alias("path"))
-    )
-    readable = raw.filter(F.col("_corrupt_record").isNull())
+    # Neither the logs of a root nor the data of a snapshot hold manifests.
+    logs = f"{root_pattern}(?:{C.ACTIVE_DIR}|{C.ARCHIVED_DIR}|snapshots/[^/]+/data)$"
+    found = _manifests(listing.list_files(spark, base, skip=logs).filter(F.col("problem").isNull()), file_glob)
+    readable = found.filter(F.col("doc").isNotNull() & F.col("doc._corrupt_record").isNull()).select("path", "doc.*")
 
     def given(name: str) -> Column:
         return F.when(F.col(name) != "", F.col(name))
@@ -312,17 +370,10 @@ def scan_snapshot_content(
 
 def scan_profiles(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:
     """Text of the config and account files of each root, read whole (they are small)."""
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"{{{C.CONFIG_FILE},{C.AUTH_FILE}}}")
-        .text(base, wholetext=True)
-        .select("value", _decoded(F.col("_metadata.file_path")).alias("path"))
-    )
-    return raw.select(
-        _root_id(F.col("path"), root_pattern).alias("root_id"),
-        _below_root(F.col("path"), root_pattern).alias("rel_path"),
-        F.col("value").alias("content"),
-    ).filter(F.col("rel_path").isin(C.CONFIG_FILE, C.AUTH_FILE))
+    listed = listing.list_files(spark, base, skip=f"{root_pattern}[^/]+$")
+    named = _located(listed, root_pattern).filter(F.col("rel_path").isin(C.CONFIG_FILE, C.AUTH_FILE))
+    read = listing.read_files(named).filter(F.col("problem").isNull())
+    return _located(read, root_pattern).select("root_id", "rel_path", "content")
 
 
 def scan_profile_state(spark: SparkSession, base: str | list[str], root_pattern: str = ROOT_PATTERN) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from chatstrata.operators import snapshots
 from chatstrata.operators.content import Content
 from chatstrata.plans import fleet, restore_jobs, snapshot_jobs
-from chatstrata.session import staged
+from chatstrata.session import scratch_path, staged
+from chatstrata.sources import store as stores
+from chatstrata.sources import writers
 from checks.catalog_checks import full_catalog
 from checks.registry import Tables, check
 from checks.snapshot_checks import CANDIDATES, PROFILES, profile_rows, root_snapshots
@@ -386,19 +388,32 @@ def delete_snapshots(tables: Tables) -> DataFrame:
     return _stacked_store(*snapshot_jobs.delete_snapshots(three_snapshots(tables), three_manifests(tables), ids))
 
 
-@check("""
+RETAINED = """
     WITH judged AS MATERIALIZED (SELECT root_id, id, reason,
       row_number() OVER (PARTITION BY root_id, reason = 'manual' ORDER BY created_epoch DESC, id) AS nth FROM fx_root_snapshots),
     stays AS MATERIALIZED (SELECT root_id, id, reason FROM judged WHERE reason = 'manual' OR nth = 1),
     held AS MATERIALIZED (SELECT root_id, snapshot_id, rel_path, size_bytes FROM fx_snapshot_files)
     SELECT 'file' AS part, f.root_id, f.snapshot_id || ':' || f.rel_path AS k, CAST(f.size_bytes AS STRING) AS v
     FROM held f JOIN stays s ON s.root_id = f.root_id AND s.id = f.snapshot_id
-    UNION ALL SELECT 'manifest', root_id, id, reason FROM stays""")
+    UNION ALL SELECT 'manifest', root_id, id, reason FROM stays"""
+
+
+@check(RETAINED)
 def enforce_retention(tables: Tables) -> DataFrame:
     """Of the two system snapshots of each root the newer one stays."""
     return _stacked_store(*snapshot_jobs.enforce_retention(three_snapshots(tables), three_manifests(tables), max_system=1))
 
 
+@check(RETAINED)
+def store_after_retention(tables: Tables) -> DataFrame:
+    """The same by tombstones in a store of files, whose shared files are written again and whose dead ones are deleted."""
+    base = scratch_path(tables.spark, "store")
+    stores.append_snapshots(three_snapshots(tables), three_manifests(tables), base, max_system=1)
+    stores.compact(tables.spark, base)
+    stores.vacuum(tables.spark, base, grace_seconds=0)
+    return _stacked_store(*writers.read_snapshots(tables.spark, base))
+
+
 def _stacked_store(content: Content, manifest: DataFrame) -> DataFrame:
     files = content.files.select(
         F.lit("file").alias("part"), "root_id", F.concat_ws(":", "snapshot_id", "rel_path").alias("k"),
