@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,25 +56,26 @@ def _kept_message(epoch_default: bool) -> Column:
     return F.filter(F.array(message), lambda m: m["role"].isNotNull() & (m["text"] != ""))
 
 
-def _parse(lines: DataFrame, kept: Column) -> DataFrame:
+def _parse(lines: DataFrame, kept: Column, carried: Sequence[str] = ()) -> DataFrame:
     # Each step is the input of a generator, which keeps the optimizer from
     # repeating the parsing in filters below.
     values = message_line_prefilter(lines).select(
         *CONVERSATION,
+        *carried,
         "line_no",
         is_event_line(F.col("line")).alias("event_line"),
         F.explode(F.array(jsonlines.parse_line(F.col("line")))).alias("value"),
     )
     content = jsonlines.part(F.col("value"), "payload.content")
     values = values.withColumn("content_text", jsonlines.whole_text(content))
-    return values.select(*CONVERSATION, "line_no", F.explode(kept).alias("message")).select(
-        *CONVERSATION, "line_no", "message.*"
+    return values.select(*CONVERSATION, *carried, "line_no", F.explode(kept).alias("message")).select(
+        *CONVERSATION, *carried, "line_no", "message.*"
     )
 
 
-def parse_messages(lines: DataFrame, epoch_default: bool = False) -> DataFrame:
-    """Messages with a known role and some text, event and response ones alike."""
-    return _parse(lines, _kept_message(epoch_default))
+def parse_messages(lines: DataFrame, epoch_default: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """Messages with a known role and some text, event and response ones alike, with the columns ``carried`` along."""
+    return _parse(lines, _kept_message(epoch_default), carried)
 
 
 def prefer_event_messages(messages: DataFrame, event_messages: DataFrame | None = None) -> DataFrame:
