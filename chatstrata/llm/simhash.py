@@ -12,11 +12,12 @@ More groups give longer keys: their number follows the number of fingerprints, s
 together by chance at any size. A key that many share is dealt out in pairs of chunks.
 Only links that join two parts of a key's fingerprints are returned, which has the same components.
 
-`similar_components` links by the Jaccard similarity of sets of shingles (64-bit hashes) instead, and exactly. Two sets that are
-similar enough share one of the first shingles of each, in any order that all sets are put in: they meet in those (common shingles come
-last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the parity of
-the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
-the sets themselves before it counts. Groups of more than two give stars first, then all pairs that the confirmed links have not joined.
+`similar_components` links by the Jaccard similarity of sets of shingles (64-bit hashes) instead, and exactly:
+two sets that are similar enough share one of the first shingles of each, in any order that all sets are put in, and meet in those (common
+shingles come last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the
+parity of the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
+the sets themselves before it counts. Groups of more than two give stars first, then trees over what the confirmed links have left apart,
+which have fewer rows than the group. Only where a pair of a tree is no link do all pairs follow that are left apart and that wide bitmaps allow.
 
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 any other. Rows that repeat are linked with each other. A null doc_id is never the least of
@@ -321,7 +322,7 @@ def candidates(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, simila
 
 
 def candidates_between(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All possible pairs of places within groups of equal, sorted numbers that have different roots."""
+    """All possible pairs of places within groups of equal, sorted numbers that have different roots: for what `joining` has left."""
     ends = np.searchsorted(groups, groups, "right")
     left: list[np.ndarray] = [np.zeros(0, np.int64)]
     right: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -335,6 +336,28 @@ def candidates_between(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
+def joining(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Possible pairs of places within groups of equal, sorted numbers that join different roots: a tree over the roots they can join.
+
+    A group gives fewer pairs than it has roots. If all of them are links, its possible pairs have the same root.
+    """
+    ends = np.searchsorted(groups, groups, "right")
+    roots, begin = roots.copy(), np.searchsorted(groups, groups, "left")
+    left: list[np.ndarray] = [np.zeros(0, np.int64)]
+    right: list[np.ndarray] = [np.zeros(0, np.int64)]
+    for at in range(len(groups)):
+        rest = np.arange(at + 1, ends[at])
+        rest = rest[roots[rest] != roots[at]]
+        rest = rest[possible(values, sizes, np.full(len(rest), at), rest, similarity)]
+        if len(rest):
+            others, first = np.unique(roots[rest], return_index=True)
+            left.append(np.full(len(first), at))
+            right.append(rest[first])
+            own = roots[begin[at] : ends[at]]
+            own[np.isin(own, others)] = roots[at]
+    return np.concatenate(left), np.concatenate(right)
+
+
 def common_shingles(docs: DataFrame, shingle: int, limit: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of most documents, sorted, and about how many have each. This only sets an order: it may be inexact."""
 
@@ -418,6 +441,28 @@ def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
     return dealt.mapInPandas(found, "a long, b long").distinct()
 
 
+def texts_of(ids: DataFrame, least: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The wanted ids (id, least), and the texts of all rows that may have their sets; `least` has a doc_id of each id."""
+    wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return wanted, texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+
+
+def wide_bitmaps(ids: DataFrame, least: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """id, size and bits (wide bitmap) of the sets of those ids, one row each."""
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 512):
+                sets = [np.unique(shingle_hashes(text, shingle)) for text in batch["text"].iloc[first : first + 512]]
+                rows = [(set_id(s), len(s), bitmap(s, WIDE_BITS)) for s in sets]
+                yield pd.DataFrame(rows, columns=["id", "size", "bits"])
+
+    wanted, texts = texts_of(ids, least, docs)
+    found = texts.mapInPandas(described, "id long, size long, bits binary").join(wanted.select("id"), "id", "left_semi")
+    return staged(found.dropDuplicates(["id"]), "wide-bitmaps")
+
+
 def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs whose sets of shingles are as similar as that; `least` has a doc_id of each id.
 
@@ -449,10 +494,8 @@ def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int,
             yield batch.loc[possible(values, sizes, left, left + count, similarity), ["a", "b", "size_a", "size_b"]]
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
-    sets = texts.select("text").mapInPandas(hashed, "id long, size long, bits binary, hashes array<long>")
+    wanted, texts = texts_of(ids, least, docs)
+    sets = texts.mapInPandas(hashed, "id long, size long, bits binary, hashes array<long>")
     sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "hash-sets")
     # other rows of the same doc_id may have other texts or the same one; one row of each wanted set counts
     rows = staged(sets.select("id", "row").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")), "set-rows")
@@ -506,21 +549,39 @@ def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: i
     stars = _pairs(met, sets, lambda number, values, rows: candidates(number, values, rows["size"].to_numpy(), similarity), chunk)
     linked = confirmed(staged(stars, "candidates"), least, docs, shingle, similarity)
     roots = staged(components(linked), "first-components")
-    sets = sets.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    large = staged(met.where("n > 2").join(sets.select("id", "root"), "id"), "large-groups")
-    apart = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    more = _pairs(
-        large.join(apart, "key").select("key", "id", "n"),
-        sets,
-        lambda number, values, rows: candidates_between(number, values, rows["size"].to_numpy(), rows["root"].to_numpy(), similarity),
-        chunk,
-    )
-    more = staged(more, "more-candidates")
+    large = _apart(met.where("n > 2"), roots)
+
+    def between(rows: DataFrame, sets: DataFrame, find) -> DataFrame:
+        rooted = sets.join(rows.select("id", "root").distinct(), "id")
+        found = lambda number, values, part: find(number, values, part["size"].to_numpy(), part["root"].to_numpy(), similarity)
+        return _pairs(rows.select("key", "id", "n"), rooted, found, chunk)
+
+    trees = staged(between(large, sets, joining), "trees")
+    right = confirmed(trees, least, docs, shingle, similarity)
+    wrong = staged(trees.join(right, ["a", "b"], "left_anti"), "no-links")
+    linked = linked.union(right)
+    roots = staged(components(linked), "second-components")
+    if wrong.isEmpty():
+        return roots
+    # a pair that a tree has left apart is in a group that has a pair that is no link
+    here = large.select("key", "id")
+    open_ = wrong.join(here.withColumnRenamed("id", "a"), "a").join(here.withColumnRenamed("id", "b"), ["key", "b"])
+    large = _apart(large.drop("root").join(open_.select("key").distinct(), "key"), roots)
+    wide = wide_bitmaps(large.select("id").distinct(), least, docs, shingle)
+    more = staged(between(large, wide, candidates_between).join(wrong, ["a", "b"], "left_anti"), "more-candidates")
     if more.isEmpty():
         return roots
     return components(linked.union(confirmed(more, least, docs, shingle, similarity)))
 
 
+def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, id, n and root of the ids that meet in keys whose ids have different roots."""
+    roots = roots.withColumnRenamed("node", "id")
+    large = staged(met.select("key", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "large-groups")
+    apart = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return staged(large.join(apart, "key").select("key", "id", "n", "root"), "groups-apart")
+
+
 def _similar_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, id (of the set), root and component_id of every row of `docs`."""
     sets = staged(shingle_sets(docs, shingle, similarity), "sets")

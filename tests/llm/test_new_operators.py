@@ -338,3 +338,51 @@ def test_long_sets_are_compared_in_slices(spark, monkeypatch):
     assert linked and all(found[key] == 0 for key in linked)
     alone_ = {a for a in runs if all(a == b or len(runs[a] & runs[b]) < 0.8 * len(runs[a] | runs[b]) for b in runs)}
     assert alone_ and all(found[key] == key for key in alone_)
+
+
+def test_a_group_of_near_copies_gives_trees_not_all_pairs():
+    """Sets that are all similar, each with a root of its own and two groups: a pair less than members."""
+    sets = [np.array([*range(100), 1000 + n], np.uint64) for n in range(80)]
+    bits = np.stack([np.frombuffer(simhash.bitmap(s, simhash.WIDE_BITS), np.uint64) for s in sets])
+    groups, sizes = np.repeat([3, 9], [30, 50]), np.full(80, 101)
+    left, right = simhash.joining(groups, bits, sizes, np.arange(80), 0.8)
+    assert len(left) == 29 + 49 and set(right.tolist()) == set(range(80)) - {0, 30}
+    assert len(simhash.candidates_between(groups, bits, sizes, np.arange(80), 0.8)[0]) == 30 * 29 // 2 + 50 * 49 // 2
+    # equal roots are joined already, unlike sets never
+    assert not len(simhash.joining(groups, bits, sizes, groups, 0.8)[0])
+    other = np.stack([np.frombuffer(simhash.bitmap(s * np.uint64(n + 1) + np.uint64(n), simhash.WIDE_BITS), np.uint64) for n, s in enumerate(sets)])
+    assert not len(simhash.joining(groups, other, sizes, np.arange(80), 0.8)[0])
+
+
+def chained(r, count=70, words=60):
+    """Near copies around the bound: each changes some words of one of the texts before it."""
+    texts = [[f"w{n}" for n in range(words)]]
+    while len(texts) < count:
+        text = list(r.choice(texts))
+        for place in r.sample(range(words), r.randint(1, 2)):
+            text[place] = f"n{len(texts)}"
+        texts.append(text)
+    return [(key, " ".join(text)) for key, text in enumerate(texts)]
+
+
+@pytest.mark.parametrize("wide", [64, 8192])
+def test_trees_of_near_copies_lose_no_link(spark, monkeypatch, wide):
+    """Also where the wide bitmaps tell little, so that trees hold pairs that are no links."""
+    monkeypatch.setattr(simhash, "WIDE_BITS", wide)
+    rows = chained(random.Random(5))
+    runs = {key: set(simhash.shingle_hashes(text, 5).tolist()) for key, text in rows}
+    root = {key: key for key in runs}
+
+    def least(key):
+        while root[key] != key:
+            key = root[key]
+        return key
+
+    for a in runs:
+        for b in runs:
+            if a < b and len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) - 1e-9:
+                low, high = sorted((least(a), least(b)))
+                root[high] = low
+    found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {key: least(key) for key in runs}
+    assert 1 < len(set(found.values())) < 60
