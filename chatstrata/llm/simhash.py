@@ -12,7 +12,8 @@ More groups give longer keys: their number follows the number of fingerprints, s
 together by chance at any size. A key that many share is dealt out in pairs of chunks.
 Only links that join two parts of a key's fingerprints are returned, which has the same components.
 
-`similar_components` links by the Jaccard similarity of sets of shingles (64-bit hashes) instead, and exactly:
+`similar_components` confirms links by the Jaccard similarity of sets of shingles (64-bit hashes). The fingerprints of the sets give
+candidates by their distance tables, as above; fingerprints further apart may still belong to similar sets, so the rest is found exactly:
 two sets that are similar enough share one of the first shingles of each, in any order that all sets are put in, and meet in those (common
 shingles come last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the
 parity of the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
@@ -386,7 +387,7 @@ def common_shingles(docs: DataFrame, shingle: int, limit: int = COMMON) -> tuple
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id and id, size, bits (bitmap) and prefix of the set of shingles of every row; equal sets have equal ids."""
+    """doc_id and id, size, bits (bitmap), print (fingerprint) and prefix of the set of shingles of every row; equal sets have equal ids."""
     common, counts = common_shingles(docs, shingle)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,13 +395,14 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 hashes = np.unique(shingle_hashes(text, shingle))
-                rows.append((set_id(hashes), len(hashes), bitmap(hashes), set_prefix(hashes, common, counts, similarity).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "size", "bits", "prefix"]).assign(doc_id=batch["doc_id"].array)
+                print_ = majority(hashes[:, None]).tobytes() if len(hashes) else bytes(8)
+                rows.append((set_id(hashes), len(hashes), bitmap(hashes), print_, set_prefix(hashes, common, counts, similarity).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "size", "bits", "print", "prefix"]).assign(doc_id=batch["doc_id"].array)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # text: a nullable long would pass through Pandas as a float
     texts = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sets = texts.mapInPandas(described, "id long, size long, bits binary, prefix binary, doc_id string")
+    sets = texts.mapInPandas(described, "id long, size long, bits binary, print binary, prefix binary, doc_id string")
     return sets.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -441,6 +443,15 @@ def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
     return dealt.mapInPandas(found, "a long, b long").distinct()
 
 
+def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b), a < b: ids of sets (id, print) whose fingerprints are within the radius, as many as hold their components together."""
+    prints = staged(sets.groupBy("print").agg(F.min("id").alias("id")), "distinct-fingerprints")
+    plan = group_plan(prints.count(), radius)
+    near_ = links(prints, lambda values: pivot_keys(values, *plan), radius)
+    same = sets.join(prints.withColumnRenamed("id", "a"), "print").where("a < id").select("a", F.col("id").alias("b"))
+    return near_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same).distinct()
+
+
 def texts_of(ids: DataFrame, least: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The wanted ids (id, least), and the texts of all rows that may have their sets; `least` has a doc_id of each id."""
     wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
@@ -535,6 +546,7 @@ def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: i
                 lengths = part["prefix"].map(len).to_numpy() // 8
                 yield pd.DataFrame({"key": np.frombuffer(b"".join(part["prefix"]), np.int64), "id": np.repeat(part["id"].to_numpy(), lengths)})
 
+    close = fingerprint_pairs(sets.select("id", "print"))
     keys = sets.select("id", "prefix").mapInPandas(keyed, "key long, id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     # rows of equal sets are one
@@ -547,7 +559,7 @@ def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: i
     sets = sets.join(met.select("id").distinct(), "id", "left_semi").groupBy("id")
     sets = staged(sets.agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
     stars = _pairs(met, sets, lambda number, values, rows: candidates(number, values, rows["size"].to_numpy(), similarity), chunk)
-    linked = confirmed(staged(stars, "candidates"), least, docs, shingle, similarity)
+    linked = confirmed(staged(close.union(stars).distinct(), "candidates"), least, docs, shingle, similarity)
     roots = staged(components(linked), "first-components")
     large = _apart(met.where("n > 2"), roots)
 

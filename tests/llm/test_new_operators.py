@@ -386,3 +386,23 @@ def test_trees_of_near_copies_lose_no_link(spark, monkeypatch, wide):
     found = {r.doc_id: r.component_id for r in simhash.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {key: least(key) for key in runs}
     assert 1 < len(set(found.values())) < 60
+
+
+def test_fingerprints_give_pairs_of_near_copies(spark):
+    """near_dedup asks the distance tables of the fingerprints, as op6 does: pairs within the radius are connected, no others are pairs."""
+    r = random.Random(2)
+    prints = [r.getrandbits(64) for _ in range(20)]
+    for value in prints[:10]:
+        prints += [value, value ^ sum(1 << bit for bit in r.sample(range(64), 4)), value ^ sum(1 << bit for bit in r.sample(range(64), 6))]
+    rows = [(key, bytearray(value.to_bytes(8, "little"))) for key, value in enumerate(prints)]
+    found = {tuple(p) for p in simhash.fingerprint_pairs(spark.createDataFrame(rows, "id long, print binary")).collect()}
+    near = {(a, b) for a in range(50) for b in range(a + 1, 50) if (prints[a] ^ prints[b]).bit_count() <= 4}
+    assert found <= near and {a for pair in near for a in pair} == {a for pair in found for a in pair}
+
+
+def test_near_dedup_asks_the_fingerprints(spark, monkeypatch):
+    asked = []
+    found = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, *more: asked.append(prints.count()) or found(prints, *more))
+    kept = simhash.drop_near_copies(spark.createDataFrame(near_rows(), "doc_id long, text string"))
+    assert kept.count() == 4 and asked == [7]
