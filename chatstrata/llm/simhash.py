@@ -16,10 +16,14 @@ Only links that join two parts of a key's fingerprints are returned, which has t
 candidates by their distance tables, as above; fingerprints further apart may still belong to similar sets, so the rest is found exactly:
 two sets that are similar enough share one of the first shingles of each, in any order that all sets are put in, and meet in those (common
 shingles come last). Of the pairs that meet, those are candidates whose sizes and whose bitmaps can belong to similar sets: a bit is the
-parity of the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Every candidate is confirmed on
+parity of the shingles that fall on it, so bitmaps differ in no more bits than the sets do in shingles. Long sets have longer bitmaps;
+bitmaps of two lengths are compared at the shorter one, to which the longer folds. Every candidate is confirmed on
 the sets themselves before it counts. Groups of more than two give stars first, then trees over what the confirmed links have left apart,
 which have fewer rows than the group. Only where a pair of a tree is no link do all pairs follow that are left apart and that wide bitmaps allow.
 
+The documents are written once as a table bucketed by row, in the shared folder: neither the texts of candidates nor
+the rows that stay are found by moving texts again.
+
 Defined cases: a null text has no words; texts without words have fingerprint zero and are linked like
 any other. Rows that repeat are linked with each other. A null doc_id is never the least of
 its component, unless all are null. An empty table gives an empty result.
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +45,11 @@ from pyspark.sql.functions import pandas_udf
 from chatstrata.llm.byte_text import mixed
 from chatstrata.llm.common import unused
 from chatstrata.llm.components import components
-from chatstrata.session import staged
+from chatstrata.session import scratch_path, staged
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 BITS = 64
-# The sets of shingles: words in each, the wanted similarity, and the bits of a bitmap.
+# The sets of shingles: words in each, the wanted similarity, and the least bits of a bitmap.
 SET_SHINGLE, SIMILARITY, SET_BITS = 5, 0.8, 1024
 # The most common shingles, counted in one of so many documents, so many at a time.
 COMMON, COMMON_PART, COMMON_BATCH = 50_000, 4, 1 << 21
@@ -53,7 +58,7 @@ EXPECTED = 4
 CHUNK = 4000
 # Shingles of a set that are compared in one row.
 SLICE = 4096
-# Bits of the bitmaps that thin the candidates: those of SET_BITS are full for long texts.
+# Most bits of a bitmap, and those of all bitmaps that thin the candidates.
 WIDE_BITS = 8192
 # Groups of up to this size are compared pair by pair, larger ones by growing components.
 SMALL = 8
@@ -292,37 +297,71 @@ def bitmap(hashes: np.ndarray, bits: int = SET_BITS) -> bytes:
     return np.packbits(fallen & 1 == 1, bitorder="little").tobytes()
 
 
-def possible(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of places may be as similar as that; no pair that is gets lost."""
+def bits_for(size: int) -> int:
+    """The bits of the bitmap of a set of that size: with less than half a bit a shingle, unlike sets look alike."""
+    bits = SET_BITS
+    while 2 * bits < size and 2 * bits <= WIDE_BITS:
+        bits *= 2
+    return bits
+
+
+def padded_words(bits: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps as rows of 64-bit words, filled up with zeros, and the number of words of each."""
+    widths = bits.map(len).to_numpy(np.int64) // 8
+    values = np.zeros((len(bits), widths.max(initial=0)), np.uint64)
+    for width in np.unique(widths):
+        own = widths == width
+        values[own, :width] = words_of(bits[own])
+    return values, widths
+
+
+def possible(
+    values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, widths: np.ndarray | None = None
+) -> np.ndarray:
+    """Which pairs of places may be as similar as that; no pair that is gets lost. Bitmaps are as wide as `widths`, by default all alike."""
     a, b = sizes[left], sizes[right]
     fit = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-    apart = np.bitwise_count(values[left[fit]] ^ values[right[fit]]).sum(axis=1, dtype=np.int64)
+    one, other = left[fit], right[fit]
+    if widths is None or not len(one):
+        apart = np.bitwise_count(values[one] ^ values[other]).sum(axis=1, dtype=np.int64)
+    else:
+        widest = max(widths[one].max(), widths[other].max())
+        differing, shorter = values[:, :widest][one] ^ values[:, :widest][other], np.minimum(widths[one], widths[other])
+        apart = np.zeros(len(one), np.int64)
+        for width in np.unique(shorter):
+            own = shorter == width
+            folded = np.bitwise_xor.reduce(differing[own].reshape(-1, widest // width, width), axis=1)
+            apart[own] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
     fit[fit] = apart <= (a + b)[fit] * (1 - similarity) / (1 + similarity) + 1e-9
     return fit
 
 
-def candidates(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates(
+    groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, similarity: float, widths: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Possible pairs of places within groups of equal, sorted numbers: in groups of more than two, stars that take in all they can."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     lengths = np.diff(np.append(starts, len(groups)))
     left: list[np.ndarray] = [np.zeros(0, np.int64)]
     right: list[np.ndarray] = [np.zeros(0, np.int64)]
     two = starts[lengths == 2]
-    two = two[possible(values, sizes, two, two + 1, similarity)]
+    two = two[possible(values, sizes, two, two + 1, similarity, widths)]
     left.append(two)
     right.append(two + 1)
     for start, length in zip(starts[lengths > 2], lengths[lengths > 2]):
         waiting = np.arange(start, start + length)
         while len(waiting) > 1:
             at, waiting = np.full(len(waiting) - 1, waiting[0]), waiting[1:]
-            hit = possible(values, sizes, at, waiting, similarity)
+            hit = possible(values, sizes, at, waiting, similarity, widths)
             left.append(at[hit])
             right.append(waiting[hit])
             waiting = waiting[~hit]
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates_between(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def candidates_between(
+    groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, widths: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """All possible pairs of places within groups of equal, sorted numbers that have different roots: for what `joining` has left."""
     ends = np.searchsorted(groups, groups, "right")
     left: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -331,13 +370,15 @@ def candidates_between(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray
         rest = np.arange(at + 1, ends[at])
         rest = rest[roots[rest] != roots[at]]
         one = np.full(len(rest), at)
-        hit = possible(values, sizes, one, rest, similarity)
+        hit = possible(values, sizes, one, rest, similarity, widths)
         left.append(one[hit])
         right.append(rest[hit])
     return np.concatenate(left), np.concatenate(right)
 
 
-def joining(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def joining(
+    groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, widths: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Possible pairs of places within groups of equal, sorted numbers that join different roots: a tree over the roots they can join.
 
     A group gives fewer pairs than it has roots. If all of them are links, its possible pairs have the same root.
@@ -349,7 +390,7 @@ def joining(groups: np.ndarray, values: np.ndarray, sizes: np.ndarray, roots: np
     for at in range(len(groups)):
         rest = np.arange(at + 1, ends[at])
         rest = rest[roots[rest] != roots[at]]
-        rest = rest[possible(values, sizes, np.full(len(rest), at), rest, similarity)]
+        rest = rest[possible(values, sizes, np.full(len(rest), at), rest, similarity, widths)]
         if len(rest):
             others, first = np.unique(roots[rest], return_index=True)
             left.append(np.full(len(first), at))
@@ -386,8 +427,19 @@ def common_shingles(docs: DataFrame, shingle: int, limit: int = COMMON) -> tuple
     return hashes[order], n[order]
 
 
+def by_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, in as many buckets of it as a shuffle has partitions, and the name of that column."""
+    spark = docs.sparkSession
+    row, count = unused(docs, "_row"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"near_documents_{uuid.uuid4().hex}"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    writer = numbered.repartition(count, row).write.bucketBy(count, row).option("compression", "zstd")
+    writer.option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name), row
+
+
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id and id, size, bits (bitmap), print (fingerprint) and prefix of the set of shingles of every row; equal sets have equal ids."""
+    """row, doc_id and id, size, bits (bitmap), print (fingerprint) and prefix of the set of shingles of every row; equal sets have equal ids."""
     common, counts = common_shingles(docs, shingle)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,13 +448,15 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
             for text in batch["text"]:
                 hashes = np.unique(shingle_hashes(text, shingle))
                 print_ = majority(hashes[:, None]).tobytes() if len(hashes) else bytes(8)
-                rows.append((set_id(hashes), len(hashes), bitmap(hashes), print_, set_prefix(hashes, common, counts, similarity).tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "size", "bits", "print", "prefix"]).assign(doc_id=batch["doc_id"].array)
+                bits = bitmap(hashes, bits_for(len(hashes)))
+                rows.append((set_id(hashes), len(hashes), bits, print_, set_prefix(hashes, common, counts, similarity).tobytes()))
+            found = pd.DataFrame(rows, columns=["id", "size", "bits", "print", "prefix"])
+            yield found.assign(row=batch["row"].array, doc_id=batch["doc_id"].array)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select("row", "doc_id", "text")
     # text: a nullable long would pass through Pandas as a float
     texts = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
-    sets = texts.mapInPandas(described, "id long, size long, bits binary, print binary, prefix binary, doc_id string")
+    sets = texts.mapInPandas(described, "id long, size long, bits binary, print binary, prefix binary, row long, doc_id string")
     return sets.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -436,7 +490,7 @@ def _pairs(met: DataFrame, sets: DataFrame, find, chunk: int) -> DataFrame:
                 continue
             columns = rows[part].to_numpy()
             number = np.cumsum(np.concatenate([[True], (columns[1:] != columns[:-1]).any(axis=1)]))
-            left, right = find(number, words_of(rows["bits"]), rows)
+            left, right = find(number, *padded_words(rows["bits"]), rows)
             ids = rows["id"].to_numpy()
             yield pd.DataFrame({"a": np.minimum(ids[left], ids[right]), "b": np.maximum(ids[left], ids[right])}).drop_duplicates()
 
@@ -452,11 +506,10 @@ def fingerprint_pairs(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
     return near_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same).distinct()
 
 
-def texts_of(ids: DataFrame, least: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The wanted ids (id, least), and the texts of all rows that may have their sets; `least` has a doc_id of each id."""
-    wanted = staged(least.join(ids, "id").select("id", "least"), "candidate-sets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted, texts.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("text")
+def texts_of(ids: DataFrame, least: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of one row of each of those ids; `least` has a row of each id. Only the ids move: `docs` is in buckets of row."""
+    wanted = staged(least.join(ids, "id").select("row"), "candidate-sets")
+    return docs.join(wanted.hint("shuffle_hash"), "row", "left_semi").select("text")
 
 
 def wide_bitmaps(ids: DataFrame, least: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -469,13 +522,11 @@ def wide_bitmaps(ids: DataFrame, least: DataFrame, docs: DataFrame, shingle: int
                 rows = [(set_id(s), len(s), bitmap(s, WIDE_BITS)) for s in sets]
                 yield pd.DataFrame(rows, columns=["id", "size", "bits"])
 
-    wanted, texts = texts_of(ids, least, docs)
-    found = texts.mapInPandas(described, "id long, size long, bits binary").join(wanted.select("id"), "id", "left_semi")
-    return staged(found.dropDuplicates(["id"]), "wide-bitmaps")
+    return staged(texts_of(ids, least, docs).mapInPandas(described, "id long, size long, bits binary"), "wide-bitmaps")
 
 
 def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are as similar as that; `least` has a doc_id of each id.
+    """The pairs whose sets of shingles are as similar as that; `least` has a row of each id.
 
     Sets are cut into slices by their hashes, and the slices of a pair are intersected row by row in the
     JVM: no row is longer than a slice, however long a text is, and no batch of whole sets is built.
@@ -505,12 +556,7 @@ def confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, shingle: int,
             yield batch.loc[possible(values, sizes, left, left + count, similarity), ["a", "b", "size_a", "size_b"]]
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted, texts = texts_of(ids, least, docs)
-    sets = texts.mapInPandas(hashed, "id long, size long, bits binary, hashes array<long>")
-    sets = staged(sets.withColumn("row", F.monotonically_increasing_id()), "hash-sets")
-    # other rows of the same doc_id may have other texts or the same one; one row of each wanted set counts
-    rows = staged(sets.select("id", "row").join(wanted.select("id"), "id", "left_semi").groupBy("id").agg(F.min("row").alias("row")), "set-rows")
-    sets = sets.join(rows.select("row"), "row", "left_semi")
+    sets = staged(texts_of(ids, least, docs).mapInPandas(hashed, "id long, size long, bits binary, hashes array<long>"), "hash-sets")
     # wide bitmaps thin the pairs before whole sets are moved
     small = sets.select("id", "size", "bits")
     one = small.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("one"))
@@ -558,14 +604,17 @@ def similar_links(sets: DataFrame, least: DataFrame, docs: DataFrame, shingle: i
     met = staged(met.join(groups, "key"), "met")
     sets = sets.join(met.select("id").distinct(), "id", "left_semi").groupBy("id")
     sets = staged(sets.agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
-    stars = _pairs(met, sets, lambda number, values, rows: candidates(number, values, rows["size"].to_numpy(), similarity), chunk)
+    stars = _pairs(met, sets, lambda number, values, widths, rows: candidates(number, values, rows["size"].to_numpy(), similarity, widths), chunk)
     linked = confirmed(staged(close.union(stars).distinct(), "candidates"), least, docs, shingle, similarity)
     roots = staged(components(linked), "first-components")
     large = _apart(met.where("n > 2"), roots)
 
     def between(rows: DataFrame, sets: DataFrame, find) -> DataFrame:
         rooted = sets.join(rows.select("id", "root").distinct(), "id")
-        found = lambda number, values, part: find(number, values, part["size"].to_numpy(), part["root"].to_numpy(), similarity)
+
+        def found(number: np.ndarray, values: np.ndarray, widths: np.ndarray, part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            return find(number, values, part["size"].to_numpy(), part["root"].to_numpy(), similarity, widths)
+
         return _pairs(rows.select("key", "id", "n"), rooted, found, chunk)
 
     trees = staged(between(large, sets, joining), "trees")
@@ -595,40 +644,30 @@ def _apart(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _similar_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, id (of the set), root and component_id of every row of `docs`."""
+    """row, doc_id, id (of the set), root and component_id of every row of `docs`: row, doc_id and text in buckets of row."""
     sets = staged(shingle_sets(docs, shingle, similarity), "sets")
-    least = staged(sets.groupBy("id").agg(F.min("doc_id").alias("least")), "least-documents")
+    least = staged(sets.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")), "least-documents")
     roots = similar_links(sets, least, docs, shingle, similarity).withColumnRenamed("node", "id")
     named = staged(least.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "set-roots")
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(named.join(lowest, "root").select("id", "root", "component_id"), "set-components")
-    return sets.select("doc_id", "id").join(named, "id")
+    return sets.select("row", "doc_id", "id").join(named, "id")
+
+
+def _texts(table: DataFrame, row: str) -> DataFrame:
+    return table.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def similar_components(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row of `docs`: all pairs of at least that Jaccard similarity are links, and no others."""
-    return _similar_sets(docs, shingle, similarity).select("doc_id", "component_id")
+    return _similar_sets(_texts(*by_row(docs.select("doc_id", "text"))), shingle, similarity).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SET_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one row of each component: of the least doc_id, and of several rows with it one of the least set id."""
-    found = staged(_similar_sets(docs, shingle, similarity).select("doc_id", "id", "root", "component_id"), "similar-sets")
-    first = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("id").alias("id"), F.first("doc_id").alias("doc_id"))
-    first = staged(first.select("doc_id", "id"), "kept-sets")
-    repeated = staged(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-documents")
-    kept = first.select("doc_id").distinct()
-    if repeated.isEmpty():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-
-    @pandas_udf("long")
-    def own_id(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_id(np.unique(shingle_hashes(text, shingle))) for text in texts], dtype="int64")
-
-    # rows that share a doc_id are told apart by their sets
-    single = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    single = single.join(kept, single["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    key = unused(docs, "_set")
-    several = docs.join(repeated, docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").withColumn(key, own_id("text"))
-    same = several["doc_id"].eqNullSafe(first["doc_id"]) & (several[key] == first["id"])
-    several = several.join(first, same, "left_semi").dropDuplicates(["doc_id", key])
-    return single.unionByName(several.drop(key))
+    table, row = by_row(docs)
+    found = _similar_sets(_texts(table, row), shingle, similarity)
+    # a null doc_id comes last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "row")).alias("first")
+    kept = staged(found.groupBy("root").agg(first).select(F.col("first.row").alias(row)), "kept-rows")
+    return table.join(kept.hint("shuffle_hash"), row, "left_semi").drop(row)

@@ -406,3 +406,31 @@ def test_near_dedup_asks_the_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "links", lambda prints, *more: asked.append(prints.count()) or found(prints, *more))
     kept = simhash.drop_near_copies(spark.createDataFrame(near_rows(), "doc_id long, text string"))
     assert kept.count() == 4 and asked == [7]
+
+
+def test_near_dedup_moves_no_text_again(spark, monkeypatch):
+    """Texts of candidates and rows that stay are found in the buckets of their rows: only the wanted numbers are exchanged."""
+    asked = []
+    found = simhash.texts_of
+    monkeypatch.setattr(simhash, "texts_of", lambda *some: asked.append(found(*some)) or asked[-1])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.drop_near_copies(spark.createDataFrame(near_rows(), "doc_id long, text string"))
+        plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in [*asked, kept]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert asked and [plan.count("Exchange") for plan in plans] == [1] * len(plans)
+    assert kept.count() == 4
+
+
+def test_long_unlike_sets_are_no_candidates():
+    """Bitmaps grow with the sets, also those of the first searches; bitmaps of two lengths are compared as well."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 62, size).astype(np.uint64)) for size in (2100, 2200, 4000, 4300, 9000, 9500, 17000, 20000)]
+    sets += [s[: len(s) * 9 // 10] for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    values, widths = simhash.padded_words(simhash.pd.Series([simhash.bitmap(s, simhash.bits_for(len(s))) for s in sets]))
+    assert widths[0] == 2 * widths[8] and widths.max() == simhash.WIDE_BITS // 64
+    left, right = simhash.candidates(np.zeros(16, np.int64), values, sizes, 0.8, widths)
+    assert sorted(zip(left.tolist(), right.tolist())) == [(n, n + 8) for n in range(8)]
