@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatstrata.llm.common import PARTITION_BIT, lower_ascii, text_or_empty, unused
+from chatstrata.llm.common import PARTITION_BIT, give_back, lower_ascii, text_or_empty, unused
 from chatstrata.session import staged
 
 BLOCK_BYTES = 4096
@@ -35,6 +35,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Names sorted blocks by the run of equal blocks they are in; `edge` keeps the block of the first and last row."""
     from pyspark import TaskContext
 
+    give_back()
     base = TaskContext.get().partitionId() << PARTITION_BIT
     held, last, run, first = None, None, -1, True
 

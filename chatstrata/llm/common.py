@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def give_back() -> None:
+    """Hands the freed memory of a Python worker back to the system, where the C library (glibc) can.
+
+    Workers serve one job after another; without it each keeps as much as its largest task ever took.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unused(rows: DataFrame, stem: str) -> str:
     """A column name that the table does not have."""
     taken = {name.lower() for name in rows.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from chatstrata.llm.byte_text import MARK, WORD, buffers, tokens
-from chatstrata.llm.common import unused
+from chatstrata.llm.common import give_back, unused
 
 TRAIN_ROWS = 12000
 WORD_BITS = 13
@@ -258,8 +258,10 @@ def score(docs: DataFrame, classifier: Classifier, name: str = "score") -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     @pandas_udf("double")
-    def chance(texts: pd.Series) -> pd.Series:
+    def chance(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        return pd.Series(model.network.scores(model.words.pooled(texts.tolist())))
+        for texts in batches:
+            yield pd.Series(model.network.scores(model.words.pooled(texts.tolist())))
+        give_back()
 
     return docs.withColumn(name, chance("text"))

@@ -222,3 +222,58 @@ def test_sharding(spark, hard, empty, tmp_path):
     again = spark.read.parquet(str(tmp_path / "shards"))
     assert again.count() == hard.count()
     assert {k: len(v) for k, v in slots.items()} == {r["shard"]: r["count"] for r in again.groupBy("shard").count().collect()}
+
+
+def test_pipeline_hands_rows_to_python_in_small_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+    from chatstrata.session import BATCH_BYTES, BATCH_LIMIT
+
+    runs, before = block_naming._runs, spark.conf.get(BATCH_LIMIT, None)
+
+    def measured(batches):
+        def seen():
+            for batch in batches:
+                assert batch.nbytes < BATCH_BYTES + 100_000, batch.nbytes
+                yield batch
+
+        yield from runs(seen())
+
+    # 2,500 different texts of 4,000 bytes, in one partition below the 10,000 rows of a batch
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 4000, "x").alias("text"))
+    monkeypatch.setattr(block_naming, "_runs", measured)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")
+    spark.conf.unset(BATCH_LIMIT)
+    try:
+        assert corpus_pipeline.exact_dedup(spark, docs, "").count() == 2500
+        assert spark.conf.get(BATCH_LIMIT, None) == str(BATCH_BYTES)
+        spark.conf.set(BATCH_LIMIT, "1000000")
+        assert corpus_pipeline.exact_dedup(spark, docs, "").count() == 2500
+        assert spark.conf.get(BATCH_LIMIT, None) == "1000000"
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.unset(BATCH_LIMIT)
+        if before:
+            spark.conf.set(BATCH_LIMIT, before)
+
+
+def test_workers_give_freed_memory_back(spark):
+    from chatstrata.llm.common import give_back
+
+    def held(batches):
+        import re
+        from pathlib import Path
+
+        def size():
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) >> 10
+
+        for batch in batches:
+            blocks = [bytearray(50_000) for _ in range(4000)]
+            last = blocks[-1]
+            del blocks
+            before = size()
+            give_back()
+            yield batch.from_pydict({"freed": [before - size()], "last": [len(last)]})
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(held, "freed long, last long").first()["freed"] > 100
