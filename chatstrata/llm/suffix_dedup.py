@@ -10,6 +10,7 @@ hash is least. Equal windows have equal anchors in the same place, so only suffi
    is a logarithmic index: a new batch gets its suffix array, levels of about equal size are merged,
    and a merge scans the two for equal windows. A window's class is that of its suffix at its depth in the suffix array
    with that of its (reversed) left part, both from longest common prefixes: bytes are compared, not hashes.
+   Only windows that are like a neighbour's in both arrays and not known to be gone are sorted by class.
    An anchor whose windows all start in a smaller document too leaves the index.
 3. The windows found are joined to the documents, whose remaining bytes are put together.
 
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatstrata.llm.byte_text import mixed, powers
-from chatstrata.session import scratch_path, staged
+from chatstrata.llm.common import give_back
+from chatstrata.session import scratch_path, small_batches, staged
 
 MATCH, GRAM = 50, 20
 LEFT = MATCH - GRAM
@@ -92,27 +94,27 @@ class Anchors:
 def anchors(buffer: np.ndarray, starts: np.ndarray) -> Anchors:
     up, down = powers(len(buffer) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)])])
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum((buffer + np.uint64(1)) * up[: len(buffer)], out=sums[1:])
         grams = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(buffer) - GRAM + 1])
     # the first of equal hashes is the least
-    keys = (grams >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(grams), dtype=np.uint64)
-    least, width = keys, 1
+    places = np.uint64((1 << PLACE_BITS) - 1)
+    least, width = (grams & ~places) | np.arange(len(grams), dtype=np.uint64), 1
     while width * 2 <= WINDOWS:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = WINDOWS - width
     least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    # windows that reach into the next part are of no document
     ends = np.append(starts[1:], len(buffer))
-    inside = np.zeros(len(buffer) + 1, np.int32)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends - MATCH + 1, -1)
-    window = np.flatnonzero(np.cumsum(inside)[: len(least)] > 0)
-    place = (least[window] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)])
-    begin = np.flatnonzero(new)
-    finish = np.append(begin[1:], len(window)) - 1
-    at = place[begin]
-    return Anchors(at, grams[at], window[begin], window[finish], np.searchsorted(starts, at, "right") - 1)
+    inside = np.ones(len(buffer), bool)
+    inside[ends[:, None] - np.arange(1, MATCH)] = False
+    inside = inside[: len(least)]
+    new = least[1:] != least[:-1]
+    begin = np.flatnonzero(inside & np.concatenate([[True], new | ~inside[:-1]]))
+    finish = np.flatnonzero(inside & np.concatenate([new | ~inside[1:], [True]]))
+    at = (least[begin] & places).astype(np.int64)
+    return Anchors(at, grams[at], begin, finish, np.searchsorted(starts, at, "right") - 1)
 
 
 def _body(text: str | None) -> bytes:
@@ -127,6 +129,24 @@ def _low(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
+def _taken(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; the list is left empty, so that they are not held twice."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
+
+
+def _order_by(key: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The order by two numbers; the second is looked at only where the first is equal."""
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    tied = np.append(same, False) | np.append(False, same)
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((then[rows], key[tied]))]
+    return order
+
+
 # Step 1: which anchors are in several documents.
 
 SENT = "share int, kind int, values binary, rows binary"
@@ -147,14 +167,15 @@ def _send_hashes(shares: int):
                 hashes.append(found.hash)
                 rows.append(numbers[owners[found.part]])
                 if sum(map(len, hashes)) >= BATCH_ANCHORS:
-                    yield from sent(np.concatenate(hashes), np.concatenate(rows))
-                    hashes, rows = [], []
+                    yield from sent(_taken(hashes), _taken(rows))
+                    give_back()
         if hashes:
-            yield from sent(np.concatenate(hashes), np.concatenate(rows))
+            yield from sent(_taken(hashes), _taken(rows))
+        give_back()
 
     def sent(hashes: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         share, low = _share(hashes, shares), _low(hashes)
-        order = np.lexsort((rows, low, share))
+        order = _order_by((share << 32) | low, rows)
         share, low, rows = share[order], low[order], rows[order]
         again = np.concatenate([[False], (share[1:] == share[:-1]) & (low[1:] == low[:-1])])
         once = ~again | np.concatenate([[True], rows[1:] != rows[:-1]])
@@ -231,44 +252,86 @@ RECORD = np.dtype([("bytes", np.uint8, CONTEXT), ("first", np.int8), ("last", np
 FOUND = np.dtype([("place", np.int64), ("windows", np.uint32)])
 
 
+def _numbers(values: np.ndarray) -> np.ndarray:
+    """Each value's number in the order of the values, from 0; equal ones have the same."""
+    order = np.argsort(values)
+    values = values[order]
+    numbers = np.zeros(len(order), np.int64)
+    numbers[order[1:]] = np.cumsum(values[1:] != values[:-1])
+    return numbers
+
+
 def _order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of rows of bytes, and the common prefix of each with the one before in it."""
+    """The suffix array of rows of bytes, and the common prefix of each with the one before in it.
+
+    Sorted by the first eight bytes; runs that are equal so far are sorted by the next eight, until none is left.
+    """
     width = -(-text.shape[1] // 8) * 8
     wide = np.zeros((len(text), width), np.uint8)
     wide[:, : text.shape[1]] = text
-    words = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
+    words = wide.view(">u8").T
+    first = words[0].astype(np.uint64)
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate([[True], first[1:] != first[:-1]])
+    for word in words[1:]:
+        at = np.flatnonzero(~new | np.append(~new[1:], False))
+        if not len(at):
+            break
+        rows = order[at]
+        key = (np.cumsum(new[at]) << 32) | _numbers(word[rows].astype(np.uint64))
+        by = np.argsort(key)
+        order[at], key = rows[by], key[by]
+        new[at] = np.concatenate([[True], key[1:] != key[:-1]])
     ordered = text[order]
-    differs = ordered[1:] != ordered[:-1]
-    common = np.where(differs.any(axis=1), differs.argmax(axis=1), text.shape[1])
-    return order, np.concatenate([[0], common])
+    common = np.where(new[1:], (ordered[1:] != ordered[:-1]).argmax(axis=1), text.shape[1])
+    return order, np.concatenate([[0], common]).astype(np.int8)
 
 
-def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
-    """A number for each row, equal for those that agree in their first `depth` bytes."""
-    numbers = np.empty(len(order), np.int64)
-    numbers[order] = np.cumsum(common < depth)
-    return numbers
+def _like_before(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a suffix array have the first `depth` bytes of the one before, and which those of a neighbour."""
+    same = common >= depth
+    same[0] = False
+    return same, same | np.append(same[1:], False)
 
 
 def scan(records: np.ndarray, gone: np.ndarray) -> None:
-    """Marks in `gone` (bit i: the window LEFT - i before the anchor) the windows that a smaller document has."""
+    """Marks in `gone` (bit i: the window LEFT - i before the anchor) the windows that a smaller document has.
+
+    Windows marked before are left out: the smallest document of a window is never marked, so it is still there.
+    """
+    if len(records) < 2:
+        return
     right, right_common = _order(records["bytes"][:, LEFT:])
     left, left_common = _order(records["bytes"][:, :LEFT][:, ::-1])
+    # from here on rows are in the order of `right`
+    place = np.empty(len(right), np.int64)
+    place[right] = np.arange(len(right))
+    left = place[left]
+    first, last, doc, marks = records["first"][right], records["last"][right], records["doc"][right], gone[right]
+    reached, left_class = np.empty(len(right), bool), np.empty(len(right), np.int64)
     for back in range(WINDOWS):
         bit = LEFT - back
-        own = np.flatnonzero((records["first"] <= bit) & (records["last"] >= bit))
+        mark = np.uint32(1 << bit)
+        same, alike = _like_before(right_common, MATCH - back)
+        own = alike & (first <= bit) & (last >= bit) & ((marks & mark) == 0)
+        if back:
+            left_same, alike = _like_before(left_common, back)
+            reached[left] = alike
+            own &= reached
+        own = np.flatnonzero(own)
         if len(own) < 2:
             continue
-        key = _classes(right, right_common, MATCH - back)[own] * (len(records) + 1)
+        key = np.cumsum(~same)[own]
         if back:
-            key += _classes(left, left_common, back)[own]
-        doc = records["doc"][own]
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        begin = np.concatenate([[True], key[1:] != key[:-1]])
-        least = doc[begin][np.cumsum(begin) - 1]
-        gone[own[order[doc > least]]] |= np.uint32(1 << bit)
+            left_class[left] = np.cumsum(~left_same)
+            key = (key << 32) | left_class[own]
+            order = np.argsort(key)
+            own, key = own[order], key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        least = np.repeat(np.minimum.reduceat(doc[own], begin), np.diff(np.append(begin, len(own))))
+        marks[own[doc[own] > least]] |= mark
+    gone[right] = marks
 
 
 def _all_windows(records: np.ndarray) -> np.ndarray:
@@ -317,11 +380,10 @@ class LogarithmicIndex:
         while len(self.levels) > 1:
             other = self.levels.pop()
             self.levels.append(self._merged(self.levels.pop(), other))
-        found = [*self.done, *self.levels]
+        found = [(r[g > 0], g[g > 0]) for r, g in [*self.done, *self.levels]]
         if not found:
             return np.zeros(0, RECORD), np.zeros(0, np.uint32)
-        records, gone = np.concatenate([r for r, _ in found]), np.concatenate([g for _, g in found])
-        return records[gone > 0], gone[gone > 0]
+        return np.concatenate([r for r, _ in found]), np.concatenate([g for _, g in found])
 
 
 def _send_records(shares: int):
@@ -334,17 +396,18 @@ def _send_records(shares: int):
             rows, ids, texts, wanted = (batch.column(i) for i in range(4))
             rows = rows.to_numpy()
             ids = ids.fill_null(NO_ID).to_numpy()
-            chosen = [i for i, w in enumerate(wanted.to_pylist()) if w]
-            marks = {i: np.unique(np.frombuffer(wanted[i].as_py(), np.uint32)) for i in chosen}
+            flags = wanted.to_pylist()
+            chosen = [i for i, w in enumerate(flags) if w]
+            if not chosen:
+                continue
+            # (place in `chosen`, hash), one number each
+            marks = [np.frombuffer(flags[i], np.uint32) for i in chosen]
+            marks = np.sort((np.repeat(np.arange(len(marks)), list(map(len, marks))) << 32) | np.concatenate(marks))
             bodies = [_body(texts[i].as_py()) for i in chosen]
             for buffer, starts, owners, offsets in stretches(bodies):
                 found = anchors(buffer, starts)
-                low = _low(found.hash)
-                keep = np.zeros(len(low), bool)
-                cuts = np.searchsorted(found.part, np.arange(len(starts) + 1))
-                for part, owner in enumerate(owners):
-                    span = slice(cuts[part], cuts[part + 1])
-                    keep[span] = np.isin(low[span], marks[chosen[owner]])
+                sought = (owners[found.part] << 32) | _low(found.hash)
+                keep = marks[np.minimum(np.searchsorted(marks, sought), len(marks) - 1)] == sought
                 if not keep.any():
                     continue
                 place, part = found.place[keep], found.part[keep]
@@ -352,10 +415,10 @@ def _send_records(shares: int):
                 padded = np.concatenate([np.zeros(LEFT, np.uint8), buffer, np.zeros(MATCH, np.uint8)])
                 records["bytes"] = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[place]
                 # nothing of another document, as equal records are sent once
-                end = np.append(starts[1:], len(buffer))[part]
-                column = np.arange(-LEFT, MATCH)
-                outside = (place[:, None] + column < starts[part][:, None]) | (place[:, None] + column >= end[:, None])
-                records["bytes"][outside] = 0
+                begin, end = starts[part], np.append(starts[1:], len(buffer))[part]
+                edge = np.flatnonzero((place - LEFT < begin) | (place + MATCH > end))
+                at = place[edge, None] + np.arange(-LEFT, MATCH)
+                records["bytes"][edge] *= (at >= begin[edge, None]) & (at < end[edge, None])
                 records["first"] = LEFT - (place - found.first[keep])
                 records["last"] = LEFT - (place - found.last[keep])
                 documents = np.array(chosen)[owners[part]]
@@ -364,23 +427,28 @@ def _send_records(shares: int):
                 held.append(records)
                 hashes.append(found.hash[keep])
                 if sum(map(len, held)) >= BATCH_ANCHORS // 8:
-                    yield from sent(np.concatenate(held), np.concatenate(hashes))
-                    held, hashes = [], []
+                    yield from sent(_taken(held), _taken(hashes))
+                    give_back()
         if held:
-            yield from sent(np.concatenate(held), np.concatenate(hashes))
+            yield from sent(_taken(held), _taken(hashes))
+        give_back()
 
     def sent(records: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
         # equal records have equal anchors and bytes; the one of the smallest document is sent
         bytes_ = np.ascontiguousarray(records["bytes"]).view(np.uint64)
-        order = np.lexsort((records["doc"], records["last"], records["first"], *bytes_.T, hashes))
+        # brings equal records together; whether they are equal is decided on their bytes
+        blend = mixed((records["first"].astype(np.uint64) << np.uint64(8)) | records["last"].astype(np.uint64))
+        for word in bytes_.T:
+            blend = mixed(blend ^ word)
+        order = _order_by(hashes, blend)
         records, hashes, bytes_ = records[order], hashes[order], bytes_[order]
         same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
         for part in (bytes_, records["first"][:, None], records["last"][:, None]):
             same[1:] &= (part[1:] == part[:-1]).all(axis=1)
         begin = np.flatnonzero(~same)
-        least = records["doc"][begin][np.cumsum(~same) - 1]
+        least = np.minimum.reduceat(records["doc"], begin)[np.cumsum(~same) - 1]
         # rows of the same document must all be answered
-        sending = ~same | (records["doc"] == least)
+        sending = records["doc"] == least
         gone = records[~sending]
         yield _sent(FOR_SHARE, _share(hashes[sending], shares), records[sending], None)
         if len(gone):
@@ -401,8 +469,11 @@ def _repeated_windows(buckets: int):
         records, gone = index.finish()
         found = np.zeros(len(records), FOUND)
         found["place"], found["windows"] = records["place"], gone
+        rows = records["row"].copy()
+        del index, records, gone
+        give_back()
         values, known = _passing(batch, FOUND)
-        return _by_bucket(np.concatenate([values, found]), np.concatenate([known, records["row"]]), buckets)
+        return _by_bucket(np.concatenate([values, found]), np.concatenate([known, rows]), buckets)
 
     return repeated
 
@@ -462,6 +533,7 @@ def _answered(sent: DataFrame, answer, kind: np.dtype, label: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of the removed runs), kept (the remaining bytes) of every row."""
+    small_batches(docs.sparkSession)
     table = bucketed(docs)
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE_BYTES))

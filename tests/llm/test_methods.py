@@ -151,6 +151,40 @@ def test_the_index_does_not_depend_on_its_levels():
         assert results[0].get(int(r["place"]), 0) == expected
 
 
+def test_a_scan_sorts_only_what_repeats(monkeypatch):
+    """Records without a repeat are sorted once from each side, not once for each window; marked windows are not sorted again."""
+    rng = np.random.default_rng(9)
+    count = 2000
+    records = np.zeros(count, suffix_dedup.RECORD)
+    records["bytes"] = rng.integers(0, 256, (count, suffix_dedup.CONTEXT))
+    records["last"] = suffix_dedup.LEFT
+    records["doc"] = records["place"] = np.arange(count)
+    work = [0]
+    argsort, lexsort = np.argsort, np.lexsort
+
+    def counted_argsort(values, *args, **more):
+        work[0] += len(values)
+        return argsort(values, *args, **more)
+
+    def counted_lexsort(keys, *args, **more):
+        work[0] += sum(map(len, keys))
+        return lexsort(keys, *args, **more)
+
+    monkeypatch.setattr(np, "argsort", counted_argsort)
+    monkeypatch.setattr(np, "lexsort", counted_lexsort)
+    gone = np.zeros(count, np.uint32)
+    suffix_dedup.scan(records, gone)
+    assert not gone.any() and 0 < work[0] <= 4 * count
+
+    records["bytes"] = records["bytes"][0]
+    suffix_dedup.scan(records, gone)
+    first, work[0] = work[0], 0
+    assert gone[0] == 0 and (gone[1:] == (1 << suffix_dedup.WINDOWS) - 1).all()
+    again = gone.copy()
+    suffix_dedup.scan(records, again)
+    assert (again == gone).all() and work[0] < first - 25 * count
+
+
 def test_near_copies_are_linked_by_the_sets_themselves(spark):
     """Every pair of a similarity of 0.8 or more is linked and no other, from short texts to long ones and in a large group."""
     rng = np.random.default_rng(3)
