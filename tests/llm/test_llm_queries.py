@@ -40,8 +40,8 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-def test_ten_operators_have_a_query():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_have_a_query():
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
