@@ -347,3 +347,26 @@ def test_mentions_need_no_nested_loop(spark):
     assert {r.line_no for r in found.collect()} == {4, 1, *range(40, 50)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ids_of_one_shape_take_one_pass_over_the_texts(spark):
+    other = sid(7)[:-1] + "x"
+    texts = [f"rollout-{sid(1)}.jsonl", f"{sid(2)}{sid(3)}", f"a{sid(4)[1:]}", f"9{sid(5)}-{sid(6)}_", f"see {sid(7)}", other, None, sid(8) + "\n"]
+    rows = [(root, "h", n, text) for root in (1, 2) for n, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "root_id bigint, rel_path string, line_no bigint, text string")
+    wanted = spark.createDataFrame([(1, sid(n)) for n in (1, 3, 4, 6, 7, 8)], "root_id bigint, id string")
+    found = mentions.containing(frame, wanted, ["root_id", "rel_path", "line_no"])
+    assert sorted((r.root_id, r.line_no) for r in found.collect()) == [(1, n) for n in (0, 1, 3, 4, 7)]
+    # the driver keeps the whole plan, and a job has many of these
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Join") == 1
+
+
+def test_ids_of_many_shapes(spark):
+    ids = ["-" * n + "ab" for n in range(2, 40)] + ["line\n"]
+    texts = ["--ab", "x---abc", "-ab", "a line\nb", "line", "y" + "-" * 50 + "ab"]
+    frame = spark.createDataFrame([(1, "h", n, text) for n, text in enumerate(texts)], "root_id bigint, rel_path string, line_no bigint, text string")
+    wanted = spark.createDataFrame([(1, i) for i in ids], "root_id bigint, id string")
+    for some in (wanted, wanted.filter("length(id) < 10")):
+        found = mentions.containing(frame, some, ["root_id", "rel_path", "line_no"]).collect()
+        assert sorted(r.line_no for r in found) == [0, 1, 3, 5]
