@@ -14,6 +14,7 @@ from chatstrata.functions import naming, paths, text
 from chatstrata.operators import mentions
 from chatstrata.operators.catalog import one_file_per_session, union_session_dirs
 from chatstrata.operators.content import ROOT, SNAPSHOT
+from chatstrata.session import staged
 
 
 def _kind() -> Column:
@@ -215,7 +216,8 @@ def overlay_files(current: DataFrame, snapshot: DataFrame) -> DataFrame:
 def _named_after(files: DataFrame, ids: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Paths of the files whose name contains one of the ids."""
     named = files.select(*scope, "rel_path", paths.base_name(F.col("rel_path")).alias("text"))
-    return mentions.containing(named, ids, [*scope, "rel_path"], scope)
+    # written, as the driver holds the whole plan of a job
+    return staged(mentions.containing(named, ids, [*scope, "rel_path"], scope), "named")
 
 
 def _is_kind(kind: str) -> Column:

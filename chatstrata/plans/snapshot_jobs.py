@@ -129,9 +129,10 @@ def _manifest(
     profiles: DataFrame,
     ids: DataFrame,
     warnings: DataFrame | None,
+    by_files: DataFrame | None = None,
 ) -> DataFrame:
     """One manifest row per request. Roots without a state database have the counts
-    of their profile."""
+    of their profile, but for those in ``by_files(root_id, by_files)``."""
     key = list(SNAPSHOT)
     counts = snapshots.snapshot_session_counts(ids, content.files, SNAPSHOT)
     state_entry = content.states.select(*key, F.lit(C.STATE_FILE).alias("path"))
@@ -139,8 +140,13 @@ def _manifest(
         entry = content.attachments.select(*key, F.lit(C.ATTACHMENT_DIR).alias("path"))
         state_entry = state_entry.unionByName(entry)
     included = snapshots.included_paths(content.files, state_entry, SNAPSHOT)
+    profiles = profiles.select("root_id", *_PROFILE)
+    if by_files is None:
+        profiles = profiles.withColumn("by_files", F.lit(None).cast("boolean"))
+    else:
+        profiles = profiles.join(by_files, ["root_id"], "left")
     rows = (
-        requests.join(profiles.select("root_id", *_PROFILE), ["root_id"], "left")
+        requests.join(profiles, ["root_id"], "left")
         .join(content.states.select(*key, F.lit(True).alias("has_state")), key, "left")
         .join(counts.select(*key, F.col("session_count").alias("n"), F.col("archived_session_count").alias("na")), key, "left")
         .join(_content_sizes(content), key, "left")
@@ -154,7 +160,7 @@ def _manifest(
         rows = rows.join(texts, key, "left").withColumn("warnings", F.coalesce(F.col("w.message"), no_strings))
     unknown = F.lit("unknown")
     provider, model = F.coalesce("model_provider", unknown), F.coalesce("model", unknown)
-    zero = F.lit(0)
+    zero, by_ids = F.lit(0), F.coalesce("has_state", "by_files")
     return rows.select(
         "root_id",
         F.col("snapshot_id").alias("id"),
@@ -169,8 +175,8 @@ def _manifest(
         provider.alias("model_provider"),
         model.alias("model"),
         F.coalesce("account_fingerprint", F.lit("none")).alias("account_fingerprint"),
-        F.when(F.col("has_state"), F.coalesce("n", zero)).otherwise(F.coalesce("session_count", zero)).alias("session_count"),
-        F.when(F.col("has_state"), F.coalesce("na", zero))
+        F.when(by_ids, F.coalesce("n", zero)).otherwise(F.coalesce("session_count", zero)).alias("session_count"),
+        F.when(by_ids, F.coalesce("na", zero))
         .otherwise(F.coalesce("archived_session_count", zero))
         .alias("archived_session_count"),
         F.coalesce("size_bytes", zero).alias("size_bytes"),
@@ -183,9 +189,14 @@ def _manifest(
 _PROFILE = ["model_provider", "model", "account_fingerprint", "session_count", "archived_session_count"]
 
 
-def _taken(current: Content, requests: DataFrame, candidates: Sequence[str]) -> Content:
+def _roots(requests: DataFrame) -> DataFrame:
+    """Key and path of the requested roots, which every table is joined with."""
+    return staged(requests.select(*SNAPSHOT, F.col("root_path").cast("string").alias("root_path")), "requests")
+
+
+def _taken(current: Content, roots: DataFrame, candidates: Sequence[str]) -> Content:
     """Current content below the candidate paths, under the id of the new snapshot."""
-    new_ids = requests.select("root_id", "snapshot_id")
+    new_ids = roots.select("root_id", "snapshot_id")
     side_files = [C.STATE_FILE, *C.STATE_SIDE_FILES]
     stamped = current.map_tables(lambda table: table.join(new_ids, ["root_id"]))
     wanted = [path for path in candidates if path not in C.STATE_SIDE_FILES]
@@ -199,7 +210,7 @@ def _taken(current: Content, requests: DataFrame, candidates: Sequence[str]) ->
         files=files,
         lines=stamped.lines.filter(F.col("rel_path").isin(list(wanted))),
         tables=stamped.tables if with_state else {},
-        states=stamped.states if with_state else stamped.states.filter(F.lit(False)),
+        states=staged(stamped.states if with_state else stamped.states.filter(F.lit(False)), "states"),
         attachments=None,
     )
 
@@ -219,13 +230,20 @@ def create_snapshot(
     snapshot_id, nth, message)`` the report on skipped files, ``attachment_files``
     the inventory of files outside the roots.
     """
-    roots = requests.select(*SNAPSHOT, "root_path")
-    taken = _taken(current, requests, candidates)
-    ids = staged(restorable_sessions(taken, roots, SNAPSHOT), "restorable")
-    content = _with_attachments(sanitize_snapshot(taken, roots, SNAPSHOT, ids), ids, attachment_files)
+    content, ids = _whole_content(current, requests, candidates, attachment_files)
     return content, _manifest(content, requests, profiles, ids, warnings)
 
 
+def _whole_content(
+    current: Content, requests: DataFrame, candidates: Sequence[str], attachment_files: DataFrame | None
+) -> tuple[Content, DataFrame]:
+    """Content of new snapshots, and the sessions of it that have a file."""
+    roots = _roots(requests)
+    taken = _taken(current, roots, candidates)
+    ids = staged(restorable_sessions(taken, roots, SNAPSHOT), "restorable")
+    return _with_attachments(sanitize_snapshot(taken, roots, SNAPSHOT, ids), ids, attachment_files), ids
+
+
 def create_protection_snapshot(
     current: Content,
     requests: DataFrame,
@@ -244,30 +262,30 @@ def create_protection_snapshot(
     """
     if mode == "full":
         return create_snapshot(current, requests, profiles, full_candidates, warnings, attachment_files)
-    with_sessions = sessions.select("root_id").distinct()
+    with_sessions = staged(sessions.select("root_id").distinct(), "with-sessions")
     light = requests.join(with_sessions, ["root_id"], "left_semi")
     whole = requests.join(with_sessions, ["root_id"], "left_anti")
-    light_content, light_rows = _lightweight_snapshot(
-        current, light, profiles, sessions, extra_paths, attachment_files, warnings
-    )
-    whole_content, whole_rows = create_snapshot(current, whole, profiles, full_candidates, warnings, attachment_files)
-    return union_contents(light_content, whole_content), light_rows.unionByName(whole_rows)
+    light_content, light_ids = _lightweight_content(current, light, sessions, extra_paths, attachment_files)
+    whole_content, whole_ids = _whole_content(current, whole, full_candidates, attachment_files)
+    content, ids = union_contents(light_content, whole_content), light_ids.unionByName(whole_ids)
+    # In lightweight snapshots the files tell the counts, with or without a state database.
+    by_files = with_sessions.withColumn("by_files", F.lit(True))
+    return content, _manifest(content, requests, profiles, ids, warnings, by_files)
 
 
-def _lightweight_snapshot(
+def _lightweight_content(
     current: Content,
     requests: DataFrame,
-    profiles: DataFrame,
     sessions: DataFrame,
     extra_paths: Sequence[str],
     attachment_files: DataFrame | None,
-    warnings: DataFrame | None,
 ) -> tuple[Content, DataFrame]:
+    """Content of new snapshots of some sessions, and those of them that have a file."""
     key = list(SNAPSHOT)
-    roots = requests.select(*key, "root_path")
+    roots = _roots(requests)
     extras = [path for path in extra_paths if path not in (*C.LINE_FILES, C.STATE_FILE, *C.STATE_SIDE_FILES)]
-    taken = _taken(current, requests, [*C.CONVERSATION_PATHS, *extras])
-    ids = sessions.join(requests.select(*key), ["root_id"]).select(*key, "id")
+    taken = _taken(current, roots, [*C.CONVERSATION_PATHS, *extras])
+    ids = staged(sessions.join(roots.select(*key), ["root_id"]).select(*key, "id"), "sessions")
     files = taken.files
     own = snapshots.select_snapshot_files(files, ids, "logs", SNAPSHOT)
     shell = snapshots.select_snapshot_files(files, ids, "shell", SNAPSHOT)
@@ -281,15 +299,7 @@ def _lightweight_snapshot(
         bodies=_bodies_of(taken.bodies, catalog.session_files(chosen)),
     )
     counted = staged(restorable_sessions(content, roots, SNAPSHOT), "restorable")
-    content = _with_attachments(sanitize_snapshot(content, roots, SNAPSHOT, counted), counted, attachment_files)
-    # Here the files tell the counts, with or without a state database.
-    manifest = _manifest(content, requests, _file_profiles(profiles, content, counted), counted, warnings)
-    return content, manifest
-
-
-def _file_profiles(profiles: DataFrame, content: Content, ids: DataFrame) -> DataFrame:
-    counts = snapshots.snapshot_session_counts(ids, content.files, SNAPSHOT).drop("snapshot_id")
-    return profiles.drop("session_count", "archived_session_count").join(counts, ["root_id"], "left")
+    return _with_attachments(sanitize_snapshot(content, roots, SNAPSHOT, counted), counted, attachment_files), counted
 
 
 def _bodies_of(bodies: DataFrame | None, files: DataFrame) -> DataFrame | None:

@@ -232,3 +232,40 @@ def test_the_snapshot_made_later_counts(spark):
     now = now.with_(tables={**now.tables, "thread_spawn_edges": edges.drop("snapshot_id").limit(0)})
     back = restore_jobs.restore_from_latest(store, manifest, ids_frame(spark, [1, 2]), now, roots(spark))
     assert [r.status for r in back.tables["thread_spawn_edges"].collect()] == ["new"]
+
+
+def joins(table):
+    return table._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def on_disk(spark, tmp_path, name, found):
+    """Content that is read from files, as plans on rows of the driver are cut short."""
+
+    def written(table):
+        number = len(list(tmp_path.iterdir()))
+        table.write.parquet(f"{tmp_path}/{name}-{number}")
+        return spark.read.parquet(f"{tmp_path}/{name}-{number}")
+
+    return found.map_tables(written)
+
+
+def all_joins(found):
+    return sum(joins(table) for table in found.named_tables().values())
+
+
+# A job's plan stays on the driver, with a copy for each time that Spark plans anew, so it must not grow with what its inputs are made of.
+def of_root(spark, rows):
+    """Rows that are the result of a join."""
+    return rows.join(spark.range(1, 2).withColumnRenamed("id", "root_id"), ["root_id"], "left_semi")
+
+
+def test_plan_of_a_snapshot_is_small(spark, tmp_path):
+    now = on_disk(spark, tmp_path, "now", content(spark, [1, 2, 3]))
+    snapshot, manifest = snapshot_jobs.create_snapshot(now, of_root(spark, requests(spark)), profiles(spark))
+    assert all_joins(snapshot) < 40 and joins(manifest) < 30
+
+
+def test_plan_of_a_protection_snapshot_is_small(spark, tmp_path):
+    now = on_disk(spark, tmp_path, "now", content(spark, [1, 2, 3]))
+    snapshot, manifest = snapshot_jobs.create_protection_snapshot(now, of_root(spark, requests(spark)), profiles(spark), ids_frame(spark, [2]))
+    assert all_joins(snapshot) < 80 and joins(manifest) < 60
