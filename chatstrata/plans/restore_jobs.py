@@ -26,6 +26,11 @@ from chatstrata.plans.snapshot_jobs import (
 from chatstrata.session import staged
 
 
+def _chosen(manifest: DataFrame) -> DataFrame:
+    """What a job reads of the manifest rows, which every table is joined with."""
+    return staged(manifest.select("root_id", "id", "snapshot_root", "included_paths"), "chosen")
+
+
 def _snapshot_roots(chosen: DataFrame) -> DataFrame:
     return chosen.select("root_id", F.col("id").alias("snapshot_id"), F.col("snapshot_root").alias("root_path"))
 
@@ -100,10 +105,12 @@ def restore_conversations(
 ) -> Content:
     """Merge the conversations of a snapshot into each root; account and provider
     settings stay."""
+    chosen = _chosen(chosen)
     snapshot, included = _content_of(store, chosen), _included(chosen)
     states = snapshot.states.join(
         included.filter(F.col("top") == C.STATE_FILE).select("root_id"), ["root_id"], "left_semi"
     )
+    states = staged(states, "states")
     snapshot_roots = _snapshot_roots(chosen).drop("snapshot_id")
     ids = restorable_sessions(snapshot, snapshot_roots, ROOT).join(states, ["root_id"], "left_semi")
     ids = staged(ids, "restorable")
@@ -139,10 +146,12 @@ def restore_full(
 ) -> Content:
     """Replace every entry the snapshot has, then drop what belongs to sessions
     without a log file in it."""
+    chosen = _chosen(chosen)
     snapshot, included = _content_of(store, chosen), _included(chosen)
     states = snapshot.states.join(
         included.filter(F.col("top") == C.STATE_FILE).select("root_id"), ["root_id"], "left_semi"
     )
+    states = staged(states, "states")
     ids = restorable_sessions(snapshot, _snapshot_roots(chosen).drop("snapshot_id"), ROOT)
     ids = staged(ids.join(states, ["root_id"], "left_semi"), "restorable")
 

@@ -269,3 +269,11 @@ def test_plan_of_a_protection_snapshot_is_small(spark, tmp_path):
     now = on_disk(spark, tmp_path, "now", content(spark, [1, 2, 3]))
     snapshot, manifest = snapshot_jobs.create_protection_snapshot(now, of_root(spark, requests(spark)), profiles(spark), ids_frame(spark, [2]))
     assert all_joins(snapshot) < 80 and joins(manifest) < 60
+
+
+def test_plan_of_a_restore_is_small(spark, tmp_path):
+    snapshot, manifest = snapshot_jobs.create_snapshot(content(spark, [1, 2, 3]), requests(spark), profiles(spark))
+    now, store = on_disk(spark, tmp_path, "now", content(spark, [2, 4])), on_disk(spark, tmp_path, "store", snapshot)
+    chosen = of_root(spark, manifest)
+    assert all_joins(restore_jobs.restore_conversations(store, chosen, now, roots(spark))) < 100
+    assert all_joins(restore_jobs.restore_full(store, chosen, now, roots(spark))) < 120
