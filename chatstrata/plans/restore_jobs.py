@@ -307,6 +307,7 @@ def delete_sessions(
 ) -> tuple[Content, tuple[Content, DataFrame]]:
     """Remove sessions from the current content. The protection snapshot that has to be
     written first comes second in the result."""
+    ids = staged(ids.select("root_id", "id"), "sessions")
     protection = create_protection_snapshot(current, requests, profiles, ids, mode)
     files = snapshots.remove_session_files(current.files, ids)
     bodies = current.bodies

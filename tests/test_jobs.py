@@ -271,6 +271,13 @@ def test_plan_of_a_protection_snapshot_is_small(spark, tmp_path):
     assert all_joins(snapshot) < 80 and joins(manifest) < 60
 
 
+def test_plan_of_a_deletion_is_small(spark, tmp_path):
+    now = on_disk(spark, tmp_path, "now", content(spark, [1, 2, 3]))
+    ids = of_root(spark, ids_frame(spark, [2]))
+    left, _ = restore_jobs.delete_sessions(now, ids, of_root(spark, requests(spark)), profiles(spark))
+    assert all_joins(left) < 12
+
+
 def test_plan_of_a_restore_is_small(spark, tmp_path):
     snapshot, manifest = snapshot_jobs.create_snapshot(content(spark, [1, 2, 3]), requests(spark), profiles(spark))
     now, store = on_disk(spark, tmp_path, "now", content(spark, [2, 4])), on_disk(spark, tmp_path, "store", snapshot)
